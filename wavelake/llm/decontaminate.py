@@ -4,7 +4,8 @@ Training documents become index segments, one row each: every term of the segmen
 positions at which it stands. A document lies in one segment whole, so postings are never shuffled and no term,
 however common, gathers in one task. Phrases are found as in any positional index: take the posting list of the
 phrase's rarest term (rarity over all segments), shift it to the phrase's start, and intersect it with the shifted
-lists of the other terms, rarest first. Test phrases go to the tasks in blocks of a bounded number of words.
+lists of the other terms, rarest first. Test phrases go to the tasks in blocks of a bounded number of words, one after
+another; what several blocks find is merged by document, so neither driver nor task holds more than one block.
 
 Nulls and texts without words: 0 words, no hits. Rows with a repeated doc_id stay separate rows. An empty benchmark
 or an empty table gives no hits or no rows. Only the named columns are read, so further columns don't matter.
@@ -12,12 +13,14 @@ or an empty table gives no hits or no rows. Only the named columns are read, so
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake.llm.common import save, texts
@@ -26,7 +29,7 @@ from wavelake.llm.common import save, texts
 WORD_BYTES = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else b if b >= 128 else 32 for b in range(256))
 #: Words of one index segment, and test words in one block sent to the tasks (8 MB of arrays at most).
 SEGMENT_WORDS, BLOCK_WORDS = 1 << 20, 1 << 20
-INDEX = "doc_ids array<bigint>, n_words array<int>, terms binary, counts binary, positions binary"
+INDEX = "segment string, doc_ids array<bigint>, n_words array<int>, terms binary, counts binary, positions binary"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -42,11 +45,11 @@ def segment(ids: list, lengths: list[int], words: list[bytes]) -> dict:
     keys = np.sort(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) << 32 | np.arange(len(words)))
     counts = np.bincount(keys >> 32, minlength=len(coded.dictionary)).astype(np.int32)
     at = (keys & 0xFFFFFFFF).astype(np.int32)
-    return {"doc_ids": ids, "n_words": lengths, "terms": b" ".join(coded.dictionary.to_pylist()), "counts": counts.tobytes(), "positions": np.diff(at, prepend=np.int32(0)).astype(np.int32).tobytes()}
+    return {"segment": uuid.uuid4().hex, "doc_ids": ids, "n_words": lengths, "terms": b" ".join(coded.dictionary.to_pylist()), "counts": counts.tobytes(), "positions": np.diff(at, prepend=np.int32(0)).astype(np.int32).tobytes()}
 
 
 def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
+    schema = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
     ids, lengths, words = [], [], []
     for batch in batches:
         for i, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
@@ -185,32 +188,67 @@ def phrase_starts(part: Segment, block: Phrases, most: int = 1 << 22) -> Iterato
         yield phrase[same], start[same]
 
 
-def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Exact matches, one row per document: doc_id, n_words, n_hit (words inside any match), items (ids as sorted strings)."""
+def block_matches(index: DataFrame, block: Phrases) -> DataFrame:
+    """One block's matches, a row for each document: segment, place (in the segment), doc_id, n_words, from_, to (runs of
+    hit words, disjoint), items."""
     spark: SparkSession = index.sparkSession
-    blocks = list(phrase_blocks(items, window))
-    often = frequencies(index, {w for b in blocks for w in b.vocabulary}) if blocks else {}
-    for b in blocks:
-        b.rank(often)
-    sent = [spark.sparkContext.broadcast(b) for b in blocks]
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
+    block.rank(frequencies(index, set(block.vocabulary)))
+    sent = spark.sparkContext.broadcast(block)
+    numbers, names = pa.list_(pa.int64()), pa.list_(pa.string())
+    schema = pa.schema([("segment", pa.string()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("from_", numbers), ("to", numbers), ("items", names)])
 
     def match(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                part = Segment(row)
-                edge = np.zeros(int(part.starts[-1]) + 1, np.int64)
-                items_of: list[set] = [set() for _ in part.doc_ids]
-                for block in (b.value for b in sent):
-                    for phrase, start in phrase_starts(part, block):
-                        np.add.at(edge, start, 1)
-                        np.add.at(edge, start + block.length[phrase], -1)
-                        for d, p in zip(part.document(start).tolist(), phrase.tolist(), strict=True):
-                            items_of[d].update(block.items[p])
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-                yield pa.RecordBatch.from_arrays([pa.array(part.doc_ids, pa.int64()), pa.array(part.lengths), pa.array(hit[part.starts[1:]] - hit[part.starts[:-1]]), pa.array([sorted(x) for x in items_of], pa.list_(pa.string()))], schema=schema)
-
-    return index.mapInArrow(match, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>")
+                part, phrases = Segment(row), sent.value
+                edge = np.zeros(int(part.starts[-1]) + 1, np.int32)
+                found: list[set] = [set() for _ in part.doc_ids]
+                for phrase, start in phrase_starts(part, phrases):
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + phrases.length[phrase], -1)
+                    for d, p in zip(part.document(start).tolist(), phrase.tolist(), strict=True):
+                        found[d].update(phrases.items[p])
+                hit = np.cumsum(edge) > 0
+                runs_ = [hit_runs(hit[a:b]) for a, b in zip(part.starts[:-1].tolist(), part.starts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["segment"]] * len(runs_)), pa.array(range(len(runs_)), pa.int32()), pa.array(part.doc_ids, pa.int64()), pa.array(part.lengths),
+                    pa.array([x[0] for x in runs_], numbers), pa.array([x[1] for x in runs_], numbers), pa.array([sorted(x) for x in found], names)], schema=schema)
+
+    return index.mapInArrow(match, "segment string, place int, doc_id bigint, n_words bigint, from_ array<bigint>, to array<bigint>, items array<string>")
+
+
+def hit_runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of true begin and end (exclusive)."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    return edge[::2].tolist(), edge[1::2].tolist()
+
+
+def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """Exact matches, one row per document: doc_id, n_words, n_hit (words inside any match), items (ids as sorted strings)."""
+    blocks = phrase_blocks(items, window)
+    found, more = block_matches(index, next(blocks, Phrases({}))), next(blocks, None)
+    if more is None:
+        return found.select("doc_id", "n_words", covered("from_", "to").alias("n_hit"), "items")
+    parts = [save(found, "matches")]
+    while more is not None:
+        parts.append(save(block_matches(index, more).where("size(items) > 0"), "matches"))
+        more = next(blocks, None)
+    every = reduce(DataFrame.unionByName, parts)
+    runs_ = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("from_", "to"))))
+    merged = every.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), runs_.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def step(done: Column, r: Column) -> Column:
+        own = F.greatest(F.lit(0).cast("long"), r["to"] - F.greatest(r["from_"], done["end"]))
+        return F.struct(F.greatest(done["end"], r["to"]).alias("end"), (done["n"] + own).alias("n"))
+
+    zero = F.lit(0).cast("long")
+    n_hit = F.aggregate("r", F.struct(zero.alias("end"), zero.alias("n")), step, lambda done: done["n"])
+    return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), "items")
+
+
+def covered(start: str, end: str) -> Column:
+    """The summed lengths of disjoint runs."""
+    return F.aggregate(F.zip_with(start, end, lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, slop: int = 20) -> DataFrame:

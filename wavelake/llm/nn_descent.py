@@ -163,8 +163,8 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> Dat
     def scored(pairs: DataFrame) -> DataFrame:
         return pairs.join(targets, "c").join(asked, "q").select("q", "c", cosine(F.col("v"), F.col("cv"), F.col("norm") * F.col("cn")).alias("s"))
 
-    entries = F.broadcast(nodes.orderBy(F.xxhash64("id"), "id").select(F.col("id").alias("c")).limit(ENTRIES))
-    start = asked.select("q", F.col("q").alias("c")).unionByName(asked.select("q").crossJoin(entries)).distinct()
+    entries = [F.lit(r.id) for r in nodes.orderBy(F.xxhash64("id"), "id").select("id").limit(ENTRIES).collect()]
+    start = asked.select("q", F.explode(F.array_distinct(F.array("q", *entries))).alias("c"))
     pool = save(scored(start).withColumn("done", F.lit(False)), "pool")
     for _ in range(HOPS):
         next_ = best_of(pool.where("NOT done"), "q", [F.desc("s"), "c"], BEAM).select("q", "c", F.lit(True).alias("now"))

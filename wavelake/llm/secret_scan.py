@@ -63,21 +63,21 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan(documents: DataFrame, owner: str = "source", repository: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, base and spans (arrays of start, kind, end, value, n_owners, n_repositories, verdict).
+    """kept (a struct of the columns in keep), base and spans (arrays of start, kind, end, value, n_owners, n_repositories, verdict).
 
     Verdicts: `example` (WIDE or more owners), `live` (one owner), `shared`. spans: base, and the live extra ones.
+    Columns of any name can be kept, as they stay inside the struct.
     """
-    named = documents.select(*keep, F.col(owner).cast("string").alias("owner_"), F.col(repository).cast("string").alias("repository_"), "text")
-    held = save(with_spans(named.withColumn("row_", F.monotonically_increasing_id())).drop(*({"text"} - set(keep))), "spans")
+    named = documents.select(F.struct(*keep).alias("kept"), F.col(owner).cast("string").alias("owner_"), F.col(repository).cast("string").alias("repository_"), "text")
+    held = save(with_spans(named.withColumn("row_", F.monotonically_increasing_id())).drop("text"), "spans")
     each = held.where("size(base) + size(extra) > 0").select("row_", F.col("owner_").alias("owner"), F.col("repository_").alias("repository"), F.explode(F.concat("base", "extra")).alias("s")).withColumn("hash", F.sha2("s.value", 256))
     verdict = F.when(F.col("n_owners") >= WIDE, "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
     judged = each.join(ownership(each), "hash").select("row_", F.struct("s.start", "s.kind", "s.end", "s.value", "n_owners", "n_repositories", verdict.alias("verdict")).alias("s"))
     kept = judged.where("s.kind < 3 OR s.verdict = 'live'").groupBy("row_").agg(F.array_sort(F.collect_list("s")).alias("spans"))
-    columns = [F.col(c) for c in keep]
     none = F.array().cast(kept.schema["spans"].dataType)
     has = F.expr("size(base) + size(extra) > 0")
-    out = held.where(has).join(kept, "row_", "left").select(*columns, F.coalesce("spans", none).alias("spans"))
-    out = out.unionByName(held.where(~has).select(*columns, none.alias("spans")))
+    out = held.where(has).join(kept, "row_", "left").select("kept", F.coalesce("spans", none).alias("spans"))
+    out = out.unionByName(held.where(~has).select("kept", none.alias("spans")))
     return out.withColumn("base", F.filter("spans", lambda s: s["kind"] < 3))
 
 
@@ -87,27 +87,28 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def count_of(spans: str, test) -> Column:
-    return F.size(F.filter(spans, test)).cast("long")
+def count_of(spans: str, field: str, value: int | str) -> Column:
+    return F.size(F.filter(spans, lambda s: s[field] == value)).cast("long")
 
 
 def secret_report(documents: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans, n_live and n_example (of all spans)."""
     found = scan(documents.withColumn("doc_id", F.col("doc_id").cast("long")))
-    counts = [count_of("base", lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)]
-    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), count_of("spans", lambda s: s["verdict"] == "live").alias("n_live"), count_of("spans", lambda s: s["verdict"] == "example").alias("n_example"))
+    counts = [count_of("base", "kind", k).alias(f"n_{KINDS[k]}") for k in range(3)]
+    return found.select("kept.doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), count_of("spans", "verdict", "live").alias("n_live"), count_of("spans", "verdict", "example").alias("n_example"))
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns; in texts, spans that aren't widely copied examples are replaced by the mark."""
     found = scan(documents, keep=tuple(documents.columns))
-    secret = F.filter("spans", lambda s: s["verdict"] != "example")
+    secret, text = F.filter("spans", lambda s: s["verdict"] != "example"), F.col("kept.text")
     begun = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, s: Column) -> Column:
         clear = s["start"] >= done["at"]
-        before = F.substr(F.col("text"), done["at"] + 1, s["start"] - done["at"])
+        before = F.substr(text, done["at"] + 1, s["start"] - done["at"])
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(clear, F.concat(done["out"], before, F.lit(mark))).otherwise(done["out"]).alias("out"))
 
-    rest = lambda done: F.concat(done["out"], F.substr(F.col("text"), done["at"] + 1))
-    return found.withColumn("text", F.when(F.size(secret) > 0, F.aggregate(secret, begun, step, rest)).otherwise(F.col("text"))).select(*documents.columns)
+    rest = lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1))
+    new = F.when(F.size(secret) > 0, F.aggregate(secret, begun, step, rest)).otherwise(text)
+    return found.select(*(new.alias("text") if c == "text" else F.col("kept").getField(c).alias(c) for c in documents.columns))

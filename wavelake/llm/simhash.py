@@ -10,7 +10,7 @@ differs by more than the radius, and the survivors are verified. Where more than
 table (a family of near copies), pairs are not listed: fingerprints are linked through the values at most one bit away
 from them, which two fingerprints share exactly if they are within 2 bits; that is linear in the family's size.
 
-similar_pairs() and near_duplicate_groups() are for word-set similarity (five words, 0.8 by default). At that radius (a
+similar_components() and near_duplicate_groups() are for word-set similarity (five words, 0.8 by default). At that radius (a
 seventh of all bits) distances to fixed references tell too little to index by, so pairs meet on random samples of bits
 of a 256-bit SimHash instead, pivot tables and Hamming distance discard most, and the exact Jaccard similarity decides.
 
@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelake.llm.common import save, texts
@@ -65,7 +65,7 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th 64 bits made from each hash: the hash itself, then splitmix64's finaliser over shifted copies."""
     if k == 0:
         return h
-    x = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
+    x = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -196,20 +196,45 @@ def bit_samples(prints: DataFrame, plan: list[list[int]]) -> DataFrame:
     return prints.select("rep", "f0", "f1", "f2", "f3").mapInArrow(make, "rep bigint, f0 bigint, key bigint")
 
 
-def candidate_pairs(prints: DataFrame, similarity: float, whole: int = 6) -> DataFrame:
-    """Pairs (a, b), a < b, of reps that share a bit sample. All pairs of up to `whole` sharers; beyond, each sharer
-    with the sample's smallest and largest rep, so that the count stays linear. Distant pairs are discarded."""
+def sharer_pairs(prints: DataFrame, similarity: float, whole: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of reps that share a bit sample, and the large samples' rows (key, rep, f0 to f3).
+
+    All pairs of up to `whole` sharers; beyond, each sharer with the sample's smallest and largest rep, so that the count
+    stays linear: remaining_pairs() takes up what these leave. Distant pairs are discarded.
+    """
     plan = sample_plan(prints.count(), similarity)
-    sharers = bit_samples(prints, plan).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "f0")).alias("low"), F.max(F.struct("rep", "f0")).alias("high")).where("n > 1")
+    samples = bit_samples(prints, plan)
+    sharers = samples.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "f0")).alias("low"), F.max(F.struct("rep", "f0")).alias("high")).where("n > 1")
     sharers = save(sharers, "sharers")
-    radius = math.ceil(64 * (1 - bits_agreeing(similarity)) + 4 * 8 * math.sqrt(bits_agreeing(similarity) * (1 - bits_agreeing(similarity))))
-    rows = bit_samples(prints, plan).join(sharers, "key")
+    rows = samples.join(sharers, "key")
     ends = rows.select("rep", "f0", F.explode(F.array("low", "high")).alias("o"))
     rest = rows.where(F.col("n").between(4, whole)).select("key", "rep", "f0")
     inner = rest.join(rest.select("key", F.struct("rep", "f0").alias("o")), "key").select("rep", "f0", "o")
     a, b = F.col("rep"), F.col("o.rep")
-    near = (a != b) & pivots_allow(F.col("f0"), F.col("o.f0"), radius) & (distance("f0", F.col("o.f0")) <= radius)
-    return ends.unionByName(inner).where(near).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    near = (a != b) & close("f0", "o.f0", similarity)
+    pairs = ends.unionByName(inner).where(near).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    return pairs, rows.where(F.col("n") > whole).select("key", "rep")
+
+
+def close(f: str, g: str, similarity: float) -> Column:
+    """The pivot tables and the Hamming distance of two 64-bit prints allow that similarity (to four standard deviations)."""
+    p = bits_agreeing(similarity)
+    radius = math.ceil(64 * (1 - p) + 4 * 8 * math.sqrt(p * (1 - p)))
+    return pivots_allow(F.col(f), F.col(g), radius) & (distance(f, g) <= radius)
+
+
+def remaining_pairs(large: DataFrame, prints: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """Close pairs (a, b) of a large sample whose sharers the first pairs left in several components, across components.
+
+    A sample whose sharers are one component needs no more: most families of near copies end there.
+    """
+    held = save(large.join(parts, large.rep == parts.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("part")), "large")
+    open_ = held.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    rows = held.join(open_, "key", "left_semi").join(prints.select("rep", "f0"), "rep")
+    rows = save(rows, "open")
+    other = rows.select("key", F.col("rep").alias("b"), F.col("part").alias("part_b"), F.col("f0").alias("g0"))
+    met = rows.join(other, (rows.key == other.key) & (F.col("rep") < F.col("b")) & (F.col("part") != F.col("part_b")) & close("f0", "g0", similarity))
+    return met.select(F.col("rep").alias("a"), "b").distinct()
 
 
 def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
@@ -225,12 +250,8 @@ def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(make, "doc_id bigint, hashes binary")
 
 
-def similar_pairs(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, text), texts distinct -> (a, b, similarity): candidate pairs whose shingle sets have at least that Jaccard similarity."""
-    prints = save(fingerprints(documents, size, 4).withColumnRenamed("doc_id", "rep"), "fingerprints")
-    pairs = save(candidate_pairs(prints, similarity), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = save(shingle_sets(documents.join(wanted, "doc_id", "left_semi"), size), "sets")
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similarity) of the pairs whose shingle sets have at least that Jaccard similarity."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
 
     def compare(batches):
@@ -245,20 +266,61 @@ def similar_pairs(documents: DataFrame, size: int = 5, similarity: float = 0.8)
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, similarity double").where(F.col("similarity") >= similarity)
 
 
+def similar_components(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text), texts and ids distinct -> (node, component) over links of that Jaccard similarity of shingle sets."""
+    prints = save(fingerprints(documents, size, 4).withColumnRenamed("doc_id", "rep"), "fingerprints")
+    pairs, large = sharer_pairs(prints, similarity)
+    pairs = save(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select(F.col("rep").alias("doc_id"))).distinct()
+    sets = save(shingle_sets(documents.join(wanted, "doc_id", "left_semi"), size), "sets")
+    links = save(verified(pairs, sets, similarity).select("a", "b"), "links")
+    if large.isEmpty():
+        return connected_components(links)
+    parts = save(connected_components(links), "parts")
+    more = verified(remaining_pairs(large, prints, parts, similarity), sets, similarity).select("a", "b")
+    return connected_components(links.unionByName(more))
+
+
 def near_duplicate_groups(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id: documents with equal word sequences, or linked by similar shingle sets, share the smallest doc_id reachable.
+    """doc_id, sha, component_id: documents with equal word sequences, or linked by similar shingle sets, share the smallest doc_id reachable.
 
-    Documents without words are copies of each other. Null ids are left out.
+    sha is the digest of the word sequence. Documents without words are copies of each other. Null ids are left out.
     """
     own = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    copies = save(own.select("doc_id", F.sha2(F.trim(F.regexp_replace(ascii_lower("text"), "[ \\t-\\r]+", " ")), 256).alias("sha")), "copies")
-    first = copies.groupBy("sha").agg(F.min("doc_id").alias("rep"))
-    texts_once = own.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    parts = connected_components(similar_pairs(texts_once, size, similarity))
-    named = first.join(parts, first.rep == parts.node, "left").select("sha", F.coalesce("component", "rep").alias("component_id"))
-    return copies.join(named, "sha").select("doc_id", "component_id")
-
-
-def ascii_lower(column: str) -> Column:
+    copies = save(own.select("doc_id", word_digest("text").alias("sha")), "copies")
+    first = save(copies.groupBy("sha").agg(F.min("doc_id").alias("rep")), "first")
+    # an id that stands for several texts gets a number of its own for each
+    taken = first.groupBy("rep").agg(F.min("sha").alias("main")).withColumnRenamed("rep", "rep_")
+    named = first.join(taken, first.rep == taken.rep_).select("sha", "rep", F.when(F.col("sha") == F.col("main"), F.col("rep")).otherwise(F.xxhash64("sha")).alias("node"))
+    named = save(named, "named")
+    texts_once = own.withColumn("sha", word_digest("text")).join(named.withColumnRenamed("rep", "doc_id"), ["doc_id", "sha"]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text")
+    parts = similar_components(texts_once, size, similarity).withColumnRenamed("node", "node_")
+    placed = save(named.join(parts, named.node == parts.node_, "left").select("sha", "rep", F.coalesce("component", "node").alias("part")), "placed")
+    least = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
+    return copies.join(placed.join(least, "part").select("sha", "component_id"), "sha")
+
+
+def one_of_each_group(documents: DataFrame) -> DataFrame:
+    """The rows of the smallest doc_id of each near-duplicate group, repeated rows once; rows of null ids stay."""
+    groups = save(near_duplicate_groups(documents), "groups")
+    once = groups.groupBy("doc_id", "sha").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    main = F.min("sha").over(Window.partitionBy("component_id"))
+    own = once.where("doc_id = component_id").withColumn("main", main)  # the texts of one id
+    kept = save(own.where("sha = main").select("doc_id", "sha", "n"), "kept")
+    repeated = kept.where("n > 1").select("doc_id", "sha")
+    dropped = save(once.select("doc_id", "sha").join(kept, ["doc_id", "sha"], "left_anti").unionByName(repeated), "dropped")
+    packed = documents.select(F.struct(*documents.columns).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), word_digest(F.coalesce("text", F.lit(""))).alias("sha"))
+    out = packed.join(dropped, ["doc_id", "sha"], "left_anti").select("kept")
+    if not repeated.isEmpty():
+        out = out.unionByName(packed.join(repeated, ["doc_id", "sha"], "left_semi").dropDuplicates(["doc_id", "sha"]).select("kept"))
+    return out.select("kept.*")
+
+
+def word_digest(text: Column | str) -> Column:
+    """SHA-256 of the lower-cased words, joined by a space."""
+    return F.sha2(F.trim(F.regexp_replace(ascii_lower(text), "[ \\t-\\r]+", " ")), 256)
+
+
+def ascii_lower(column: Column | str) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(column, upper, upper.lower())

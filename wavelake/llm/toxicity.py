@@ -149,10 +149,10 @@ def linear_classifier(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: f
 
 
 def score(documents: DataFrame, labels: DataFrame, held_out: int = 0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, and toxicity: the classifier's probability for the whole text."""
+    """kept (a struct of the columns in keep, of any names), and toxicity: the classifier's probability for the whole text."""
     number, weights = fit(documents, labels, held_out)
     sent = documents.sparkSession.sparkContext.broadcast((number, weights))
-    plain = documents.select(*keep, *({"text"} - set(keep)))
+    plain = documents.select(F.struct(*keep).alias("kept"), "text")
     out = with_field(plain, "toxicity", T.DoubleType())
 
     def judge(batches):
@@ -165,15 +165,15 @@ def score(documents: DataFrame, labels: DataFrame, held_out: int = 0, keep: tupl
                 made.append(1 / (1 + np.exp(-np.clip(w[hits].sum() + patterns @ of_patterns + constant, -30, 30))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], [*batch.schema.names, "toxicity"])
 
-    return plain.mapInArrow(judge, out).select(*keep, "toxicity")
+    return plain.mapInArrow(judge, out).select("kept", "toxicity")
 
 
 def toxicity_report(documents: DataFrame, labels: DataFrame, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from a score of 0.5)."""
-    scored = score(documents.withColumn("doc_id", F.col("doc_id").cast("long")), labels, held_out)
+    scored = score(documents.withColumn("doc_id", F.col("doc_id").cast("long")), labels, held_out).select("kept.doc_id", "toxicity")
     return scored.select("doc_id", (fold_of(F.col("doc_id"), FOLDS) == held_out).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is under 0.5, with all their columns."""
-    return score(documents, labels, keep=tuple(documents.columns)).where("toxicity < 0.5").drop("toxicity")
+    return score(documents, labels, keep=tuple(documents.columns)).where("toxicity < 0.5").select("kept.*")
