@@ -140,7 +140,7 @@ def test_op4(spark, documents, plain):
         want[(i, *(sum(x[1] == k for x in b) for k in range(3)), sha(",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in b)))] += 1
     assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in rows) == want
     spans = {r.doc_id: r for r in rows}
-    assert spans[10**6 + 4].spans == "owner:4:37" and spans[10**6 + 4].n_live == 1
+    assert spans[10**6 + 4].spans == "owner:4:36" and spans[10**6 + 4].n_live == 1
     assert spans[10**6 + 2].n_example == 1 and spans[10**6 + 1].n_live == 2
 
 
