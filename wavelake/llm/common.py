@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +16,8 @@ from pyspark.sql import types as T
 
 #: ASCII upper case to lower case, all other bytes as they are.
 LOWER = bytes(range(256)).lower()
+#: Rows of an Arrow batch that carries whole texts.
+BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,13 +29,41 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here and survives lost executors."""
+#: Paths of the tables saved in each open scratch(), the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def save(df: DataFrame, label: str, outlive: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends here and survives lost executors.
+
+    Inside scratch() the table goes when that ends; with outlive, when the next outer one does.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    scopes = _scopes.get()[: -1 if outlive else None]
+    if scopes:
+        scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that save() writes in here are deleted at the end, once what they led to is written itself."""
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in own:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fold_of(doc_id: Column, parts: int = 5) -> Column:
     """crc32 of the id's text modulo parts; a null id counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
@@ -41,6 +75,20 @@ def sql_lower(text: str) -> str:
     return f"translate({text}, '{upper}', '{upper.lower()}')"
 
 
+def bounded(operator: Callable) -> Callable:
+    """For operators that hand whole texts to Python: the session's Arrow batches become BATCH_ROWS rows at most, so that a
+    batch of long texts fits in a worker."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **named):
+        conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if int(conf.get(key)) > BATCH_ROWS:
+            conf.set(key, str(BATCH_ROWS))
+        return operator(df, *args, **named)
+
+    return run
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The column's UTF-8 bytes; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

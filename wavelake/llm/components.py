@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import save
+from wavelake.llm.common import save, scratch
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -14,6 +14,13 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Nodes without links, links with a null end and links to oneself give no row. Each round saves its links in the
     shared folder, so lineage stays short; no links reach the driver, only their count and checksum.
     """
+    with scratch(edges.sparkSession):
+        links = settle(edges, rounds)
+        return save(links, "components", outlive=True)
+
+
+def settle(edges: DataFrame, rounds: int) -> DataFrame:
+    """Large and small stars in turn until nothing changes: (node, component)."""
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     links = save(links, "links")
     before = None

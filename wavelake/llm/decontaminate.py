@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import save, texts
+from wavelake.llm.common import bounded, save, scratch, texts
 
 #: Bytes of words stay (a-z, digits, all beyond ASCII), A-Z become lower case, all others become spaces.
 WORD_BYTES = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else b if b >= 128 else 32 for b in range(256))
@@ -64,6 +64,7 @@ def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pylist([segment(ids, lengths, words)], schema)
 
 
+@bounded
 def build_index(documents: DataFrame) -> DataFrame:
     """(doc_id bigint, text) -> the index, written to the shared folder: one row for each segment of whole documents."""
     return save(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(index_batches, INDEX), "postings")
@@ -284,3 +285,10 @@ def proximity_matches(index: DataFrame, queries: DataFrame, slop: int = 20) -> D
 def contamination(documents: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """Index the documents and match the items' windows: doc_id, n_words, n_hit, items."""
     return phrase_matches(build_index(documents), items, window)
+
+
+def contaminated_ids(documents: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """doc_id of the documents with a match, written to the shared folder; the index goes."""
+    with scratch(documents.sparkSession):
+        found = contamination(documents, items, window)
+        return save(found.where("n_hit > 0").select("doc_id").distinct(), "contaminated", outlive=True)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavelake.llm.common import texts, with_field
+from wavelake.llm.common import bounded, texts, with_field
 from wavelake.llm.simhash import runs
 
 MARK = "▁"
@@ -241,6 +241,7 @@ class Cache(dict):
         self.update((w[1:], ids) for w, ids in vocabulary.encode_words([b" " + w for w in new]))
 
 
+@bounded
 def encode(documents: DataFrame, model: str | None = None, scores: str = "zipf", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows with `text` -> the columns in keep, text, and ids (array<int>): the best path's tokens of the whole text."""
     sent = documents.sparkSession.sparkContext.broadcast(load_vocabulary(model or default_model(), scores))
@@ -263,6 +264,7 @@ def encode(documents: DataFrame, model: str | None = None, scores: str = "zipf",
     return plain.mapInArrow(make, schema)
 
 
+@bounded
 def decode(coded: DataFrame, model: str | None = None, scores: str = "zipf") -> DataFrame:
     """Rows with `ids` -> the same rows with `decoded` (string). Null ids decode to the empty string."""
     sent = coded.sparkSession.sparkContext.broadcast(load_vocabulary(model or default_model(), scores))

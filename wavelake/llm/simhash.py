@@ -10,9 +10,9 @@ differs by more than the radius, and the survivors are verified. Where more than
 table (a family of near copies), pairs are not listed: fingerprints are linked through the values at most one bit away
 from them, which two fingerprints share exactly if they are within 2 bits; that is linear in the family's size.
 
-similar_components() and near_duplicate_groups() are for word-set similarity (five words, 0.8 by default). At that radius (a
-seventh of all bits) distances to fixed references tell too little to index by, so pairs meet on random samples of bits
-of a 256-bit SimHash instead, pivot tables and Hamming distance discard most, and the exact Jaccard similarity decides.
+near_duplicate_groups() and one_of_each_group() are for word-set similarity (five words, 0.8 by default). At that radius
+(a seventh of all bits) distances to fixed references tell too little to index by, so pairs meet on min-hash bands of
+their shingles instead; pivot tables and the Hamming distance discard, and the exact Jaccard similarity decides.
 
 Null texts are empty; texts without words have fingerprint 0 and no shingles; texts of fewer words than a shingle have
 one, the whole sequence. Null ids keep their fingerprint and take the component of what they link to.
@@ -20,6 +20,7 @@ one, the whole sequence. Null ids keep their fingerprint and take the component
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections.abc import Iterator
@@ -32,10 +33,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import save, texts
+from wavelake.llm.common import bounded, save, scratch, texts
 from wavelake.llm.components import connected_components
 
-RADIUS, PIVOTS, BIT_GROUPS = 2, 16, 5
+RADIUS, PIVOTS, BIT_GROUPS, BAND_ROWS = 2, 16, 5, 4
 _draw = random.Random(64)
 REFERENCES = [_draw.getrandbits(64) for _ in range(PIVOTS)]
 BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float64)
@@ -96,6 +97,7 @@ def runs(sizes: list[int], most: int, rows: int = 512) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+@bounded
 def fingerprints(documents: DataFrame, size: int = 3, words: int = 1) -> DataFrame:
     """(doc_id, text) -> doc_id, f0, f1, ... (bigint, 64 bits each), a row for each row."""
     fields = ["doc_id", *(f"f{k}" for k in range(words))]
@@ -159,8 +161,10 @@ def fingerprint_components(documents: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, f (the 64-bit fingerprint), component_id: the smallest doc_id reachable over links of 2 or fewer bits."""
     prints = save(fingerprints(documents, size).withColumnRenamed("f0", "f"), "fingerprints")
     distinct = prints.groupBy("f").agg(F.min("doc_id").alias("rep"))
-    parts = connected_components(fingerprint_links(distinct.where("rep IS NOT NULL")))
-    named = distinct.join(parts, distinct.rep == parts.node, "left").select("f", F.coalesce("component", "rep").alias("component_id"))
+    with scratch(documents.sparkSession):
+        distinct = save(distinct, "distinct", outlive=True)
+        parts = connected_components(fingerprint_links(distinct.where("rep IS NOT NULL")))
+        named = save(distinct.join(parts, distinct.rep == parts.node, "left").select("f", F.coalesce("component", "rep").alias("component_id")), "named", outlive=True)
     return prints.join(named, "f").select("doc_id", "f", "component_id")
 
 
@@ -172,48 +176,66 @@ def bits_agreeing(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def sample_plan(n: int, similarity: float, miss: float = 0.005) -> list[list[int]]:
-    """Bit samples of a 256-bit SimHash (its last 192 bits): about log2(n) bits in each, as many samples as bring the
-    chance that a pair just at the threshold shares none down to `miss`."""
-    size = min(40, max(12, math.ceil(math.log2(max(n, 2)))))
-    count = math.ceil(math.log(miss) / math.log(1 - bits_agreeing(similarity) ** size))
-    draw = random.Random(256)
-    return [sorted(draw.sample(range(64, 256), size)) for _ in range(count)]
+def band_count(similarity: float, rows: int = BAND_ROWS, miss: float = 0.002) -> int:
+    """As many bands as bring the chance that a pair just at the threshold shares none down to `miss`."""
+    return math.ceil(math.log(miss) / math.log(1 - similarity**rows))
 
 
-def bit_samples(prints: DataFrame, plan: list[list[int]]) -> DataFrame:
-    """rep, f0, key: a row for each sample of each fingerprint; key holds the sample's number and its bits."""
+def bands_of(flat: np.ndarray, starts: np.ndarray, bands: int) -> np.ndarray:
+    """(sets, bands) keys from each set's BAND_ROWS minima a band under as many hash functions; flat: the sets laid end to end."""
+    draw = random.Random(5)
+    out = np.empty((len(starts), bands), np.uint64)
+    for t in range(bands):
+        key = np.full(len(starts), t + 1, np.uint64)
+        for _ in range(BAND_ROWS):
+            x = (flat ^ np.uint64(draw.getrandbits(64))) * np.uint64(draw.getrandbits(64) | 1)
+            least = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
+            key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, t] = key
+    return out
+
+
+@bounded
+def set_prints(documents: DataFrame, size: int, similarity: float) -> DataFrame:
+    """doc_id, sha (digest of the word sequence), f0 (SimHash of the distinct shingles), bands (array<bigint>), a row for each row.
+
+    One pass without a shuffle. Rows without words have no bands.
+    """
+    count = band_count(similarity)
 
     def make(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                rep, *own = (part.column(c).to_numpy() for c in ("rep", "f0", "f1", "f2", "f3"))
-                bits = np.unpackbits(np.stack(own, 1).astype("<i8").view(np.uint8).reshape(len(rep), 32), axis=1, bitorder="little")
-                keys = np.concatenate([bits[:, s].astype(np.int64) @ (1 << np.arange(len(s), dtype=np.int64)) + (t << 44) for t, s in enumerate(plan)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(rep, len(plan))), pa.array(np.tile(own[0], len(plan))), pa.array(keys)], ["rep", "f0", "key"])
+            ids, own = batch.column("doc_id"), texts(batch)
+            for a, b in runs([len(x) for x in own], 4 << 20):
+                digests = [hashlib.sha256(b" ".join(x.lower().split())).hexdigest() for x in own[a:b]]
+                sets = [np.unique(np.array(shingle_hashes(x, size), np.uint64)) for x in own[a:b]]
+                bands: list = [[] for _ in sets]
+                if has := [i for i, x in enumerate(sets) if len(x)]:
+                    sizes = np.array([len(sets[i]) for i in has])
+                    keys = bands_of(np.concatenate([sets[i] for i in has]), np.cumsum(sizes) - sizes, count).view(np.int64).tolist()
+                    for i, k in zip(has, keys, strict=True):
+                        bands[i] = k
+                made = fingerprints_of([x.tolist() for x in sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(digests), pa.array(made[:, 0]), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "sha", "f0", "bands"])
 
-    return prints.select("rep", "f0", "f1", "f2", "f3").mapInArrow(make, "rep bigint, f0 bigint, key bigint")
+    return documents.mapInArrow(make, "doc_id bigint, sha string, f0 bigint, bands array<bigint>")
 
 
 def sharer_pairs(prints: DataFrame, similarity: float, whole: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), a < b, of reps that share a bit sample, and the large samples' rows (key, rep, f0 to f3).
+    """(rep, f0, bands) -> pairs (a, b), a < b, of reps that share a band, and the large bands' rows (key, rep, f0).
 
-    All pairs of up to `whole` sharers; beyond, each sharer with the sample's smallest and largest rep, so that the count
-    stays linear: remaining_pairs() takes up what these leave. Distant pairs are discarded.
+    All pairs of up to `whole` sharers; beyond, each sharer with the band's smallest rep, so that the count stays linear:
+    remaining_pairs() takes up what these leave. Distant pairs are discarded.
     """
-    plan = sample_plan(prints.count(), similarity)
-    samples = bit_samples(prints, plan)
-    sharers = samples.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "f0")).alias("low"), F.max(F.struct("rep", "f0")).alias("high")).where("n > 1")
-    sharers = save(sharers, "sharers")
-    rows = samples.join(sharers, "key")
-    ends = rows.select("rep", "f0", F.explode(F.array("low", "high")).alias("o"))
-    rest = rows.where(F.col("n").between(4, whole)).select("key", "rep", "f0")
+    rows = prints.select("rep", "f0", F.explode("bands").alias("key"))
+    sharers = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "f0")).alias("o")).where("n > 1")
+    shared = save(rows.join(sharers, "key"), "shared")
+    rest = shared.where(F.col("n").between(3, whole)).select("key", "rep", "f0")
     inner = rest.join(rest.select("key", F.struct("rep", "f0").alias("o")), "key").select("rep", "f0", "o")
-    a, b = F.col("rep"), F.col("o.rep")
-    near = (a != b) & close("f0", "o.f0", similarity)
-    pairs = ends.unionByName(inner).where(near).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    return pairs, rows.where(F.col("n") > whole).select("key", "rep")
+    near = (F.col("rep") > F.col("o.rep")) & close("f0", "o.f0", similarity)
+    pairs = shared.select("rep", "f0", "o").unionByName(inner).where(near).select(F.col("o.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    return save(pairs, "pairs"), shared.where(F.col("n") > whole).select("key", "rep", "f0")
 
 
 def close(f: str, g: str, similarity: float) -> Column:
@@ -223,42 +245,45 @@ def close(f: str, g: str, similarity: float) -> Column:
     return pivots_allow(F.col(f), F.col(g), radius) & (distance(f, g) <= radius)
 
 
-def remaining_pairs(large: DataFrame, prints: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """Close pairs (a, b) of a large sample whose sharers the first pairs left in several components, across components.
+def remaining_pairs(large: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """Close pairs (a, b) of a large band whose sharers the first pairs left in several components, across components.
 
-    A sample whose sharers are one component needs no more: most families of near copies end there.
+    A band whose sharers are one component needs no more: families of near copies end there.
     """
-    held = save(large.join(parts, large.rep == parts.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("part")), "large")
-    open_ = held.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    rows = held.join(open_, "key", "left_semi").join(prints.select("rep", "f0"), "rep")
-    rows = save(rows, "open")
+    held = large.join(parts, large.rep == parts.node, "left").select("key", "rep", "f0", F.coalesce("component", "rep").alias("part"))
+    ends = held.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    rows = save(held.join(ends, "key", "left_semi"), "open")
     other = rows.select("key", F.col("rep").alias("b"), F.col("part").alias("part_b"), F.col("f0").alias("g0"))
-    met = rows.join(other, (rows.key == other.key) & (F.col("rep") < F.col("b")) & (F.col("part") != F.col("part_b")) & close("f0", "g0", similarity))
-    return met.select(F.col("rep").alias("a"), "b").distinct()
+    apart = (F.col("rep") < F.col("b")) & (F.col("part") != F.col("part_b")) & close("f0", "g0", similarity)
+    return rows.join(other, "key").where(apart).select(F.col("rep").alias("a"), "b").distinct()
 
 
+@bounded
 def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
-    """doc_id, hashes (binary: the sorted distinct shingle hashes, 8 bytes each)."""
+    """(text, sha, node) -> node, hashes (binary: the sorted distinct shingle hashes, 8 bytes each) of the texts with that digest, once each."""
 
     def make(batches):
         for batch in batches:
-            ids, own = batch.column("doc_id"), texts(batch)
-            for a, b in runs([len(x) for x in own], 8 << 20):
-                sets = [np.unique(np.array(shingle_hashes(x, size), np.uint64)).tobytes() for x in own[a:b]]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
+            nodes, shas, own = batch.column("node").to_pylist(), batch.column("sha").to_pylist(), texts(batch)
+            for a, b in runs([len(x) for x in own], 4 << 20):
+                same = [i for i in range(a, b) if hashlib.sha256(b" ".join(own[i].lower().split())).hexdigest() == shas[i]]
+                sets = [np.unique(np.array(shingle_hashes(own[i], size), np.uint64)).tobytes() for i in same]
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in same], pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
 
-    return documents.select("doc_id", "text").mapInArrow(make, "doc_id bigint, hashes binary")
+    made = documents.select("text", "sha", "node").mapInArrow(make, "node bigint, hashes binary")
+    return made.groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
+@bounded
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b, similarity) of the pairs whose shingle sets have at least that Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
 
     def compare(batches):
         for batch in batches:
             out = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in ("x", "y"))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(common / max(1, len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
@@ -266,18 +291,17 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, similarity double").where(F.col("similarity") >= similarity)
 
 
-def similar_components(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, text), texts and ids distinct -> (node, component) over links of that Jaccard similarity of shingle sets."""
-    prints = save(fingerprints(documents, size, 4).withColumnRenamed("doc_id", "rep"), "fingerprints")
-    pairs, large = sharer_pairs(prints, similarity)
-    pairs = save(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select(F.col("rep").alias("doc_id"))).distinct()
-    sets = save(shingle_sets(documents.join(wanted, "doc_id", "left_semi"), size), "sets")
+def similar_components(documents: DataFrame, prints: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, doc_id, sha, f0, bands), one row for each text -> (node, component) over links of that Jaccard similarity of shingle sets."""
+    pairs, large = sharer_pairs(prints.withColumnRenamed("node", "rep"), similarity)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select(F.col("rep").alias("node"))).distinct()
+    chosen = prints.join(wanted, "node", "left_semi").select("doc_id", "sha", "node")
+    own = documents.select("doc_id", "text").join(chosen, "doc_id")
+    sets = save(shingle_sets(own, size), "sets")
     links = save(verified(pairs, sets, similarity).select("a", "b"), "links")
     if large.isEmpty():
         return connected_components(links)
-    parts = save(connected_components(links), "parts")
-    more = verified(remaining_pairs(large, prints, parts, similarity), sets, similarity).select("a", "b")
+    more = save(verified(remaining_pairs(large, connected_components(links), similarity), sets, similarity).select("a", "b"), "links")
     return connected_components(links.unionByName(more))
 
 
@@ -287,28 +311,24 @@ def near_duplicate_groups(documents: DataFrame, size: int = 5, similarity: float
     sha is the digest of the word sequence. Documents without words are copies of each other. Null ids are left out.
     """
     own = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    copies = save(own.select("doc_id", word_digest("text").alias("sha")), "copies")
-    first = save(copies.groupBy("sha").agg(F.min("doc_id").alias("rep")), "first")
-    # an id that stands for several texts gets a number of its own for each
-    taken = first.groupBy("rep").agg(F.min("sha").alias("main")).withColumnRenamed("rep", "rep_")
-    named = first.join(taken, first.rep == taken.rep_).select("sha", "rep", F.when(F.col("sha") == F.col("main"), F.col("rep")).otherwise(F.xxhash64("sha")).alias("node"))
-    named = save(named, "named")
-    texts_once = own.withColumn("sha", word_digest("text")).join(named.withColumnRenamed("rep", "doc_id"), ["doc_id", "sha"]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text")
-    parts = similar_components(texts_once, size, similarity).withColumnRenamed("node", "node_")
-    placed = save(named.join(parts, named.node == parts.node_, "left").select("sha", "rep", F.coalesce("component", "node").alias("part")), "placed")
-    least = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
-    return copies.join(placed.join(least, "part").select("sha", "component_id"), "sha")
+    with scratch(documents.sparkSession):
+        prints = save(set_prints(own, size, similarity), "prints")
+        # a digest's smallest id stands for it; an id with several texts gets a number of its own for the others
+        first = save(prints.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("f0").alias("f0"), F.first("bands").alias("bands")), "first")
+        main = first.groupBy("doc_id").agg(F.min("sha").alias("main"))
+        node = F.when(F.col("sha") == F.col("main"), F.col("doc_id")).otherwise(F.xxhash64("sha"))
+        named = save(first.join(main, "doc_id").select("doc_id", "sha", "f0", "bands", node.alias("node")), "named")
+        parts = similar_components(own, named, size, similarity).withColumnRenamed("node", "node_")
+        placed = save(named.join(parts, named.node == parts.node_, "left").select("sha", "doc_id", F.coalesce("component", "node").alias("part")), "placed")
+        least = placed.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+        return save(prints.select("doc_id", "sha").join(placed.join(least, "part").select("sha", "component_id"), "sha"), "groups", outlive=True)
 
 
 def one_of_each_group(documents: DataFrame) -> DataFrame:
     """The rows of the smallest doc_id of each near-duplicate group, repeated rows once; rows of null ids stay."""
-    groups = save(near_duplicate_groups(documents), "groups")
-    once = groups.groupBy("doc_id", "sha").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
-    main = F.min("sha").over(Window.partitionBy("component_id"))
-    own = once.where("doc_id = component_id").withColumn("main", main)  # the texts of one id
-    kept = save(own.where("sha = main").select("doc_id", "sha", "n"), "kept")
-    repeated = kept.where("n > 1").select("doc_id", "sha")
-    dropped = save(once.select("doc_id", "sha").join(kept, ["doc_id", "sha"], "left_anti").unionByName(repeated), "dropped")
+    spark = documents.sparkSession
+    with scratch(spark):
+        dropped, repeated = unwanted(near_duplicate_groups(documents))
     packed = documents.select(F.struct(*documents.columns).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), word_digest(F.coalesce("text", F.lit(""))).alias("sha"))
     out = packed.join(dropped, ["doc_id", "sha"], "left_anti").select("kept")
     if not repeated.isEmpty():
@@ -316,6 +336,17 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     return out.select("kept.*")
 
 
+def unwanted(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """near_duplicate_groups() rows -> (doc_id, sha) of the rows that don't stay as they are, and of those of them that stay once."""
+    once = groups.groupBy("doc_id", "sha").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    main = F.min("sha").over(Window.partitionBy("component_id"))
+    own = once.where("doc_id = component_id").withColumn("main", main)  # the texts of one id
+    kept = save(own.where("sha = main").select("doc_id", "sha", "n"), "kept")
+    repeated = save(kept.where("n > 1").select("doc_id", "sha"), "repeated", outlive=True)
+    dropped = once.select("doc_id", "sha").join(kept, ["doc_id", "sha"], "left_anti").unionByName(repeated)
+    return save(dropped, "dropped", outlive=True), repeated
+
+
 def word_digest(text: Column | str) -> Column:
     """SHA-256 of the lower-cased words, joined by a space."""
     return F.sha2(F.trim(F.regexp_replace(ascii_lower(text), "[ \\t-\\r]+", " ")), 256)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import texts
+from wavelake.llm.common import bounded, texts
 from wavelake.llm.pieces import default_model, load_vocabulary, pre_tokens
 
 TABLE_ENTRIES, TASK_ENTRIES, CACHE_ENTRIES, COUNTED = 1 << 15, 1 << 13, 400_000, 500_000
@@ -58,6 +58,7 @@ def frequent_pre_tokens(documents: DataFrame, entries: int = TABLE_ENTRIES) -> l
     return [bytes(r.word) for r in rows]
 
 
+@bounded
 def token_counts(documents: DataFrame, model: str | None = None, limit: int = 4096) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_tokens, over_limit, a row for each row."""
     model = model or default_model()

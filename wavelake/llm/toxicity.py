@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavelake.llm.common import fold_of, texts, with_field
+from wavelake.llm.common import bounded, fold_of, texts, with_field
 
 SAMPLE, LEXICON, VOTERS, FOLDS = 20_000, 600, 24, 5
 LEAST_TOXIC, LEAST_ODDS = 5, 3.0
@@ -106,6 +106,7 @@ def label_model(votes: np.ndarray, weight: np.ndarray, rate: float, rounds: int
     return toxic, {"prior": prior, "fires": p, "share": share, "correlation": correlation}
 
 
+@bounded
 def fit(documents: DataFrame, labels: DataFrame, held_out: int = 0, size: int = SAMPLE) -> tuple[dict[str, int], np.ndarray]:
     """The lexicon (entry -> number) and the classifier's weights (entries, patterns, constant)."""
     sample = sample_of(documents, labels, held_out, size)
@@ -148,6 +149,7 @@ def linear_classifier(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: f
     return w
 
 
+@bounded
 def score(documents: DataFrame, labels: DataFrame, held_out: int = 0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """kept (a struct of the columns in keep, of any names), and toxicity: the classifier's probability for the whole text."""
     number, weights = fit(documents, labels, held_out)

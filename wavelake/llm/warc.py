@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import shared_dir
+from wavelake.llm.common import bounded, shared_dir
 
 REVISIT_BYTES, FILE_BYTES, SHARD_BYTES, BUCKETS = 1000, 16 << 20, 64 << 20, 4096
 DATE = "2024-01-01T00:00:00Z"
@@ -116,6 +116,7 @@ def shard_of(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple:
     return F.element_at(F.lit(numbers), bucket + 1), numbers[-1] + 1
 
 
+@bounded
 def write(pages: DataFrame, place: str | None = None, file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES) -> str:
     """Write (page_id, url, html) as WARC files under `place` (any file system that PyArrow opens by URI) with a manifest."""
     spark: SparkSession = pages.sparkSession
