@@ -1,0 +1,88 @@
+"""Full waveform inversion: shots in tasks, one gradient grid back for each iteration, the step as a projection.
+
+Each task simulates its shots, turns residuals into adjoint sources, and adds its shots' gradients up before anything is
+shuffled: an iteration moves one grid for each task, whatever the number of shots. Model and history are tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wavelake.operators import optimise
+from wavelake.plans.waves import Acoustic, Survey, cells_of, collected, dealt
+from wavelake.sources.store import settled
+
+Adjoint = Callable[[np.ndarray, np.ndarray], tuple[float, np.ndarray]]
+
+
+def l2_adjoint(syn: np.ndarray, obs: np.ndarray, dt: float = 1.0) -> tuple[float, np.ndarray]:
+    """(nt, receivers) records -> the sum over traces of the residual's norm, and its derivative by syn."""
+    r = syn - obs
+    norms = np.sqrt((r * r).sum(axis=0) * dt)
+    return float(norms.sum()), r * dt / np.where(norms > 0, norms, 1.0)
+
+
+def l1_adjoint(syn: np.ndarray, obs: np.ndarray, dt: float = 1.0) -> tuple[float, np.ndarray]:
+    return float(np.abs(syn - obs).sum() * dt), np.sign(syn - obs) * dt
+
+
+def student_adjoint(syn: np.ndarray, obs: np.ndarray, s: float = 1.0, sigma: float = 1.0) -> tuple[float, np.ndarray]:
+    r = syn - obs
+    return float((0.5 * (s + 1) * np.log1p(r * r / (s * sigma * sigma))).sum()), (s + 1) * r / (s * sigma * sigma + r * r)
+
+
+def normalised(adjoint: Adjoint) -> Adjoint:
+    """The misfit of traces over their peaks, with the derivative carried through the division. Dead traces stay 0."""
+
+    def run(syn: np.ndarray, obs: np.ndarray) -> tuple[float, np.ndarray]:
+        top, at = np.abs(syn).max(axis=0), np.abs(syn).argmax(axis=0)
+        safe, over = np.where(top > 0, top, 1.0), np.abs(obs).max(axis=0)
+        loss, g = adjoint(syn / safe, obs / np.where(over > 0, over, 1.0))
+        columns = np.arange(syn.shape[1])
+        out = g / safe
+        out[at, columns] -= np.sign(syn[at, columns]) * (g * syn).sum(axis=0) / safe**2
+        return loss, np.where(top > 0, out, 0.0)
+
+    return run
+
+
+ADJOINTS: dict[str, Adjoint] = {"l2": l2_adjoint, "l1": l1_adjoint, "student_t": student_adjoint}
+
+
+def gradient(shots: DataFrame, observed: DataFrame, grid: DataFrame, survey: Survey, nz: int, nx: int, misfit: str = "l2", peak: bool = False) -> tuple[float, DataFrame]:
+    """Loss and (iz, ix, grad, forw) of all shots. observed: (shot, rcv, amp), which meets its shot by key."""
+    adjoint = normalised(ADJOINTS[misfit]) if peak else ADJOINTS[misfit]
+    sent = shots.sparkSession.sparkContext.broadcast((survey, *collected(grid, nz, nx, "vp", "rho")))
+    gathered = observed.groupBy("shot").agg(F.transform(F.array_sort(F.collect_list(F.struct("rcv", "amp"))), lambda x: x["amp"]).alias("obs"))  # one survey's receivers
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, total, energy, loss = Acoustic(*sent.value), np.zeros((nz, nx)), np.zeros((nz, nx)), 0.0
+        for rows in batches:
+            for sx, sz, obs in zip(rows["sx"], rows["sz"], rows["obs"], strict=True):
+                syn, forw, _ = model.run(int(sx), int(sz))
+                value, source = adjoint(syn, np.stack([np.asarray(o) for o in obs], axis=1))
+                total, energy, loss = total + model.gradient(int(sx), int(sz), source), energy + forw, loss + value
+        yield cells_of(total, "grad").assign(forw=energy.ravel(), loss=np.where(np.arange(nz * nx) == 0, loss, 0.0))
+
+    parts = dealt(shots).join(gathered, "shot").select("sx", "sz", "obs").mapInPandas(run, "iz bigint, ix bigint, grad double, forw double, loss double")
+    summed = settled(parts.groupBy("iz", "ix").agg(F.sum("grad").alias("grad"), F.sum("forw").alias("forw"), F.sum("loss").alias("loss")))
+    return float(summed.agg(F.sum("loss")).first()[0]), summed.drop("loss")
+
+
+def invert(shots: DataFrame, observed: DataFrame, start: DataFrame, survey: Survey, nz: int, nx: int, iterations: int = 10, rule: str = "adam", lr: float = 10.0, bounds: tuple[float, float] = (1000.0, 6000.0), misfit: str = "l2", condition: Callable[[DataFrame], DataFrame] | None = None, halve_every: int = 100, peak: bool = False) -> tuple[DataFrame, DataFrame]:
+    """start (iz, ix, vp, rho) -> the model after the iterations, and the history (iter, loss)."""
+    model = settled(start.select("iz", "ix", F.col("vp").alias("v"), "rho", F.lit(0.0).alias("m"), F.lit(0.0).alias("s")))
+    losses: list[tuple[int, float]] = []
+    for i in range(iterations):
+        loss, grads = gradient(shots, observed, model.withColumnRenamed("v", "vp"), survey, nz, nx, misfit, peak)
+        losses.append((i, loss))
+        if condition:
+            grads = condition(grads)
+        stepped = optimise.step(model.join(grads.select("iz", "ix", "grad"), ["iz", "ix"]), rule, optimise.step_rate(lr, i, halve_every, 0.75), i + 1)
+        model = settled(stepped.withColumn("v", F.least(F.greatest("v", F.lit(bounds[0])), F.lit(bounds[1]))).select("iz", "ix", "v", "rho", "m", "s"))
+    return model.select("iz", "ix", F.col("v").alias("vp"), "rho"), shots.sparkSession.createDataFrame(losses, "iter int, loss double")

@@ -1,0 +1,236 @@
+"""Wave simulation over shots: a shot is a row, its kernel a NumPy time loop, and Spark deals shots to tasks.
+
+Acoustic: pressure and particle velocities in leapfrog, fourth order in space. The earth model is one grid that every
+shot needs; it is sent to the tasks after a check of its size (MOST_CELLS). Traces come back as rows, never to the driver.
+
+A wavefield is updated by stencils that are lists of (weight, dz, dx); a list read backwards is the exact transpose, which
+the gradient uses: no difference between the gradient and the simulation's own sensitivity but rounding.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wavelake.operators.grid import fd_coefficients
+
+MOST_CELLS = 4_000_000
+
+
+@dataclass
+class Survey:
+    """What all shots share: spacing, time step, wavelet (nt values) and receivers (arrays of x and z cells)."""
+
+    dx: float
+    dz: float
+    dt: float
+    wavelet: np.ndarray
+    rx: np.ndarray
+    rz: np.ndarray
+    pml: int = 20
+    free_surface: bool = False
+
+
+def collected(grid: DataFrame, nz: int, nx: int, *columns: str) -> list[np.ndarray]:
+    """The model's columns as arrays of a checked size."""
+    if nz * nx > MOST_CELLS:
+        raise ValueError(f"a model of {nz * nx} cells is too large to send to every task")
+    rows = grid.select("iz", "ix", *columns).toPandas()
+    if len(rows) != nz * nx:
+        raise ValueError(f"the model has {len(rows)} cells instead of {nz * nx}")
+    out = []
+    for c in columns:
+        a = np.empty((nz, nx))
+        a[rows["iz"], rows["ix"]] = rows[c]
+        out.append(a)
+    return out
+
+
+# ---------------------------------------------------------------- stencils
+
+
+def stencil(axis: str, forward: bool, pairs: int = 2) -> list[tuple[float, int, int]]:
+    out = []
+    for k, c in enumerate(fd_coefficients(pairs), 1):
+        for w, i in ((c, k if forward else k - 1), (-c, 1 - k if forward else -k)):
+            out.append((w, i, 0) if axis == "z" else (w, 0, i))
+    return out
+
+
+@dataclass
+class Box:
+    """The cells that an update reaches."""
+
+    z0: int
+    z1: int
+    x0: int
+    x1: int
+
+    def at(self, dz: int = 0, dx: int = 0) -> tuple[slice, slice]:
+        return slice(self.z0 + dz, self.z1 + dz), slice(self.x0 + dx, self.x1 + dx)
+
+    def apply(self, terms: list, f: np.ndarray) -> np.ndarray:
+        return sum(w * f[self.at(dz, dx)] for w, dz, dx in terms)
+
+    def add_transposed(self, terms: list, g: np.ndarray, to: np.ndarray) -> None:
+        for w, dz, dx in terms:
+            to[self.at(dz, dx)] += w * g
+
+
+def pad(a: np.ndarray, n: int) -> np.ndarray:
+    return np.pad(a, n, mode="edge")
+
+
+def fold(g: np.ndarray, n: int) -> np.ndarray:
+    """The transpose of pad(): what padding cells gather goes to the edge cells that they repeat."""
+    out = g[n:-n].copy()
+    out[0] += g[:n].sum(axis=0)
+    out[-1] += g[-n:].sum(axis=0)
+    inner = out[:, n:-n].copy()
+    inner[:, 0] += out[:, :n].sum(axis=1)
+    inner[:, -1] += out[:, -n:].sum(axis=1)
+    return inner
+
+
+def depth_map(nz: int, nx: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many cells each cell of the padded grid lies outside of the inner grid, along z and x."""
+    out = lambda size: np.maximum(0, np.maximum(n - np.arange(size + 2 * n), np.arange(size + 2 * n) - size - n + 1))
+    return np.broadcast_to(out(nz)[:, None], (nz + 2 * n, nx + 2 * n)), np.broadcast_to(out(nx)[None], (nz + 2 * n, nx + 2 * n))
+
+
+# ---------------------------------------------------------------- acoustic
+
+
+@dataclass
+class Acoustic:
+    """The time loop of one shot over a model (velocity m/s, density)."""
+
+    survey: Survey
+    v: np.ndarray
+    rho: np.ndarray
+    fields: tuple = field(init=False)
+
+    def __post_init__(self):
+        s, n = self.survey, self.survey.pml
+        c, den = pad(self.v, n), pad(self.rho, n)
+        dz_, dx_ = depth_map(*self.v.shape, n)
+        depth = np.maximum(np.where(s.free_surface & (np.arange(c.shape[0])[:, None] < n), 0, dz_), dx_)
+        a = (n - 1) * s.dx
+        damp = -3 * self.v.max() * np.log(1e-6) / (2 * a) * (np.maximum(depth - 1, 0) * s.dx / a) ** 2
+        self.keep = np.maximum(0.0, 1 - damp * s.dt)
+        self.a1, self.a2 = den * c * c * s.dt / s.dz, s.dt / (den * s.dz)
+        nz, nx = c.shape
+        self.fs = n if s.free_surface else 1
+        self.p_box, self.u_box, self.w_box = Box(self.fs + 1, nz - 2, 2, nx - 2), Box(self.fs, nz - 1, 1, nx - 2), Box(self.fs, nz - 2, 1, nx - 1)
+        self.xb, self.zb, self.xf, self.zf = stencil("x", False), stencil("z", False), stencil("x", True), stencil("z", True)
+        self.shape = c.shape
+
+    def divergence(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return self.p_box.apply(self.xb, u) + self.p_box.apply(self.zb, w)
+
+    def step(self, p: np.ndarray, u: np.ndarray, w: np.ndarray, sx: int, sz: int, amp: float, div: np.ndarray | None = None) -> None:
+        """One step in place: pressure, source, free surface, velocities."""
+        b = self.p_box.at()
+        p[b] = self.keep[b] * p[b] - self.a1[b] * (self.divergence(u, w) if div is None else div)
+        p[sz + self.survey.pml, sx + self.survey.pml] += self.survey.dt * amp
+        if self.survey.free_surface:
+            p[self.fs - 1] = -p[self.fs + 1]
+        for f, box, terms in ((u, self.u_box, self.xf), (w, self.w_box, self.zf)):
+            b = box.at()
+            f[b] = self.keep[b] * f[b] - self.a2[b] * box.apply(terms, p)
+        if self.survey.free_surface:
+            w[self.fs - 1] = w[self.fs]
+
+    def run(self, sx: int, sz: int, state: tuple | None = None, wavelet: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Pressure at the receivers (nt, receivers), squared pressure summed over time (inner grid), and the last state.
+
+        A state and the rest of a wavelet carry a run on, as if it had not stopped."""
+        s, n = self.survey, self.survey.pml
+        p, u, w = (x.copy() for x in state) if state else (np.zeros(self.shape) for _ in range(3))
+        amps = s.wavelet if wavelet is None else wavelet
+        out, energy = np.empty((len(amps), len(s.rx))), np.zeros(self.v.shape)
+        for it, amp in enumerate(amps):
+            self.step(p, u, w, sx, sz, amp)
+            out[it] = p[s.rz + n, s.rx + n]
+            energy += p[n:-n, n:-n] ** 2
+        return out, energy, (p, u, w)
+
+    def gradient(self, sx: int, sz: int, adjoint: np.ndarray) -> np.ndarray:
+        """d(sum of adjoint * record) / dv: the transposed loop. States are kept every sqrt(nt) steps, others made again."""
+        s, n, nt = self.survey, self.survey.pml, len(self.survey.wavelet)
+        every = max(1, int(np.sqrt(nt)))
+        p, u, w = (np.zeros(self.shape) for _ in range(3))
+        kept = []
+        for it in range(nt):
+            if it % every == 0:
+                kept.append((p.copy(), u.copy(), w.copy()))
+            self.step(p, u, w, sx, sz, s.wavelet[it])
+        ap, au, aw, ga = (np.zeros(self.shape) for _ in range(4))
+        for first in range((nt - 1) // every * every, -1, -every):
+            p, u, w = (x.copy() for x in kept[first // every])
+            divs = []
+            for it in range(first, min(first + every, nt)):
+                divs.append(self.divergence(u, w))
+                self.step(p, u, w, sx, sz, s.wavelet[it], divs[-1])
+            for it in range(min(first + every, nt) - 1, first - 1, -1):
+                np.add.at(ap, (s.rz + n, s.rx + n), adjoint[it])
+                if s.free_surface:
+                    aw[self.fs] += aw[self.fs - 1]
+                    aw[self.fs - 1] = 0
+                for f, box, terms in ((aw, self.w_box, self.zf), (au, self.u_box, self.xf)):
+                    b = box.at()
+                    box.add_transposed(terms, -self.a2[b] * f[b], ap)
+                    f[b] *= self.keep[b]
+                if s.free_surface:
+                    ap[self.fs + 1] -= ap[self.fs - 1]
+                    ap[self.fs - 1] = 0
+                b = self.p_box.at()
+                ga[b] -= ap[b] * divs[it - first]
+                g = -self.a1[b] * ap[b]
+                self.p_box.add_transposed(self.xb, g, au)
+                self.p_box.add_transposed(self.zb, g, aw)
+                ap[b] *= self.keep[b]
+        return fold(ga * 2 * pad(self.rho, n) * pad(self.v, n) * s.dt / s.dz, n)
+
+
+def simulate(shots: DataFrame, grid: DataFrame, survey: Survey, nz: int, nx: int) -> DataFrame:
+    """(shot, sx, sz) over a grid (iz, ix, vp, rho) -> shot, rcv, amp (the pressure at each receiver)."""
+    sent = shots.sparkSession.sparkContext.broadcast((survey, *collected(grid, nz, nx, "vp", "rho")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Acoustic(*sent.value)
+        for rows in batches:
+            for shot, sx, sz in zip(rows["shot"], rows["sx"], rows["sz"], strict=True):
+                record = model.run(int(sx), int(sz))[0]
+                yield pd.DataFrame({"shot": shot, "rcv": np.arange(record.shape[1]), "amp": list(record.T)})
+
+    return dealt(shots).mapInPandas(run, "shot bigint, rcv bigint, amp array<double>")
+
+
+def illumination(shots: DataFrame, grid: DataFrame, survey: Survey, nz: int, nx: int) -> DataFrame:
+    """iz, ix, energy: squared pressure summed over time and shots; each task adds its shots up first."""
+    sent = shots.sparkSession.sparkContext.broadcast((survey, *collected(grid, nz, nx, "vp", "rho")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, total = Acoustic(*sent.value), np.zeros((nz, nx))
+        for rows in batches:
+            for sx, sz in zip(rows["sx"], rows["sz"], strict=True):
+                total += model.run(int(sx), int(sz))[1]
+        yield cells_of(total, "energy")
+
+    return dealt(shots).mapInPandas(run, "iz bigint, ix bigint, energy double").groupBy("iz", "ix").agg(F.sum("energy").alias("energy"))
+
+
+def dealt(shots: DataFrame) -> DataFrame:
+    """A task for each core at least: shots cost far more than their rows weigh."""
+    return shots.select("shot", "sx", "sz").repartition(shots.sparkSession.sparkContext.defaultParallelism, "shot")
+
+
+def cells_of(a: np.ndarray, name: str) -> pd.DataFrame:
+    iz, ix = np.indices(a.shape)
+    return pd.DataFrame({"iz": iz.ravel(), "ix": ix.ravel(), name: a.ravel()})
