@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: ASCII upper case to lower case, all other bytes as they are.
-LOWER = bytes(range(256)).lower()
 #: Rows of an Arrow batch that carries whole texts.
 BATCH_ROWS = 512
 
@@ -94,11 +92,6 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def spread(df: DataFrame, size: Column, bytes_each: int = 32 << 20) -> int:
-    """How many blocks of about bytes_each the rows' sizes make; at least one."""
-    total = df.agg(F.sum(size)).first()[0] or 0
-    return max(1, -(-int(total) // bytes_each))
-
 
 def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     """df's schema and one more column."""

@@ -6,31 +6,36 @@ from the training documents, and a node's weighted probability is half its own e
 product. A decision's probability mixes the estimates of all depths with the weights that follow. A text's score is the
 log10 probability of all its bytes.
 
-All counts come from all training documents. Documents are dealt to blocks by a hash; a block sends its distinct
-(DEPTH + 1)-byte strings with counts, these are added up by string, and the trees below each pair of preceding bytes are
-weighted independently (a subtree lies in one group whole; its rows are distinct strings, not occurrences). The two top
-levels have at most 256 * 255 nodes and go to all tasks. Each block then gets back exactly the log probabilities of its
-own strings and words, whose number its size bounds: no table of the corpus is broadcast, however large it grows.
+All counts come from all training documents. A task packs the documents that it reads into blocks of BLOCK_BYTES; a block
+sends its distinct (DEPTH + 1)-byte strings with counts, these are added up by string, and the trees below each pair of
+preceding bytes are weighted independently (a subtree lies in one group whole; its rows are distinct strings, not
+occurrences). The two top levels have at most 256 * 255 nodes and go to all tasks. Each block, packed, then meets exactly
+the log probabilities of its own strings and words, whose number its size bounds: no table of the corpus is broadcast,
+however large it grows, and texts move once, packed.
 
 Null texts are empty (one token, the end). A null doc_id counts as '' for the fold, which makes it training.
 """
 
 from __future__ import annotations
 
+import io
+import secrets
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import fold_of, save, spread
+from wavelake.llm.common import bounded, fold_of, save, texts
 from wavelake.llm.simhash import runs
 
 DEPTH = 5
 SYMBOL = 8 * DEPTH  # a string's key: the preceding bytes, nearest first, above the byte itself
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def coded(text: bytes | None) -> tuple[list[bytes], bytes]:
@@ -55,41 +60,59 @@ def strings_of(codes: list[bytes]) -> np.ndarray:
 # ---------------------------------------------------------------- counts
 
 
-def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    whole, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return whole, np.bincount(at, np.concatenate(counts), len(whole)).astype(np.int64)
+def tallied(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of the codes, sorted, and how often each stands."""
+    if not codes:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    keys = strings_of(codes)
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(first, append=len(keys))
 
 
-def block_counts(table: pa.Table) -> pa.Table:
-    """A block's distinct strings and words with their counts in its training documents (0: in others only)."""
-    block, train = table.column("block")[0].as_py(), table.column("train").to_pylist()
-    own = table.column("text").cast(pa.binary()).to_pylist()
+PACKED = pa.schema([("block", pa.int64()), ("packed", pa.binary()), ("string", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+
+
+def block_rows(ids: list, own: list[bytes], train: list[bool]) -> Iterator[pa.RecordBatch]:
+    """A block's rows: its documents, packed; its distinct strings and words with their counts in its training documents
+    (0: in others only)."""
+    block = secrets.randbits(62)
     words: Counter = Counter()
-    keys, counts = [], []
-    for a, b in runs([len(x or b"") for x in own], 2 << 20):
-        parts = [coded(x) for x in own[a:b]]
-        for (ws, _), t in zip(parts, train[a:b], strict=True):
-            if t:
-                words.update(ws)
-            else:
-                words.update(dict.fromkeys(ws, 0))
-            words[b"\n"] += int(t)
-        for flag in (True, False):
-            if codes := [c for (_, c), t in zip(parts, train[a:b], strict=True) if t == flag]:
-                k, n = np.unique(strings_of(codes), return_counts=True)
-                keys.append(k)
-                counts.append(n * flag)
-        if len(keys) > 16:
-            k, n = summed(keys, counts)
-            keys, counts = [k], [n]
-    k, n = summed(keys, counts)
+    codes: dict[bool, list[bytes]] = {True: [], False: []}
+    for text, t in zip(own, train, strict=True):
+        ws, code = coded(text)
+        codes[t].append(code)
+        words.update([*ws, b"\n"] if t else dict.fromkeys([*ws, b"\n"], 0))
+    keys, counts = tallied(codes[True])
+    others, _ = tallied(codes[False])
+    if len(keys) and len(others):
+        others = others[keys[np.minimum(np.searchsorted(keys, others), len(keys) - 1)] != others]
+    keys, counts = np.concatenate([keys, others]), np.concatenate([counts, np.zeros(len(others), np.int64)])
+    out = io.BytesIO()
+    table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(own, pa.binary()), "train": pa.array(train)})
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
+        sink.write_table(table)
     w = list(words)
-    return pa.table({
-        "block": pa.array(np.full(len(k) + len(w), block, np.int32)),
-        "string": pa.chunked_array([pa.array(k), pa.nulls(len(w), pa.int64())]),
-        "word": pa.chunked_array([pa.nulls(len(k), pa.binary()), pa.array(w, pa.binary())]),
-        "n": pa.chunked_array([pa.array(n), pa.array([words[x] for x in w], pa.int64())]),
-    })
+    for packed, string, word, n in (([out.getvalue()], None, None, None), (None, keys, None, counts), (None, None, w, [words[x] for x in w])):
+        rows = len(next(x for x in (packed, string, word) if x is not None))
+        columns = [np.full(rows, block), packed, string, word, n]
+        for at in range(0, rows, 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.nulls(min(rows - at, 1 << 18), f.type) if x is None else pa.array(x[at : at + (1 << 18)], f.type) for x, f in zip(columns, PACKED, strict=True)], schema=PACKED)
+
+
+def packed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, own, train, size = [], [], [], 0
+    for batch in batches:
+        for i, text, t in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("train").to_pylist(), strict=True):
+            if own and size + len(text) > BLOCK_BYTES:
+                yield from block_rows(ids, own, train)
+                ids, own, train, size = [], [], [], 0
+            ids.append(i)
+            own.append(text)
+            train.append(t)
+            size += len(text)
+    if own:
+        yield from block_rows(ids, own, train)
 
 
 # ---------------------------------------------------------------- weighting
@@ -183,28 +206,33 @@ def log_probabilities(strings: np.ndarray, counts: np.ndarray, known: np.ndarray
 # ---------------------------------------------------------------- scores
 
 
-def score_block(documents: pa.Table, slices: pa.Table) -> pa.Table:
-    known = slices.filter(pa.compute.is_valid(slices.column("string"))).sort_by("string")
-    strings, value = known.column("string").to_numpy(), known.column("value").to_numpy()
+def score_block(blocks: pa.Table, slices: pa.Table) -> pa.Table:
+    known = slices.filter(pa.compute.is_valid(slices.column("string")))
+    strings, value = known.column("string").combine_chunks(), known.column("value").to_numpy()
     words = slices.filter(pa.compute.is_valid(slices.column("word")))
-    base = dict(zip(words.column("word").to_pylist(), zip(words.column("value").to_pylist(), words.column("known").to_pylist(), strict=True), strict=True))
-    own = documents.column("text").cast(pa.binary()).to_pylist()
+    names = words.column("word").to_pylist()
+    base = dict(zip(names, words.column("value").to_pylist(), strict=True))
+    unknown = {w for w, k in zip(names, words.column("known").to_pylist(), strict=True) if not k}
+    documents = pa.ipc.open_stream(blocks.column("packed")[0].as_buffer()).read_all()
+    own = documents.column("text").to_pylist()
     out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": [], "bits_per_byte": []}
-    for a, b in runs([len(x or b"") for x in own], 2 << 20):
+    for a, b in runs([len(x) for x in own], 4 << 20, len(own)):
         parts = [coded(x) for x in own[a:b]]
-        p = value[np.searchsorted(strings, strings_of([c for _, c in parts]))]
+        at = pa.compute.index_in(pa.array(strings_of([c for _, c in parts])), value_set=strings)
+        p = value[at.to_numpy(zero_copy_only=False)]
         sizes = np.array([len(c) for _, c in parts])
         total = np.add.reduceat(p, np.cumsum(sizes) - sizes)
         out["score"] += total.tolist()
         out["bits_per_byte"] += (-total / np.log10(2) / sizes).tolist()
         for ws, _ in parts:
-            got = [base[w] for w in ws] + [base[b"\n"]]
-            out["n_tokens"].append(len(got))
-            out["n_known"].append(sum(k for _, k in got))
-            out["base_score"].append(float(sum(v for v, _ in got)))
+            ws.append(b"\n")
+            out["n_tokens"].append(len(ws))
+            out["n_known"].append(len(ws) - len([w for w in ws if w in unknown]))
+            out["base_score"].append(sum(map(base.__getitem__, ws)))
     return pa.table({"doc_id": documents.column("doc_id"), "held_out": pa.compute.invert(documents.column("train")), **out})
 
 
+@bounded
 def score(documents: DataFrame, held_out: int = 1) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte
     (the code length of the coded text by its bytes).
@@ -212,9 +240,9 @@ def score(documents: DataFrame, held_out: int = 1) -> DataFrame:
     Learns from the documents whose fold (crc32 of the id's text, modulo 5) isn't held_out.
     """
     plain = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = spread(plain, F.octet_length("text"), BLOCK_BYTES)
-    dealt = plain.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).withColumn("train", fold_of(F.col("doc_id")) != held_out)
-    counts = save(dealt.groupBy("block").applyInArrow(block_counts, "block int, string bigint, word binary, n bigint"), "counts")
+    marked = plain.withColumn("train", fold_of(F.col("doc_id")) != held_out)
+    made = save(marked.mapInArrow(packed_blocks, "block bigint, packed binary, string bigint, word binary, n bigint"), "blocks")
+    counts = made.where("packed IS NULL")
 
     strings = save(counts.where("string IS NOT NULL").groupBy("string").agg(F.sum("n").alias("n")), "strings")
     paired = strings.groupBy(F.shiftright("string", SYMBOL - 8).alias("pair"))
@@ -233,5 +261,5 @@ def score(documents: DataFrame, held_out: int = 1) -> DataFrame:
 
     slices = counts.where("string IS NOT NULL").select("block", "string").join(values, "string").select("block", "string", F.lit(None).cast("binary").alias("word"), "value", F.lit(None).cast("int").alias("known"))
     slices = slices.unionByName(counts.where("word IS NOT NULL").select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("string"), "word", "value", "known"))
-    scored = dealt.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(score_block, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double")
+    scored = made.where("packed IS NOT NULL").select(F.col("block").alias("block_"), "packed").groupBy("block_").cogroup(slices.groupBy("block")).applyInArrow(score_block, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double")
     return scored.withColumn("train_tokens", F.lit(total[0]).cast("long"))
