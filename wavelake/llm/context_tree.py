@@ -35,7 +35,7 @@ from wavelake.llm.simhash import runs
 
 DEPTH = 5
 SYMBOL = 8 * DEPTH  # a string's key: the preceding bytes, nearest first, above the byte itself
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, RUN_BYTES = 32 << 20, 4 << 20
 
 
 def coded(text: bytes | None) -> tuple[list[bytes], bytes]:
@@ -61,13 +61,15 @@ def strings_of(codes: list[bytes]) -> np.ndarray:
 
 
 def tallied(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of the codes, sorted, and how often each stands."""
-    if not codes:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    keys = strings_of(codes)
-    keys.sort()
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.diff(first, append=len(keys))
+    """The distinct keys of the codes, sorted, and how often each stands; counted in runs of about RUN_BYTES."""
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for a, b in runs([len(c) for c in codes], RUN_BYTES, max(1, len(codes))):
+        own = strings_of(codes[a:b])
+        own.sort()
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        keys, at = np.unique(np.concatenate([keys, own[first]]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, np.diff(first, append=len(own))]), len(keys)).astype(np.int64)
+    return keys, counts
 
 
 PACKED = pa.schema([("block", pa.int64()), ("packed", pa.binary()), ("string", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
@@ -90,7 +92,7 @@ def block_rows(ids: list, own: list[bytes], train: list[bool]) -> Iterator[pa.Re
     keys, counts = np.concatenate([keys, others]), np.concatenate([counts, np.zeros(len(others), np.int64)])
     out = io.BytesIO()
     table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(own, pa.binary()), "train": pa.array(train)})
-    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as sink:
         sink.write_table(table)
     w = list(words)
     for packed, string, word, n in (([out.getvalue()], None, None, None), (None, keys, None, counts), (None, None, w, [words[x] for x in w])):
@@ -216,7 +218,7 @@ def score_block(blocks: pa.Table, slices: pa.Table) -> pa.Table:
     documents = pa.ipc.open_stream(blocks.column("packed")[0].as_buffer()).read_all()
     own = documents.column("text").to_pylist()
     out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": [], "bits_per_byte": []}
-    for a, b in runs([len(x) for x in own], 4 << 20, len(own)):
+    for a, b in runs([len(x) for x in own], RUN_BYTES, len(own)):
         parts = [coded(x) for x in own[a:b]]
         at = pa.compute.index_in(pa.array(strings_of([c for _, c in parts])), value_set=strings)
         p = value[at.to_numpy(zero_copy_only=False)]
