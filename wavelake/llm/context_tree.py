@@ -35,7 +35,9 @@ from wavelake.llm.simhash import runs
 
 DEPTH = 5
 SYMBOL = 8 * DEPTH  # a string's key: the preceding bytes, nearest first, above the byte itself
-BLOCK_BYTES, RUN_BYTES = 32 << 20, 4 << 20
+BLOCK_BYTES, RUN_BYTES = 32 << 20, 1 << 20
+#: The most frequent strings and words go to every task with their values (5 MB at most); blocks need not ask for them.
+COMMON_STRINGS, COMMON_WORDS = 1 << 18, 1 << 15
 
 
 def coded(text: bytes | None) -> tuple[list[bytes], bytes]:
@@ -208,12 +210,13 @@ def log_probabilities(strings: np.ndarray, counts: np.ndarray, known: np.ndarray
 # ---------------------------------------------------------------- scores
 
 
-def score_block(blocks: pa.Table, slices: pa.Table) -> pa.Table:
+def score_block(blocks: pa.Table, slices: pa.Table, common: tuple[np.ndarray, np.ndarray, dict[bytes, float]]) -> pa.Table:
     known = slices.filter(pa.compute.is_valid(slices.column("string")))
-    strings, value = known.column("string").combine_chunks(), known.column("value").to_numpy()
+    strings = pa.array(np.concatenate([known.column("string").to_numpy(), common[0]]))
+    value = np.concatenate([known.column("value").to_numpy(), common[1]])
     words = slices.filter(pa.compute.is_valid(slices.column("word")))
     names = words.column("word").to_pylist()
-    base = dict(zip(names, words.column("value").to_pylist(), strict=True))
+    base = common[2] | dict(zip(names, words.column("value").to_pylist(), strict=True))
     unknown = {w for w, k in zip(names, words.column("known").to_pylist(), strict=True) if not k}
     documents = pa.ipc.open_stream(blocks.column("packed")[0].as_buffer()).read_all()
     own = documents.column("text").to_pylist()
@@ -255,13 +258,21 @@ def score(documents: DataFrame, held_out: int = 1) -> DataFrame:
         s, n = table.column("string").to_numpy(), table.column("n").to_numpy()
         return pa.table({"string": s, "value": log_probabilities(s, n, *sent.value)})
 
-    values = paired.applyInArrow(weigh, "string bigint, value double")
-    words = counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c"))
+    often = strings.orderBy(F.desc("n"), "string").limit(COMMON_STRINGS).select("string")
+    values = save(paired.applyInArrow(weigh, "string bigint, value double"), "values")
+    words = save(counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     log_base = F.log10((F.col("c") + 0.5) / F.lit(total[0] + 0.5 * (total[1] + 1)))
-    words = words.select("word", log_base.alias("value"), (F.col("c") > 0).cast("int").alias("known"))
-
-    slices = counts.where("string IS NOT NULL").select("block", "string").join(values, "string").select("block", "string", F.lit(None).cast("binary").alias("word"), "value", F.lit(None).cast("int").alias("known"))
-    slices = slices.unionByName(counts.where("word IS NOT NULL").select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("string"), "word", "value", "known"))
-    scored = made.where("packed IS NOT NULL").select(F.col("block").alias("block_"), "packed").groupBy("block_").cogroup(slices.groupBy("block")).applyInArrow(score_block, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double")
+    words = words.select("word", "c", log_base.alias("value"), (F.col("c") > 0).cast("int").alias("known"))
+
+    often_words = words.where("c > 0").orderBy(F.desc("c"), "word").limit(COMMON_WORDS)
+    first = values.join(F.broadcast(often), "string").toPandas()
+    known_words = {bytes(r.word): r.value for r in often_words.select("word", "value").collect()}
+    common = documents.sparkSession.sparkContext.broadcast((first["string"].to_numpy(np.int64), first["value"].to_numpy(np.float64), known_words))
+    asked = counts.where("string IS NOT NULL").select("block", "string").join(F.broadcast(often), "string", "left_anti")
+    asked_words = counts.where("word IS NOT NULL").select("block", "word").join(F.broadcast(often_words.select("word")), "word", "left_anti")
+    slices = asked.join(values, "string").select("block", "string", F.lit(None).cast("binary").alias("word"), "value", F.lit(None).cast("int").alias("known"))
+    slices = slices.unionByName(asked_words.join(words, "word").select("block", F.lit(None).cast("long").alias("string"), "word", "value", "known"))
+    blocks = made.where("packed IS NOT NULL").select(F.col("block").alias("block_"), "packed")
+    scored = blocks.groupBy("block_").cogroup(slices.groupBy("block")).applyInArrow(lambda x, y: score_block(x, y, common.value), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double")
     return scored.withColumn("train_tokens", F.lit(total[0]).cast("long"))
