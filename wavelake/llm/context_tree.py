@@ -22,6 +22,7 @@ import io
 import secrets
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,21 @@ def coded(text: bytes | None) -> tuple[list[bytes], bytes]:
     return words, (b" ".join(words) + b" \n" if words else b"\n")
 
 
-def strings_of(codes: list[bytes]) -> np.ndarray:
-    """The key of every byte with its DEPTH preceding bytes; before a text stand line feeds."""
-    raw = np.frombuffer(b"".join(b"\n" * DEPTH + c for c in codes), np.uint8)
+def pieces_of(code: bytes) -> Iterator[bytes]:
+    """The code in pieces of at most RUN_BYTES, each after the DEPTH bytes before it; before a text stand line feeds."""
+    padded = b"\n" * DEPTH + code
+    for at in range(0, len(code), RUN_BYTES):
+        yield padded[at : at + RUN_BYTES + DEPTH]
+
+
+def strings_of(pieces: list[bytes]) -> np.ndarray:
+    """The key of every byte of the pieces, with the DEPTH bytes before it."""
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
     keys = raw.astype(np.int64)
     for d in range(1, DEPTH + 1):
         keys[d:] |= raw[:-d].astype(np.int64) << (8 * (DEPTH - d) + 8)
     inside = np.ones(len(raw), bool)
-    starts = np.cumsum([0, *(len(c) + DEPTH for c in codes[:-1])])
+    starts = np.cumsum([0, *(len(x) for x in pieces[:-1])])
     for d in range(DEPTH):
         inside[starts + d] = False
     return keys[inside]
@@ -62,61 +70,108 @@ def strings_of(codes: list[bytes]) -> np.ndarray:
 # ---------------------------------------------------------------- counts
 
 
-def tallied(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of the codes, sorted, and how often each stands; counted in runs of about RUN_BYTES."""
-    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    for a, b in runs([len(c) for c in codes], RUN_BYTES, max(1, len(codes))):
-        own = strings_of(codes[a:b])
+class Tally:
+    """The distinct keys of the codes added, sorted, and how often each stands; counted in runs of about RUN_BYTES."""
+
+    def __init__(self):
+        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting: list[bytes] = []
+        self.size = 0
+
+    def add(self, code: bytes) -> None:
+        for piece in pieces_of(code):
+            self.waiting.append(piece)
+            self.size += len(piece)
+            if self.size >= RUN_BYTES:
+                self.count()
+
+    def count(self) -> None:
+        if not self.waiting:
+            return
+        own = strings_of(self.waiting)
+        self.waiting, self.size = [], 0
         own.sort()
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        keys, at = np.unique(np.concatenate([keys, own[first]]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([counts, np.diff(first, append=len(own))]), len(keys)).astype(np.int64)
-    return keys, counts
+        n, own = np.diff(first, append=len(own)), own[first]
+        at = np.searchsorted(self.keys, own)
+        seen = held(self.keys, own, at)
+        self.counts[at[seen]] += n[seen]
+        self.keys = np.insert(self.keys, at[~seen], own[~seen])
+        self.counts = np.insert(self.counts, at[~seen], n[~seen])
+
+
+def held(keys: np.ndarray, asked: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the asked are among the sorted keys, at being their places."""
+    return keys[np.minimum(at, len(keys) - 1)] == asked if len(keys) else np.zeros(len(asked), bool)
 
 
 PACKED = pa.schema([("block", pa.int64()), ("packed", pa.binary()), ("string", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("train", pa.bool_())])
+ROWS = 1 << 17
 
 
-def block_rows(ids: list, own: list[bytes], train: list[bool]) -> Iterator[pa.RecordBatch]:
-    """A block's rows: its documents, packed; its distinct strings and words with their counts in its training documents
+class Block:
+    """Documents, packed as they come, and their distinct strings and words with their counts in training documents
     (0: in others only)."""
-    block = secrets.randbits(62)
-    words: Counter = Counter()
-    codes: dict[bool, list[bytes]] = {True: [], False: []}
-    for text, t in zip(own, train, strict=True):
-        ws, code = coded(text)
-        codes[t].append(code)
-        words.update([*ws, b"\n"] if t else dict.fromkeys([*ws, b"\n"], 0))
-    keys, counts = tallied(codes[True])
-    others, _ = tallied(codes[False])
-    if len(keys) and len(others):
-        others = others[keys[np.minimum(np.searchsorted(keys, others), len(keys) - 1)] != others]
-    keys, counts = np.concatenate([keys, others]), np.concatenate([counts, np.zeros(len(others), np.int64)])
-    out = io.BytesIO()
-    table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(own, pa.binary()), "train": pa.array(train)})
-    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as sink:
-        sink.write_table(table)
-    w = list(words)
-    for packed, string, word, n in (([out.getvalue()], None, None, None), (None, keys, None, counts), (None, None, w, [words[x] for x in w])):
-        rows = len(next(x for x in (packed, string, word) if x is not None))
-        columns = [np.full(rows, block), packed, string, word, n]
-        for at in range(0, rows, 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.nulls(min(rows - at, 1 << 18), f.type) if x is None else pa.array(x[at : at + (1 << 18)], f.type) for x, f in zip(columns, PACKED, strict=True)], schema=PACKED)
+
+    def __init__(self):
+        self.size, self.out, self.rows, self.words = 0, io.BytesIO(), [], Counter()
+        self.train, self.others = Tally(), Tally()
+        self.sink = pa.ipc.new_stream(self.out, DOCUMENTS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6)))
+        self.waiting = 0
+
+    def add(self, doc_id: int | None, text: bytes, train: bool) -> None:
+        words, code = coded(text)
+        words.append(b"\n")
+        self.words.update(words if train else dict.fromkeys(words, 0))
+        (self.train if train else self.others).add(code)
+        self.rows.append((doc_id, text, train))
+        self.size += len(text)
+        self.waiting += len(text)
+        if self.waiting >= 4 * RUN_BYTES:
+            self.pack()
+
+    def pack(self) -> None:
+        if self.rows:
+            self.sink.write_batch(pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*self.rows, strict=True), DOCUMENTS, strict=True)], schema=DOCUMENTS))
+        self.rows, self.waiting = [], 0
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self.pack()
+        self.sink.close()
+        block = secrets.randbits(62)
+        yield packed_batch(block, packed=[self.out.getvalue()])
+        self.out.close()
+        self.train.count()
+        self.others.count()
+        keys, counts, others = self.train.keys, self.train.counts, self.others.keys
+        for at in range(0, len(keys), ROWS):
+            yield packed_batch(block, string=keys[at : at + ROWS], n=counts[at : at + ROWS])
+        for at in range(0, len(others), ROWS):
+            some = others[at : at + ROWS]
+            some = some[~held(keys, some, np.searchsorted(keys, some))]
+            yield packed_batch(block, string=some, n=np.zeros(len(some), np.int64))
+        words = iter(self.words.items())
+        while some := list(islice(words, ROWS)):
+            yield packed_batch(block, word=[w for w, _ in some], n=[n for _, n in some])
+
+
+def packed_batch(block: int, **columns) -> pa.RecordBatch:
+    rows = len(next(iter(columns.values())))
+    arrays = {"block": pa.array(np.full(rows, block)), **{k: pa.array(v, PACKED.field(k).type) for k, v in columns.items()}}
+    return pa.RecordBatch.from_arrays([arrays.get(f.name, pa.nulls(rows, f.type)) for f in PACKED], schema=PACKED)
 
 
 def packed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, own, train, size = [], [], [], 0
+    block = Block()
     for batch in batches:
-        for i, text, t in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("train").to_pylist(), strict=True):
-            if own and size + len(text) > BLOCK_BYTES:
-                yield from block_rows(ids, own, train)
-                ids, own, train, size = [], [], [], 0
-            ids.append(i)
-            own.append(text)
-            train.append(t)
-            size += len(text)
-    if own:
-        yield from block_rows(ids, own, train)
+        for i, text, train in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("train").to_pylist(), strict=True):
+            if block.words and block.size + len(text) > BLOCK_BYTES:
+                yield from block.batches()
+                block = Block()
+            block.add(i, text, train)
+    if block.words:
+        yield from block.batches()
 
 
 # ---------------------------------------------------------------- weighting
@@ -154,27 +209,27 @@ class Level:
         return known + rest * own * (self.n1 + 0.5) / (self.n0 + self.n1 + 1), rest * np.maximum(0.0, 1 - own)
 
 
-def levels(strings: np.ndarray, counts: np.ndarray) -> list[Level]:
-    """The levels of depth DEPTH up to 2 below a pair of preceding bytes."""
-    symbol, context = strings & 255, strings >> 8
-    nodes, ones = decisions(symbol)
-    keys, at = np.unique((context[:, None] << 8 | nodes).ravel(), return_inverse=True)
-    n = np.repeat(counts, 8).astype(np.float64)
-    out = [Level(keys, np.bincount(at, n * (1 - ones.ravel()), len(keys)), np.bincount(at, n * ones.ravel(), len(keys)))]
+def levels(strings: np.ndarray, counts: np.ndarray, k: int) -> list[Level]:
+    """The levels of depth DEPTH up to 2 below a pair of preceding bytes, for the bytes' decision k (0 to 7) alone: a
+    decision's nodes never meet another's."""
+    nodes, ones = decision(strings, k)
+    keys, at = np.unique(nodes, return_inverse=True)
+    out = [Level(keys, np.bincount(at, counts * (1 - ones), len(keys)), np.bincount(at, counts * ones, len(keys)))]
     for _ in range(DEPTH - 2):
         out.append(out[-1].above())
     return out
 
 
-def decisions(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte, its eight decision nodes and bits."""
-    k = np.arange(8)
-    return 1 << k | symbol[:, None] >> (8 - k), symbol[:, None] >> (7 - k) & 1
+def decision(strings: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string, the node of its byte's decision k below its context, and the bit decided."""
+    symbol = strings & 255
+    return strings >> 8 << 8 | 1 << k | symbol >> (8 - k), symbol >> (7 - k) & 1
 
 
 def pair_summary(table: pa.Table) -> pa.Table:
-    top = levels(table.column("string").to_numpy(), table.column("n").to_numpy())[-1]
-    return pa.table({"node": pa.array(top.keys >> 16 << 8 | top.keys & 255), "n0": pa.array(top.n0), "n1": pa.array(top.n1), "lw": pa.array(top.lw)})
+    strings, n = table.column("string").to_numpy(), table.column("n").to_numpy()
+    tops = [levels(strings, n, k)[-1] for k in range(8)]
+    return pa.table({"node": pa.array(np.concatenate([t.keys >> 16 << 8 | t.keys & 255 for t in tops]))} | {x: pa.array(np.concatenate([getattr(t, x) for t in tops])) for x in ("n0", "n1", "lw")})
 
 
 def top_levels(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -195,46 +250,74 @@ def top_levels(rows: list) -> tuple[np.ndarray, np.ndarray]:
 
 def log_probabilities(strings: np.ndarray, counts: np.ndarray, known: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """log10 of each string's last byte given the bytes before it, for the strings below one pair of preceding bytes."""
-    tree = levels(strings, counts)[::-1]
-    k, r = known[tree[0].keys >> 16, tree[0].keys & 255], rest[tree[0].keys >> 16, tree[0].keys & 255]
-    for d, level in enumerate(tree):
-        if d:
-            at = np.searchsorted(tree[d - 1].keys, level.keys >> 16 << 8 | level.keys & 255)
-            k, r = k[at], r[at]
-        k, r = level.mixed(k, r, level is tree[-1])
-    nodes, ones = decisions(strings & 255)
-    p = k[np.searchsorted(tree[-1].keys, (strings >> 8)[:, None] << 8 | nodes)]
-    return np.log10(np.where(ones == 1, p, 1 - p)).sum(axis=1)
+    out = np.zeros(len(strings))
+    for decided in range(8):
+        tree = levels(strings, counts, decided)[::-1]
+        k, r = known[tree[0].keys >> 16, tree[0].keys & 255], rest[tree[0].keys >> 16, tree[0].keys & 255]
+        for d, level in enumerate(tree):
+            if d:
+                at = np.searchsorted(tree[d - 1].keys, level.keys >> 16 << 8 | level.keys & 255)
+                k, r = k[at], r[at]
+            k, r = level.mixed(k, r, level is tree[-1])
+        nodes, ones = decision(strings, decided)
+        p = k[np.searchsorted(tree[-1].keys, nodes)]
+        out += np.log10(np.where(ones == 1, p, 1 - p))
+    return out
 
 
 # ---------------------------------------------------------------- scores
 
 
+class Values:
+    """What a block looks up: the log probabilities of its strings and words."""
+
+    def __init__(self, slices: pa.Table, common: tuple[np.ndarray, np.ndarray, dict[bytes, float]]):
+        of_string = pa.compute.is_valid(slices.column("string"))
+        strings = np.concatenate([slices.column("string").drop_null().to_numpy(), common[0]])
+        order = np.argsort(strings)
+        self.strings = strings[order]
+        self.values = np.concatenate([slices.column("value").filter(of_string).to_numpy(), common[1]])[order]
+        words = slices.select(["word", "value", "known"]).filter(pa.compute.invert(of_string))
+        names = words.column("word").to_pylist()
+        self.common, self.words = common[2], dict(zip(names, words.column("value").to_pylist(), strict=True))
+        self.unknown = {w for w, k in zip(names, words.column("known").to_pylist(), strict=True) if not k}
+
+    def base(self, word: bytes) -> float:
+        own = self.words.get(word)
+        return self.common[word] if own is None else own
+
+    def totals(self, codes: list[bytes]) -> np.ndarray:
+        """Each code's log10 probability; looked up in runs of about RUN_BYTES."""
+        pieces, owners = [], []
+        for i, code in enumerate(codes):
+            for piece in pieces_of(code):
+                pieces.append(piece)
+                owners.append(i)
+        out = np.zeros(len(codes))
+        for a, b in runs([len(x) for x in pieces], RUN_BYTES, max(1, len(pieces))):
+            keys, at = np.unique(strings_of(pieces[a:b]), return_inverse=True)
+            p = self.values[np.searchsorted(self.strings, keys)][at]
+            sizes = np.array([len(x) - DEPTH for x in pieces[a:b]])
+            np.add.at(out, owners[a:b], np.add.reduceat(p, np.cumsum(sizes) - sizes))
+        return out
+
+
 def score_block(blocks: pa.Table, slices: pa.Table, common: tuple[np.ndarray, np.ndarray, dict[bytes, float]]) -> pa.Table:
-    known = slices.filter(pa.compute.is_valid(slices.column("string")))
-    strings = pa.array(np.concatenate([known.column("string").to_numpy(), common[0]]))
-    value = np.concatenate([known.column("value").to_numpy(), common[1]])
-    words = slices.filter(pa.compute.is_valid(slices.column("word")))
-    names = words.column("word").to_pylist()
-    base = common[2] | dict(zip(names, words.column("value").to_pylist(), strict=True))
-    unknown = {w for w, k in zip(names, words.column("known").to_pylist(), strict=True) if not k}
-    documents = pa.ipc.open_stream(blocks.column("packed")[0].as_buffer()).read_all()
-    own = documents.column("text").to_pylist()
-    out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": [], "bits_per_byte": []}
-    for a, b in runs([len(x) for x in own], RUN_BYTES, len(own)):
-        parts = [coded(x) for x in own[a:b]]
-        at = pa.compute.index_in(pa.array(strings_of([c for _, c in parts])), value_set=strings)
-        p = value[at.to_numpy(zero_copy_only=False)]
-        sizes = np.array([len(c) for _, c in parts])
-        total = np.add.reduceat(p, np.cumsum(sizes) - sizes)
-        out["score"] += total.tolist()
-        out["bits_per_byte"] += (-total / np.log10(2) / sizes).tolist()
-        for ws, _ in parts:
-            ws.append(b"\n")
-            out["n_tokens"].append(len(ws))
-            out["n_known"].append(len(ws) - len([w for w in ws if w in unknown]))
-            out["base_score"].append(sum(map(base.__getitem__, ws)))
-    return pa.table({"doc_id": documents.column("doc_id"), "held_out": pa.compute.invert(documents.column("train")), **out})
+    values, parts = Values(slices, common), []
+    for batch in pa.ipc.open_stream(blocks.column("packed")[0].as_buffer()):
+        split = [coded(text) for text in batch.column("text").to_pylist()]
+        words = [[*ws, b"\n"] for ws, _ in split]
+        totals, sizes = values.totals([code for _, code in split]), np.array([len(code) for _, code in split])
+        parts.append(pa.table({
+            "doc_id": batch.column("doc_id"),
+            "held_out": pa.compute.invert(batch.column("train")),
+            "n_tokens": pa.array([len(ws) for ws in words], pa.int64()),
+            "n_known": pa.array([len(ws) - sum(w in values.unknown for w in ws) for ws in words], pa.int64()),
+            "base_score": pa.array([sum(map(values.base, ws)) for ws in words], pa.float64()),
+            "score": pa.array(totals),
+            "bits_per_byte": pa.array(-totals / np.log10(2) / sizes),
+        }))
+    return pa.concat_tables(parts)
 
 
 @bounded
