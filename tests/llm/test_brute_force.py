@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -310,6 +311,39 @@ def test_op7(spark, documents, plain):
     assert context_tree.score(table.limit(0)).count() == 0
 
 
+def test_op7_long_texts(monkeypatch):
+    """A text longer than a run is cut; its strings, counts and sums are those of the whole."""
+    monkeypatch.setattr(context_tree, "RUN_BYTES", 7)
+    codes = [context_tree.coded(t)[1] for t in (b"abcabcabcabcabc abcabc " * 9, b"", b"a", b"abcabca abcabc")]
+    tally, want = context_tree.Tally(), Counter()
+    for code in codes:
+        tally.add(code)
+        padded = b"\n" * context_tree.DEPTH + code
+        want.update(int.from_bytes(padded[i : i + context_tree.DEPTH][::-1] + padded[i + context_tree.DEPTH :][:1]) for i in range(len(code)))
+    tally.count()
+    assert dict(zip(tally.keys.tolist(), tally.counts.tolist(), strict=True)) == want and sorted(want) == tally.keys.tolist()
+    slices = pa.table({"string": pa.array(list(want), pa.int64()), "word": pa.nulls(len(want), pa.binary()), "value": pa.array([x % 11 / 7 for x in want]), "known": pa.nulls(len(want), pa.int32())})
+    totals = context_tree.Values(slices, (np.empty(0, np.int64), np.empty(0), {})).totals(codes)
+    for code, total in zip(codes, totals, strict=True):
+        assert math.isclose(total, sum(x % 11 / 7 for x in context_tree.strings_of([b"\n" * context_tree.DEPTH + code]).tolist()))
+
+
+def test_op7_blocks(monkeypatch):
+    """Blocks hold each document once; strings of training documents keep their counts, others count none."""
+    monkeypatch.setattr(context_tree, "BLOCK_BYTES", 40)
+    docs = [(i, ("x" * (i % 30) + " word") if i % 4 else None, i % 3 != 1) for i in range(25)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*docs, strict=True)], names=["doc_id", "text", "train"])
+    made = pa.Table.from_batches(context_tree.packed_blocks(iter([batch])))
+    packed = [x for x in made.column("packed").to_pylist() if x]
+    rows = [(r["doc_id"], r["text"].decode(), r["train"]) for x in packed for r in pa.ipc.open_stream(x).read_all().to_pylist()]
+    assert len(packed) > 3 and rows == [(i, t or "", train) for i, t, train in docs]
+    strings = made.filter(made.column("string").is_valid())
+    codes = [(context_tree.coded((t or "").encode())[1], train) for _, t, train in docs]
+    assert sum(strings.column("n").to_pylist()) == sum(len(c) for c, train in codes if train)
+    assert set(strings.column("string").to_pylist()) == {x for c, _ in codes for x in context_tree.strings_of([b"\n" * context_tree.DEPTH + c]).tolist()}
+    assert len(strings) == len({(b, s) for b, s in zip(strings.column("block").to_pylist(), strings.column("string").to_pylist(), strict=True)})
+
+
 def test_op8(spark):
     """Accuracy on the fold that no label was learnt from."""
     d = "/root/testdata/sf0.1"
