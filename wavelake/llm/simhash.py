@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.llm.common import bounded, save, scratch, texts
@@ -306,9 +306,10 @@ def similar_components(documents: DataFrame, prints: DataFrame, size: int, simil
 
 
 def near_duplicate_groups(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, sha, component_id: documents with equal word sequences, or linked by similar shingle sets, share the smallest doc_id reachable.
+    """doc_id, sha, component_id, part: documents with equal word sequences, or linked by similar shingle sets, share the smallest doc_id reachable.
 
-    sha is the digest of the word sequence. Documents without words are copies of each other. Null ids are left out.
+    sha is the digest of the word sequence. Documents without words are copies of each other. Null ids are left out. part
+    tells groups apart whose smallest doc_id is the same, where an id has several texts; component_id is only a label.
     """
     own = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     with scratch(documents.sparkSession):
@@ -321,11 +322,14 @@ def near_duplicate_groups(documents: DataFrame, size: int = 5, similarity: float
         parts = similar_components(own, named, size, similarity).withColumnRenamed("node", "node_")
         placed = save(named.join(parts, named.node == parts.node_, "left").select("sha", "doc_id", F.coalesce("component", "node").alias("part")), "placed")
         least = placed.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-        return save(prints.select("doc_id", "sha").join(placed.join(least, "part").select("sha", "component_id"), "sha"), "groups", outlive=True)
+        return save(prints.select("doc_id", "sha").join(placed.join(least, "part").select("sha", "component_id", "part"), "sha"), "groups", outlive=True)
 
 
 def one_of_each_group(documents: DataFrame) -> DataFrame:
-    """The rows of the smallest doc_id of each near-duplicate group, repeated rows once; rows of null ids stay."""
+    """The rows of the smallest (doc_id, sha) of each near-duplicate group, repeated rows once; rows of null ids stay.
+
+    Texts of one id that aren't near-duplicates are documents of their own: each stays, or goes, with its own group.
+    """
     spark = documents.sparkSession
     with scratch(spark):
         dropped, repeated = unwanted(near_duplicate_groups(documents))
@@ -338,10 +342,8 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
 
 def unwanted(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """near_duplicate_groups() rows -> (doc_id, sha) of the rows that don't stay as they are, and of those of them that stay once."""
-    once = groups.groupBy("doc_id", "sha").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
-    main = F.min("sha").over(Window.partitionBy("component_id"))
-    own = once.where("doc_id = component_id").withColumn("main", main)  # the texts of one id
-    kept = save(own.where("sha = main").select("doc_id", "sha", "n"), "kept")
+    once = groups.groupBy("doc_id", "sha").agg(F.count("*").alias("n"), F.min("part").alias("part"))
+    kept = save(once.groupBy("part").agg(F.min(F.struct("doc_id", "sha", "n")).alias("x")).select("x.*"), "kept")
     repeated = save(kept.where("n > 1").select("doc_id", "sha"), "repeated", outlive=True)
     dropped = once.select("doc_id", "sha").join(kept, ["doc_id", "sha"], "left_anti").unionByName(repeated)
     return save(dropped, "dropped", outlive=True), repeated
