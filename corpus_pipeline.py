@@ -24,9 +24,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    found = decontaminate.contaminated_ids(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW)
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Rows without a benchmark window in their own text; neither null nor repeated ids matter."""
+    return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

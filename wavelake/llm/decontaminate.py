@@ -29,7 +29,7 @@ from wavelake.llm.common import bounded, save, scratch, texts
 WORD_BYTES = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else b if b >= 128 else 32 for b in range(256))
 #: Words of one index segment, and test words in one block sent to the tasks (8 MB of arrays at most).
 SEGMENT_WORDS, BLOCK_WORDS = 1 << 20, 1 << 20
-INDEX = "segment string, doc_ids array<bigint>, n_words array<int>, terms binary, counts binary, positions binary"
+INDEX = "segment string, doc_ids array<{}>, n_words array<int>, terms binary, counts binary, positions binary"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -49,9 +49,9 @@ def segment(ids: list, lengths: list[int], words: list[bytes]) -> dict:
 
 
 def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
-    ids, lengths, words = [], [], []
+    ids, lengths, words, schema = [], [], [], None
     for batch in batches:
+        schema = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
         for i, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
             own = words_of(text)
             if words and len(words) + len(own) > SEGMENT_WORDS:
@@ -65,9 +65,9 @@ def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 @bounded
-def build_index(documents: DataFrame) -> DataFrame:
-    """(doc_id bigint, text) -> the index, written to the shared folder: one row for each segment of whole documents."""
-    return save(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(index_batches, INDEX), "postings")
+def build_index(documents: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """(doc_id, text) -> the index, written to the shared folder: one row for each segment of whole documents."""
+    return save(documents.select(F.col("doc_id").cast(id_type), "text").mapInArrow(index_batches, INDEX.format(id_type)), "postings")
 
 
 class Segment:
@@ -196,7 +196,9 @@ def block_matches(index: DataFrame, block: Phrases) -> DataFrame:
     block.rank(frequencies(index, set(block.vocabulary)))
     sent = spark.sparkContext.broadcast(block)
     numbers, names = pa.list_(pa.int64()), pa.list_(pa.string())
-    schema = pa.schema([("segment", pa.string()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("from_", numbers), ("to", numbers), ("items", names)])
+    id_type = index.schema["doc_ids"].dataType.elementType.simpleString()
+    ids = {"bigint": pa.int64(), "string": pa.string()}[id_type]
+    schema = pa.schema([("segment", pa.string()), ("place", pa.int32()), ("doc_id", ids), ("n_words", pa.int64()), ("from_", numbers), ("to", numbers), ("items", names)])
 
     def match(batches):
         for batch in batches:
@@ -212,10 +214,10 @@ def block_matches(index: DataFrame, block: Phrases) -> DataFrame:
                 hit = np.cumsum(edge) > 0
                 runs_ = [hit_runs(hit[a:b]) for a, b in zip(part.starts[:-1].tolist(), part.starts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([row["segment"]] * len(runs_)), pa.array(range(len(runs_)), pa.int32()), pa.array(part.doc_ids, pa.int64()), pa.array(part.lengths),
+                    pa.array([row["segment"]] * len(runs_)), pa.array(range(len(runs_)), pa.int32()), pa.array(part.doc_ids, ids), pa.array(part.lengths),
                     pa.array([x[0] for x in runs_], numbers), pa.array([x[1] for x in runs_], numbers), pa.array([sorted(x) for x in found], names)], schema=schema)
 
-    return index.mapInArrow(match, "segment string, place int, doc_id bigint, n_words bigint, from_ array<bigint>, to array<bigint>, items array<string>")
+    return index.mapInArrow(match, f"segment string, place int, doc_id {id_type}, n_words bigint, from_ array<bigint>, to array<bigint>, items array<string>")
 
 
 def hit_runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
@@ -287,8 +289,19 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = 10) -> D
     return phrase_matches(build_index(documents), items, window)
 
 
-def contaminated_ids(documents: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id of the documents with a match, written to the shared folder; the index goes."""
+def text_digest() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def contaminated_texts(documents: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """sha (text_digest()) of the texts with a match, written to the shared folder; the index goes."""
     with scratch(documents.sparkSession):
-        found = contamination(documents, items, window)
-        return save(found.where("n_hit > 0").select("doc_id").distinct(), "contaminated", outlive=True)
+        index = build_index(documents.select(text_digest().alias("doc_id"), "text"), "string")
+        found = phrase_matches(index, items, window).where("n_hit > 0")
+        return save(found.select(F.col("doc_id").alias("sha")).distinct(), "contaminated", outlive=True)
+
+
+def clean_rows(documents: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The rows whose own text has no match, whatever their ids: null and repeated ids are judged by row, null texts stay."""
+    packed = documents.select(F.struct(*documents.columns).alias("kept"), text_digest().alias("sha"))
+    return packed.join(contaminated_texts(documents, items, window), "sha", "left_anti").select("kept.*")
