@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph, searched greedily.
 
 Equal vectors are one node of the graph. The first graph comes from brute force within buckets of random hyperplane
-codes. Each round then joins, for every node, its neighbours with its reverse neighbours (in chunks, so that a hub's long
-list is never one group's work): any two of them that are nearer to each other than a present neighbour replace it. The
-graph holds every row; rounds end when the mean similarity of neighbours stops rising.
+codes. Each round then joins, for every node, its neighbours with all its reverse neighbours (these in chunks, each with
+the whole list of neighbours, so that a hub's long list is never one group's work): any two of them that are nearer to
+each other than a present neighbour replace it. The graph holds every row; rounds end when the mean similarity of
+neighbours rises by less than GAIN.
 
 A query walks the undirected graph: from its own node and a few entry nodes, the best unexpanded candidates are expanded
-again and again until the pool's best are all expanded. Scores are cosines of the original vectors in double precision.
+again and again until all of its pool are expanded. Scores are cosines of the original vectors in double precision.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Fewer
 candidates than k: all of them. Ties go to the smaller id.
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import save
+from wavelake.llm.common import remove, save
 
-NEIGHBOURS, BUCKET, CODES, ROUNDS, CHUNK = 20, 160, 3, 5, 32
-POOL, BEAM, HOPS, ENTRIES = 48, 8, 6, 16
+NEIGHBOURS, BUCKET, CODES, GAIN, CHUNK = 20, 160, 3, 1e-4, 32
+POOL, BEAM, ENTRIES = 200, 32, 16
 
 
 def best_of(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
@@ -96,7 +97,9 @@ def local_join(graph: DataFrame, points: DataFrame, length: int) -> DataFrame:
     own = points.select("id", "h").join(last, "id")
     order = Window.partitionBy("nb").orderBy(F.desc("sim"), "id")
     back = graph.select(F.col("nb").alias("at"), F.col("id").alias("u"), F.floor((F.row_number().over(order) - 1) / CHUNK).cast("int").alias("chunk"))
-    ahead = graph.select(F.col("id").alias("at"), F.col("nb").alias("u"), F.lit(0).alias("chunk"))
+    most = back.groupBy("at").agg(F.max("chunk").alias("most"))
+    chunks = F.explode(F.sequence(F.lit(0), F.coalesce("most", F.lit(0))))
+    ahead = graph.select(F.col("id").alias("at"), F.col("nb").alias("u")).join(most, "at", "left").select("at", "u", chunks.alias("chunk"))
     around = ahead.unionByName(back).distinct().join(own, F.col("u") == F.col("id")).select("at", "chunk", "u", "h", "last")
     sorted_ = around.repartition("at", "chunk").sortWithinPartitions("at", "chunk", "u")
 
@@ -133,7 +136,7 @@ def local_join(graph: DataFrame, points: DataFrame, length: int) -> DataFrame:
     return sorted_.mapInArrow(pairs, "id bigint, nb bigint, sim float")
 
 
-def build_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(nodes: DataFrame) -> DataFrame:
     """(id, v), vectors distinct -> id, nb, sim."""
     n, length = nodes.agg(F.count("*"), F.first(F.size("v"))).first()
     if not n:
@@ -141,13 +144,20 @@ def build_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     bits = max(1, math.ceil(math.log2(max(2, n / BUCKET))))
     points = save(described(nodes, length, bits), "points")
     graph, before = save(first_graph(points, length, n), "graph"), -2.0
-    for _ in range(rounds):
-        graph = save(trimmed(graph.unionByName(local_join(graph, points, length))), "graph")
+    while True:  # a round loses no neighbour but for a nearer one, so the mean rises to a bound
+        graph = renewed(graph, trimmed(graph.unionByName(local_join(graph, points, length))), "graph")
         now = graph.agg(F.avg("sim")).first()[0]
-        if now is None or now - before < 1e-4:
-            break
+        if now is None or now - before < GAIN:
+            return graph
         before = now
-    return graph
+
+
+def renewed(old: DataFrame, new: DataFrame, label: str) -> DataFrame:
+    """new, saved; the saved table old, which it came from, goes."""
+    made = save(new, label)
+    for path in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+        remove(old.sparkSession, path)
+    return made
 
 
 def cosine(a: Column, b: Column, norms: Column) -> Column:
@@ -166,13 +176,11 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> Dat
     entries = [F.lit(r.id) for r in nodes.orderBy(F.xxhash64("id"), "id").select("id").limit(ENTRIES).collect()]
     start = asked.select("q", F.explode(F.array_distinct(F.array("q", *entries))).alias("c"))
     pool = save(scored(start).withColumn("done", F.lit(False)), "pool")
-    for _ in range(HOPS):
+    while not pool.where("NOT done").isEmpty():
         next_ = best_of(pool.where("NOT done"), "q", [F.desc("s"), "c"], BEAM).select("q", "c", F.lit(True).alias("now"))
         reached = next_.join(around, next_.c == around.id).select("q", F.col("nb").alias("c")).distinct().join(pool.select("q", "c"), ["q", "c"], "left_anti")
         old = pool.join(next_, ["q", "c"], "left").select("q", "c", "s", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        pool = save(best_of(old.unionByName(scored(reached).withColumn("done", F.lit(False))), "q", [F.desc("s"), "c"], POOL), "pool")
-        if pool.where("NOT done").isEmpty():
-            break
+        pool = renewed(pool, best_of(old.unionByName(scored(reached).withColumn("done", F.lit(False))), "q", [F.desc("s"), "c"], POOL), "pool")
     return pool.select("q", "c", "s")
 
 
