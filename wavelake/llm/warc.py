@@ -124,30 +124,33 @@ def write(pages: DataFrame, place: str | None = None, file_bytes: int = FILE_BYT
     plain = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     shard, shards = shard_of(plain, shard_bytes)
     large = (F.octet_length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull()
-    holders = plain.where(large).select("page_id", F.sha2("payload", 256).alias("digest")).join(revisits(plain), "digest").select("page_id", "holder").distinct()
-    rows = plain.select("page_id", "url", "payload", F.lit(None).cast("long").alias("holder"))
-    rows = rows.unionByName(holders.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "holder"))
+    holders = plain.where(large).select("page_id", F.sha2("payload", 256).alias("digest")).join(revisits(plain), "digest").distinct()
+    rows = plain.select("page_id", "url", "payload", F.lit(None).cast("long").alias("holder"), F.lit(None).cast("string").alias("digest"))
+    rows = rows.unionByName(holders.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "holder", "digest"))
     tasks = max(shards, min(4 * shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     order = ["shard", "page_id", F.col("payload").isNotNull(), "url", F.sha2("payload", 256)]
     dealt = rows.withColumn("shard", shard).repartition(tasks, "shard").sortWithinPartitions(*order)
 
     def put(batches):
         out = ShardFiles(place, file_bytes)
-        holder = seen = None
+        page, holders, seen = None, {}, set()  # of one page_id: the holder of each digest, and the digests written
         for batch in batches:
             for row in batch.to_pylist():
+                if row["page_id"] != page:
+                    page, holders, seen = row["page_id"], {}, set()
                 if row["payload"] is None:  # comes before its page
-                    holder = row["page_id"], row["holder"]
+                    holders[row["digest"]] = row["holder"]
                     continue
                 target, payload = None, row["payload"].encode()
-                if holder and holder[0] == row["page_id"] is not None and len(payload) >= REVISIT_BYTES and (holder[1] != row["page_id"] or seen == row["page_id"]):
-                    target = holder[1]
-                if target is None:
-                    seen = row["page_id"]
+                if holders and len(payload) >= REVISIT_BYTES:
+                    digest = hashlib.sha256(payload).hexdigest()
+                    if digest in holders and (holders[digest] != page or digest in seen):
+                        target = holders[digest]
+                    seen.add(digest)
                 out.add(row["shard"], record(row["page_id"], row["url"], payload, target))
         yield pa.RecordBatch.from_pylist(out.close(), pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
-    dealt.select("shard", "page_id", "url", "payload", "holder").mapInArrow(put, "file string, records bigint, bytes bigint, sha256 string").write.parquet(f"{place}/manifest")
+    dealt.select("shard", "page_id", "url", "payload", "holder", "digest").mapInArrow(put, "file string, records bigint, bytes bigint, sha256 string").write.parquet(f"{place}/manifest")
     return place
 
 
