@@ -131,9 +131,9 @@ add("adjoint_travel_time", lambda s, d: misfit.adjoint_travel_time(pair_samples(
 add("misfit_envelope", on_rows(misfit.envelope))
 add("misfit_phase", on_rows(lambda p: misfit.envelope(p, phase=True)))
 add("misfit_envelope_correlation", lambda s, d: misfit.weighted(misfit.global_correlation(pair_samples(s, d)), misfit.envelope(own_pairs(s, d)), 3, 10))
-add("misfit_soft_dtw", on_rows(lambda p: misfit.soft_dtw(p, 1.0, 2)))
-add("misfit_soft_dtw_correlation", lambda s, d: misfit.weighted(misfit.global_correlation(pair_samples(s, d)), misfit.soft_dtw(own_pairs(s, d), 1.0, 2), 3, 10))
-add("misfit_sinkhorn", on_rows(lambda p: misfit.sinkhorn(p, every=4)))
+add("misfit_soft_dtw", on_rows(misfit.soft_dtw))
+add("misfit_soft_dtw_correlation", lambda s, d: misfit.weighted(misfit.global_correlation(pair_samples(s, d)), misfit.soft_dtw(own_pairs(s, d)), 3, 10))
+add("misfit_sinkhorn", on_rows(misfit.sinkhorn))
 add("misfit_wasserstein2", on_rows(misfit.wasserstein))
 # p = 1 on unit times is the sum of the running sums' differences
 add("misfit_wasserstein1", on_rows(lambda p: misfit.wasserstein(p, 1)), integral_sql("square", 1), "shot", "misfit")
