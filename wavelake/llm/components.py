@@ -8,23 +8,23 @@ from pyspark.sql import functions as F
 from wavelake.llm.common import save, scratch
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links between long ids -> (node, component): each linked node with the smallest id that it reaches.
 
     Nodes without links, links with a null end and links to oneself give no row. Each round saves its links in the
     shared folder, so lineage stays short; no links reach the driver, only their count and checksum.
     """
     with scratch(edges.sparkSession):
-        links = settle(edges, rounds)
+        links = settle(edges)
         return save(links, "components", outlive=True)
 
 
-def settle(edges: DataFrame, rounds: int) -> DataFrame:
+def settle(edges: DataFrame) -> DataFrame:
     """Large and small stars in turn until nothing changes: (node, component)."""
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     links = save(links, "links")
     before = None
-    for _ in range(rounds):
+    while True:  # each round brings some node nearer to its smallest, so it ends
         mark = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.llm.common import bounded, fold_of, save, texts
-from wavelake.llm.simhash import runs
+from wavelake.llm.prints import runs
 
 DEPTH = 5
 SYMBOL = 8 * DEPTH  # a string's key: the preceding bytes, nearest first, above the byte itself

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavelake.llm.common import bounded, texts, with_field
-from wavelake.llm.simhash import runs
+from wavelake.llm.prints import runs
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0

@@ -5,41 +5,39 @@ Fingerprints: 64 bits, each set if it is set in over half of the XXH64 values of
 fingerprint_links() finds all pairs within a Hamming radius of 2 without loss. Every fingerprint's distances to 16
 fixed reference fingerprints are tabulated, whole and restricted to groups of bits. Two fingerprints within 2 bits agree
 on at least three of five bit groups; there, by the triangle inequality, their restricted distance tables are the same,
-so pairs meet in an equi-join on those coordinates. Pairs that meet are discarded if a coordinate of the whole tables
-differs by more than the radius, and the survivors are verified. Where more than `most` fingerprints share a restricted
-table (a family of near copies), pairs are not listed: fingerprints are linked through the values at most one bit away
-from them, which two fingerprints share exactly if they are within 2 bits; that is linear in the family's size.
+so pairs meet in an equi-join on those coordinates. What meets there is split once more by the other bits, five groups of
+them again, so that members of a list agree on all but ten bits or so and no list can be long, however large a family of
+near copies is. Pairs of a list are discarded if a coordinate of their whole tables differs by more than the radius, and
+the survivors are verified.
 
 near_duplicate_groups() and one_of_each_group() are for word-set similarity (five words, 0.8 by default). At that radius
-(a seventh of all bits) distances to fixed references tell too little to index by, so pairs meet on min-hash bands of
-their shingles instead; pivot tables and the Hamming distance discard, and the exact Jaccard similarity decides.
+(a seventh of all bits) distances to fixed fingerprints tell too little to index by: fingerprint links give the first
+pairs there, and set_join finds the rest, exactly; its tables hold distances to reference sets instead.
 
 Null texts are empty; texts without words have fingerprint 0 and no shingles; texts of fewer words than a shingle have
-one, the whole sequence. Null ids keep their fingerprint and take the component of what they link to.
+one, the whole sequence. Null ids keep their fingerprint and take the component of what they link to. Repeated rows stay
+rows. An empty table gives none.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 import random
-from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.llm.common import bounded, save, scratch, texts
 from wavelake.llm.components import connected_components
+from wavelake.llm.prints import fingerprints_of, runs, shingle_hashes
+from wavelake.llm.set_join import candidates, similar_components
 
-RADIUS, PIVOTS, BIT_GROUPS, BAND_ROWS = 2, 16, 5, 4
+RADIUS, PIVOTS, BIT_GROUPS = 2, 16, 5
 _draw = random.Random(64)
 REFERENCES = [_draw.getrandbits(64) for _ in range(PIVOTS)]
-BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float64)
 
 
 def signed(x: int) -> int:
@@ -49,117 +47,64 @@ def signed(x: int) -> int:
 # ---------------------------------------------------------------- fingerprints
 
 
-def shingle_hashes(text: bytes, size: int) -> list[int]:
-    """XXH64 (seed 42) of every run of size words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased), joined by a space, repeats included."""
-    words = text.lower().split()
-    if not words:
-        return []
-    whole = b" ".join(words)
-    if len(words) <= size:
-        return [xxhash.xxh64_intdigest(whole, 42)]
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - np.array([len(w) + 1 for w in words]))[: len(words) - size + 1].tolist()
-    return [xxhash.xxh64_intdigest(whole[a:b], 42) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)]
-
-
-def mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th 64 bits made from each hash: the hash itself, then splitmix64's finaliser over shifted copies."""
-    if k == 0:
-        return h
-    x = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprints_of(hashes: list[list[int]], words: int = 1) -> np.ndarray:
-    """(documents, words) of 64 bits each: bit set if set in over half of the document's hashes. Counted byte by byte."""
-    n = np.array([len(x) for x in hashes])
-    flat = np.fromiter((v for x in hashes for v in x), np.uint64, int(n.sum()))
-    row = np.repeat(np.arange(len(n)), n) * 256
-    out = np.zeros((len(n), words), np.uint64)
-    for k in range(words):
-        by_byte = mixed(flat, k).view(np.uint8).reshape(-1, 8)
-        ones = np.hstack([np.bincount(row + by_byte[:, p], minlength=len(n) * 256).reshape(-1, 256) @ BYTE_BITS for p in range(8)])
-        out[:, k] = np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").copy().view(np.uint64)[:, 0]
-    return out
-
-
-def runs(sizes: list[int], most: int, rows: int = 512) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most `rows` rows and about `most` in size."""
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and (total + n > most or i - start >= rows):
-            yield start, i
-            start, total = i, 0
-        total += n
-    if sizes:
-        yield start, len(sizes)
-
-
 @bounded
-def fingerprints(documents: DataFrame, size: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, text) -> doc_id, f0, f1, ... (bigint, 64 bits each), a row for each row."""
-    fields = ["doc_id", *(f"f{k}" for k in range(words))]
+def fingerprints(documents: DataFrame, size: int = 3) -> DataFrame:
+    """(doc_id, text) -> doc_id, f (bigint, 64 bits), a row for each row."""
 
     def make(batches):
         for batch in batches:
             ids, own = batch.column("doc_id"), texts(batch)
             for a, b in runs([len(x) for x in own], 8 << 20):
-                made = fingerprints_of([shingle_hashes(x, size) for x in own[a:b]], words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(np.ascontiguousarray(made[:, k])) for k in range(words))], fields)
+                made = fingerprints_of([shingle_hashes(x, size) for x in own[a:b]]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(made[:, 0].copy())], ["doc_id", "f"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id bigint" + "".join(f", f{k} bigint" for k in range(words)))
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id bigint, f bigint")
 
 
 # ---------------------------------------------------------------- pivot tables
 
 
-def distance(a: Column | str, b: Column | str, mask: int = -1) -> Column:
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.bit_count(a.bitwiseXOR(b) if mask == -1 else a.bitwiseXOR(b).bitwiseAND(F.lit(signed(mask))))
-
+def pivot_distances(f: Column, mask: Column | None = None) -> list[Column]:
+    """The Hamming distances to the references, in the mask's bits alone if there is one."""
+    apart = [f.bitwiseXOR(F.lit(signed(r))) for r in REFERENCES]
+    return [F.bit_count(x if mask is None else x.bitwiseAND(mask)) for x in apart]
 
-def pivot_distances(f: Column | str, mask: int = -1) -> list[Column]:
-    return [distance(f, F.lit(signed(r)), mask) for r in REFERENCES]
 
+def agreeing(bits: list[int]) -> list[int]:
+    """Two fingerprints that differ in RADIUS of these bits at most agree on one of these masks: unions of BIT_GROUPS - RADIUS groups of them."""
+    edges = [len(bits) * k // BIT_GROUPS for k in range(BIT_GROUPS + 1)]
+    groups = [sum(1 << x for x in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [reduce(int.__or__, x) for x in combinations(groups, BIT_GROUPS - RADIUS)]
 
-def pivots_allow(a: Column, b: Column, radius: int) -> Column:
-    """No coordinate of the two whole distance tables differs by more than the radius."""
-    gaps = [F.abs(x - y) for x, y in zip(pivot_distances(a), pivot_distances(b), strict=True)]
-    return F.greatest(*gaps) <= radius
 
+def met(rows: DataFrame) -> DataFrame:
+    """The rows whose key (of mask and restricted distances) another row has too."""
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("n_")).where("n_ > 1").select("key"), "key", "left_semi")
 
-def kept_masks() -> list[int]:
-    """The unions of BIT_GROUPS - RADIUS of the bit groups."""
-    edges = [64 * k // BIT_GROUPS for k in range(BIT_GROUPS + 1)]
-    groups = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [reduce(int.__or__, x) for x in combinations(groups, BIT_GROUPS - RADIUS)]
 
+def keyed(masks: Column) -> Column:
+    """For each of the masks, its number and a key of it and of the distances restricted to it."""
+    return F.transform(masks, lambda m, t: F.struct(t.alias("t"), F.xxhash64(m, *pivot_distances(F.col("f"), m)).alias("key")))
 
-def fingerprint_links(distinct: DataFrame, most: int = 32) -> DataFrame:
-    """(f bigint, rep bigint), f distinct -> links (a, b) between the reps of fingerprints at 2 or fewer differing bits.
 
-    Where a family is larger than `most`, its links may go through a third member; none is lost for reachability.
-    """
-    keys = F.array(*(F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *pivot_distances("f", m)).alias("key")) for t, m in enumerate(kept_masks())))
-    table = distinct.select("f", "rep", F.explode(keys).alias("k")).select("f", "rep", "k.t", "k.key")
-    met = table.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = save(table.join(met, ["t", "key"]), "pivots")
-    few = shared.where(F.col("n") <= most)
-    other = few.select("t", "key", F.col("f").alias("g"), F.col("rep").alias("b"))
-    pairs = few.join(other, ["t", "key"]).where(F.col("f") < F.col("g"))
-    near = pairs.where(pivots_allow(F.col("f"), F.col("g"), RADIUS)).where(distance("f", "g") <= RADIUS).select(F.col("rep").alias("a"), "b")
-    flips = F.array(F.col("f"), *(F.col("f").bitwiseXOR(F.lit(signed(1 << k))) for k in range(64)))
-    middle = shared.where(F.col("n") > most).select("f", "rep").distinct().select("rep", F.explode(flips).alias("middle"))
-    through = middle.groupBy("middle").agg(F.collect_list("rep").alias("reps")).where(F.size("reps") > 1)  # 65 at most
-    star = through.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")).where("a > b")
-    return near.unionByName(star).distinct()
+def fingerprint_links(distinct: DataFrame) -> DataFrame:
+    """(f bigint, rep bigint), f distinct -> all pairs (a, b) of the reps of fingerprints at 2 or fewer differing bits."""
+    first = agreeing(list(range(64)))
+    second = [[m | x for x in agreeing([k for k in range(64) if not m >> k & 1])] for m in first]
+    literal = lambda masks: F.lit([signed(m) for m in masks])
+    table = save(distinct.select("f", "rep", F.array(*pivot_distances(F.col("f"))).cast("array<tinyint>").alias("d")), "pivots")
+    rough = met(table.select("f", "rep", F.explode(keyed(literal(first))).alias("k")).select("f", "rep", "k.t", "k.key")).drop("key")
+    masks = F.element_at(F.array(*(literal(x) for x in second)), F.col("t") + 1)
+    fine = save(met(rough.select("f", "rep", F.explode(keyed(masks)).alias("k")).select("f", "rep", "k.key").distinct()).join(table.select("rep", "d"), "rep"), "met")
+    other = fine.select("key", *(F.col(c).alias(f"{c}_") for c in ("f", "rep", "d")))
+    pairs = fine.join(other, "key").where(F.col("f") < F.col("f_"))
+    kept = pairs.where(F.forall(F.zip_with("d", "d_", lambda x, y: F.abs(x - y)), lambda gap: gap <= RADIUS))
+    return kept.where(F.bit_count(F.col("f").bitwiseXOR(F.col("f_"))) <= RADIUS).select(F.col("rep").alias("a"), F.col("rep_").alias("b")).distinct()
 
 
 def fingerprint_components(documents: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, f (the 64-bit fingerprint), component_id: the smallest doc_id reachable over links of 2 or fewer bits."""
-    prints = save(fingerprints(documents, size).withColumnRenamed("f0", "f"), "fingerprints")
+    prints = save(fingerprints(documents, size), "fingerprints")
     distinct = prints.groupBy("f").agg(F.min("doc_id").alias("rep"))
     with scratch(documents.sparkSession):
         distinct = save(distinct, "distinct", outlive=True)
@@ -171,140 +116,6 @@ def fingerprint_components(documents: DataFrame, size: int = 3) -> DataFrame:
 # ---------------------------------------------------------------- word-set similarity
 
 
-def bits_agreeing(similarity: float) -> float:
-    """The chance that a SimHash bit agrees for two equally large sets of that Jaccard similarity."""
-    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def band_count(similarity: float, rows: int = BAND_ROWS, miss: float = 0.002) -> int:
-    """As many bands as bring the chance that a pair just at the threshold shares none down to `miss`."""
-    return math.ceil(math.log(miss) / math.log(1 - similarity**rows))
-
-
-def bands_of(flat: np.ndarray, starts: np.ndarray, bands: int) -> np.ndarray:
-    """(sets, bands) keys from each set's BAND_ROWS minima a band under as many hash functions; flat: the sets laid end to end."""
-    draw = random.Random(5)
-    out = np.empty((len(starts), bands), np.uint64)
-    for t in range(bands):
-        key = np.full(len(starts), t + 1, np.uint64)
-        for _ in range(BAND_ROWS):
-            x = (flat ^ np.uint64(draw.getrandbits(64))) * np.uint64(draw.getrandbits(64) | 1)
-            least = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
-            key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        out[:, t] = key
-    return out
-
-
-@bounded
-def set_prints(documents: DataFrame, size: int, similarity: float) -> DataFrame:
-    """doc_id, sha (digest of the word sequence), f0 (SimHash of the distinct shingles), bands (array<bigint>), a row for each row.
-
-    One pass without a shuffle. Rows without words have no bands.
-    """
-    count = band_count(similarity)
-
-    def make(batches):
-        for batch in batches:
-            ids, own = batch.column("doc_id"), texts(batch)
-            for a, b in runs([len(x) for x in own], 4 << 20):
-                digests = [hashlib.sha256(b" ".join(x.lower().split())).hexdigest() for x in own[a:b]]
-                sets = [np.unique(np.array(shingle_hashes(x, size), np.uint64)) for x in own[a:b]]
-                bands: list = [[] for _ in sets]
-                if has := [i for i, x in enumerate(sets) if len(x)]:
-                    sizes = np.array([len(sets[i]) for i in has])
-                    keys = bands_of(np.concatenate([sets[i] for i in has]), np.cumsum(sizes) - sizes, count).view(np.int64).tolist()
-                    for i, k in zip(has, keys, strict=True):
-                        bands[i] = k
-                made = fingerprints_of([x.tolist() for x in sets]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(digests), pa.array(made[:, 0]), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "sha", "f0", "bands"])
-
-    return documents.mapInArrow(make, "doc_id bigint, sha string, f0 bigint, bands array<bigint>")
-
-
-def sharer_pairs(prints: DataFrame, similarity: float, whole: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(rep, f0, bands) -> pairs (a, b), a < b, of reps that share a band, and the large bands' rows (key, rep, f0).
-
-    All pairs of up to `whole` sharers; beyond, each sharer with the band's smallest rep, so that the count stays linear:
-    remaining_pairs() takes up what these leave. Distant pairs are discarded.
-    """
-    rows = prints.select("rep", "f0", F.explode("bands").alias("key"))
-    sharers = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "f0")).alias("o")).where("n > 1")
-    shared = save(rows.join(sharers, "key"), "shared")
-    rest = shared.where(F.col("n").between(3, whole)).select("key", "rep", "f0")
-    inner = rest.join(rest.select("key", F.struct("rep", "f0").alias("o")), "key").select("rep", "f0", "o")
-    near = (F.col("rep") > F.col("o.rep")) & close("f0", "o.f0", similarity)
-    pairs = shared.select("rep", "f0", "o").unionByName(inner).where(near).select(F.col("o.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    return save(pairs, "pairs"), shared.where(F.col("n") > whole).select("key", "rep", "f0")
-
-
-def close(f: str, g: str, similarity: float) -> Column:
-    """The pivot tables and the Hamming distance of two 64-bit prints allow that similarity (to four standard deviations)."""
-    p = bits_agreeing(similarity)
-    radius = math.ceil(64 * (1 - p) + 4 * 8 * math.sqrt(p * (1 - p)))
-    return pivots_allow(F.col(f), F.col(g), radius) & (distance(f, g) <= radius)
-
-
-def remaining_pairs(large: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """Close pairs (a, b) of a large band whose sharers the first pairs left in several components, across components.
-
-    A band whose sharers are one component needs no more: families of near copies end there.
-    """
-    held = large.join(parts, large.rep == parts.node, "left").select("key", "rep", "f0", F.coalesce("component", "rep").alias("part"))
-    ends = held.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    rows = save(held.join(ends, "key", "left_semi"), "open")
-    other = rows.select("key", F.col("rep").alias("b"), F.col("part").alias("part_b"), F.col("f0").alias("g0"))
-    apart = (F.col("rep") < F.col("b")) & (F.col("part") != F.col("part_b")) & close("f0", "g0", similarity)
-    return rows.join(other, "key").where(apart).select(F.col("rep").alias("a"), "b").distinct()
-
-
-@bounded
-def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
-    """(text, sha, node) -> node, hashes (binary: the sorted distinct shingle hashes, 8 bytes each) of the texts with that digest, once each."""
-
-    def make(batches):
-        for batch in batches:
-            nodes, shas, own = batch.column("node").to_pylist(), batch.column("sha").to_pylist(), texts(batch)
-            for a, b in runs([len(x) for x in own], 4 << 20):
-                same = [i for i in range(a, b) if hashlib.sha256(b" ".join(own[i].lower().split())).hexdigest() == shas[i]]
-                sets = [np.unique(np.array(shingle_hashes(own[i], size), np.uint64)).tobytes() for i in same]
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in same], pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
-
-    made = documents.select("text", "sha", "node").mapInArrow(make, "node bigint, hashes binary")
-    return made.groupBy("node").agg(F.first("hashes").alias("hashes"))
-
-
-@bounded
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose shingle sets have at least that Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-
-    def compare(batches):
-        for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in ("x", "y"))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(common / max(1, len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, similarity double").where(F.col("similarity") >= similarity)
-
-
-def similar_components(documents: DataFrame, prints: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(node, doc_id, sha, f0, bands), one row for each text -> (node, component) over links of that Jaccard similarity of shingle sets."""
-    pairs, large = sharer_pairs(prints.withColumnRenamed("node", "rep"), similarity)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select(F.col("rep").alias("node"))).distinct()
-    chosen = prints.join(wanted, "node", "left_semi").select("doc_id", "sha", "node")
-    own = documents.select("doc_id", "text").join(chosen, "doc_id")
-    sets = save(shingle_sets(own, size), "sets")
-    links = save(verified(pairs, sets, similarity).select("a", "b"), "links")
-    if large.isEmpty():
-        return connected_components(links)
-    more = save(verified(remaining_pairs(large, connected_components(links), similarity), sets, similarity).select("a", "b"), "links")
-    return connected_components(links.unionByName(more))
-
-
 def near_duplicate_groups(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, sha, component_id, part: documents with equal word sequences, or linked by similar shingle sets, share the smallest doc_id reachable.
 
@@ -313,18 +124,30 @@ def near_duplicate_groups(documents: DataFrame, size: int = 5, similarity: float
     """
     own = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     with scratch(documents.sparkSession):
-        prints = save(set_prints(own, size, similarity), "prints")
+        prints = save(own.select("doc_id", word_digest("text").alias("sha")), "prints")
         # a digest's smallest id stands for it; an id with several texts gets a number of its own for the others
-        first = save(prints.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("f0").alias("f0"), F.first("bands").alias("bands")), "first")
+        first = save(prints.groupBy("sha").agg(F.min("doc_id").alias("doc_id")), "first")
         main = first.groupBy("doc_id").agg(F.min("sha").alias("main"))
         node = F.when(F.col("sha") == F.col("main"), F.col("doc_id")).otherwise(F.xxhash64("sha"))
-        named = save(first.join(main, "doc_id").select("doc_id", "sha", "f0", "bands", node.alias("node")), "named")
-        parts = similar_components(own, named, size, similarity).withColumnRenamed("node", "node_")
+        named = save(first.join(main, "doc_id").select("doc_id", "sha", node.alias("node")), "named")
+        with scratch(documents.sparkSession):
+            found = save(candidates(own, size, similarity), "candidates", outlive=True)
+        whole = F.struct("f0", "n", "own", "common", "prefix", "table", "hashes")
+        sets = save(found.join(named.select("sha", "node"), "sha").groupBy("node").agg(F.first(whole).alias("x")).select("node", "x.*"), "sets")
+        parts = similar_components(sets, print_pairs(sets), similarity)
         placed = save(named.join(parts, named.node == parts.node_, "left").select("sha", "doc_id", F.coalesce("component", "node").alias("part")), "placed")
         least = placed.groupBy("part").agg(F.min("doc_id").alias("component_id"))
         return save(prints.select("doc_id", "sha").join(placed.join(least, "part").select("sha", "component_id", "part"), "sha"), "groups", outlive=True)
 
 
+def print_pairs(sets: DataFrame) -> DataFrame:
+    """(node, f0) -> pairs (a, b): nodes of one fingerprint with the smallest, and those of fingerprints that are linked."""
+    by_print = save(sets.groupBy("f0").agg(F.min("node").alias("rep")), "by_print")
+    same = sets.select("node", "f0").join(by_print, "f0").where("node > rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    linked = fingerprint_links(by_print.withColumnRenamed("f0", "f"))
+    return same.unionByName(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+
+
 def one_of_each_group(documents: DataFrame) -> DataFrame:
     """The rows of the smallest (doc_id, sha) of each near-duplicate group, repeated rows once; rows of null ids stay.
 
