@@ -7,9 +7,10 @@ product. A decision's probability mixes the estimates of all depths with the wei
 log10 probability of all its bytes.
 
 All counts come from all training documents. A task packs the documents that it reads into blocks of BLOCK_BYTES; a block
-sends its distinct (DEPTH + 1)-byte strings with counts, these are added up by string, and the trees below each pair of
-preceding bytes are weighted independently (a subtree lies in one group whole; its rows are distinct strings, not
-occurrences). The two top levels have at most 256 * 255 nodes and go to all tasks. Each block, packed, then meets exactly
+sends its distinct (DEPTH + 1)-byte strings with counts, these are added up by string, and the trees below each TOP
+preceding bytes are weighted independently (a subtree lies in one task whole; its rows are distinct strings, not
+occurrences). The levels above are added up from there, and what they mix goes back to the subtrees; the two top levels
+have at most 256 * 255 nodes and go to all tasks. Each block, packed, then meets exactly
 the log probabilities of its own strings and words, whose number its size bounds: no table of the corpus is broadcast,
 however large it grows, and texts move once, packed.
 
@@ -28,13 +29,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.ipc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.llm.common import bounded, fold_of, save, texts
 from wavelake.llm.prints import runs
 
-DEPTH = 5
+DEPTH, TOP = 5, 3
 SYMBOL = 8 * DEPTH  # a string's key: the preceding bytes, nearest first, above the byte itself
 BLOCK_BYTES, RUN_BYTES = 32 << 20, 1 << 20
 #: The most frequent strings and words go to every task with their values (5 MB at most); blocks need not ask for them.
@@ -210,12 +211,11 @@ class Level:
 
 
 def levels(strings: np.ndarray, counts: np.ndarray, k: int) -> list[Level]:
-    """The levels of depth DEPTH up to 2 below a pair of preceding bytes, for the bytes' decision k (0 to 7) alone: a
-    decision's nodes never meet another's."""
+    """The levels of depth DEPTH up to TOP, for the bytes' decision k (0 to 7) alone: a decision's nodes never meet another's."""
     nodes, ones = decision(strings, k)
     keys, at = np.unique(nodes, return_inverse=True)
     out = [Level(keys, np.bincount(at, counts * (1 - ones), len(keys)), np.bincount(at, counts * ones, len(keys)))]
-    for _ in range(DEPTH - 2):
+    for _ in range(DEPTH - TOP):
         out.append(out[-1].above())
     return out
 
@@ -226,10 +226,51 @@ def decision(strings: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return strings >> 8 << 8 | 1 << k | symbol >> (8 - k), symbol >> (7 - k) & 1
 
 
-def pair_summary(table: pa.Table) -> pa.Table:
-    strings, n = table.column("string").to_numpy(), table.column("n").to_numpy()
-    tops = [levels(strings, n, k)[-1] for k in range(8)]
-    return pa.table({"node": pa.array(np.concatenate([t.keys >> 16 << 8 | t.keys & 255 for t in tops]))} | {x: pa.array(np.concatenate([getattr(t, x) for t in tops])) for x in ("n0", "n1", "lw")})
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows of a sorted stream, none of which cuts a `top` (rows of one context of depth TOP) in two."""
+    kept, size, enough = [], 0, rows
+    for batch in batches:
+        kept.append(batch)
+        size += batch.num_rows
+        if size >= enough:
+            table = pa.Table.from_batches(kept)
+            edges = np.flatnonzero(np.diff(table.column("top").to_numpy()))
+            end = int(edges[-1]) + 1 if len(edges) else 0
+            if end:
+                yield table.slice(0, end)
+            kept, size = table.slice(end).to_batches(), table.num_rows - end
+            enough = max(rows, 2 * size)
+    if size:
+        yield pa.Table.from_batches(kept)
+
+
+def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(top, string, n) -> the nodes of depth TOP: node, counts, log weights."""
+    for table in whole_groups(batches):
+        strings, n = table.column("string").to_numpy(), table.column("n").to_numpy()
+        tops = [levels(strings, n, k)[-1] for k in range(8)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([getattr(t, x) for t in tops])) for x in ("keys", "n0", "n1", "lw")], ["node", "n0", "n1", "lw"])
+
+
+def shorter(node: str) -> Column:
+    """The node of the next shorter context."""
+    return F.shiftleft(F.shiftright(node, 16), 8).bitwiseOR(F.col(node).bitwiseAND(F.lit(255)))
+
+
+def summed(nodes: DataFrame) -> DataFrame:
+    """The next shorter contexts' nodes: counts, and below, the log weight of all children."""
+    return nodes.groupBy(shorter("node").alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lw").alias("below"))
+
+
+def level_of(batch: pa.RecordBatch) -> Level:
+    own = Level(*(batch.column(x).to_numpy() for x in ("node", "n0", "n1")))
+    own.lw = np.logaddexp(own.kt, batch.column("below").to_numpy()) - np.log(2)
+    return own
+
+
+def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(level_of(batch).lw)], ["node", "n0", "n1", "below", "lw"])
 
 
 def top_levels(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -248,23 +289,59 @@ def top_levels(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return known, rest
 
 
-def log_probabilities(strings: np.ndarray, counts: np.ndarray, known: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """log10 of each string's last byte given the bytes before it, for the strings below one pair of preceding bytes."""
+def log_probabilities(strings: np.ndarray, counts: np.ndarray, nodes: np.ndarray, known: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """log10 of each string's last byte given the bytes before it; nodes: those of depth TOP, sorted, with what shorter
+    contexts mix and the weight that is left."""
     out = np.zeros(len(strings))
     for decided in range(8):
         tree = levels(strings, counts, decided)[::-1]
-        k, r = known[tree[0].keys >> 16, tree[0].keys & 255], rest[tree[0].keys >> 16, tree[0].keys & 255]
+        at = np.searchsorted(nodes, tree[0].keys)
+        k, r = known[at], rest[at]
         for d, level in enumerate(tree):
             if d:
                 at = np.searchsorted(tree[d - 1].keys, level.keys >> 16 << 8 | level.keys & 255)
                 k, r = k[at], r[at]
             k, r = level.mixed(k, r, level is tree[-1])
-        nodes, ones = decision(strings, decided)
-        p = k[np.searchsorted(tree[-1].keys, nodes)]
+        nodes_, ones = decision(strings, decided)
+        p = k[np.searchsorted(tree[-1].keys, nodes_)]
         out += np.log10(np.where(ones == 1, p, 1 - p))
     return out
 
 
+def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(top, string, n) and (top, node, known, rest) rows, sorted by top -> string, value: its log10 probability."""
+    for table in whole_groups(batches):
+        of_string = table.column("string").is_valid()
+        own, tops = table.filter(of_string), table.filter(pa.compute.invert(of_string)).sort_by("node")
+        s, n = own.column("string").to_numpy(), own.column("n").to_numpy()
+        values = log_probabilities(s, n, *(tops.column(x).to_numpy() for x in ("node", "known", "rest")))
+        yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(values)], ["string", "value"])
+
+
+def string_values(strings: DataFrame) -> DataFrame:
+    """(string, n) -> string, value. Subtrees below TOP preceding bytes are weighted on their own; what lies above is summed
+    up level by level, and only the nodes of one preceding byte and none (256 * 255) pass through the driver."""
+    spark = strings.sparkSession
+    top = F.shiftright("string", SYMBOL + 8 - 8 * TOP)
+    own = strings.select(top.alias("top"), "string", "n")
+    level = save(own.repartition("top").sortWithinPartitions("top").mapInArrow(summaries, "node bigint, n0 double, n1 double, lw double"), "nodes")
+    two = save(summed(level).mapInArrow(weighted, "node bigint, n0 double, n1 double, below double, lw double"), "nodes")
+    tops = summed(two).orderBy("node").collect()
+    sent = spark.sparkContext.broadcast(top_levels(tops) if tops else None)
+
+    def mix(batches):
+        for batch in batches:
+            known, rest = sent.value
+            own = level_of(batch)
+            k, r = own.mixed(known[own.keys >> 16, own.keys & 255], rest[own.keys >> 16, own.keys & 255])
+            yield pa.RecordBatch.from_arrays([pa.array(own.keys), pa.array(k), pa.array(r)], ["above", "known", "rest"])
+
+    mixed = two.select("node", "n0", "n1", "below").mapInArrow(mix, "above bigint, known double, rest double")
+    nodes = level.select("node", shorter("node").alias("above")).join(mixed, "above").select(F.shiftright("node", 8).alias("top"), "node", "known", "rest")
+    both = own.unionByName(nodes, allowMissingColumns=True).select("top", "string", "n", "node", "known", "rest")
+    return both.repartition("top").sortWithinPartitions("top").mapInArrow(weigh, "string bigint, value double")
+
+
 # ---------------------------------------------------------------- scores
 
 
@@ -333,16 +410,8 @@ def score(documents: DataFrame, held_out: int = 1) -> DataFrame:
     counts = made.where("packed IS NULL")
 
     strings = save(counts.where("string IS NOT NULL").groupBy("string").agg(F.sum("n").alias("n")), "strings")
-    paired = strings.groupBy(F.shiftright("string", SYMBOL - 8).alias("pair"))
-    tops = paired.applyInArrow(pair_summary, "node bigint, n0 double, n1 double, lw double").groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("lw")).orderBy("node").collect()
-    sent = documents.sparkSession.sparkContext.broadcast(top_levels(tops) if tops else None)
-
-    def weigh(table: pa.Table) -> pa.Table:
-        s, n = table.column("string").to_numpy(), table.column("n").to_numpy()
-        return pa.table({"string": s, "value": log_probabilities(s, n, *sent.value)})
-
     often = strings.orderBy(F.desc("n"), "string").limit(COMMON_STRINGS).select("string")
-    values = save(paired.applyInArrow(weigh, "string bigint, value double"), "values")
+    values = save(string_values(strings), "values")
     words = save(counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     log_base = F.log10((F.col("c") + 0.5) / F.lit(total[0] + 0.5 * (total[1] + 1)))
