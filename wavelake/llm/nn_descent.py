@@ -2,20 +2,21 @@
 
 Equal vectors are one node of the graph. The first graph comes from brute force within buckets of random hyperplane
 codes. Each round then joins, for every node, its neighbours with all its reverse neighbours (these in chunks, each with
-the whole list of neighbours, so that a hub's long list is never one group's work): any two of them that are nearer to
+the whole list of neighbours, so that a hub's long list is never one group's work; dealt anew in each round): any two of them that are nearer to
 each other than a present neighbour replace it. The graph holds every row; rounds end when the mean similarity of
 neighbours rises by less than GAIN.
 
 A query walks the undirected graph: from its own node and a few entry nodes, the best unexpanded candidates are expanded
 again and again until all of its pool are expanded. Scores are cosines of the original vectors in double precision.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Fewer
-candidates than k: all of them. Ties go to the smaller id.
+Vectors that are null, zero, or hold null or non-finite components take no part; shorter ones count as if zeros followed.
+Fewer candidates than k: all of them. Ties go to the smaller id. Null ids take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,12 @@ def best_of(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>), norm, k1, k2 (a 128-bit key of the vector)."""
+    """vec_id, v (array<double>), norm."""
     plain = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     kept = plain.where("vec_id IS NOT NULL AND v IS NOT NULL").where(finite).withColumn("norm", norm).where("norm > 0")
-    return kept.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(1), "v"))
+    return kept
 
 
 def half(v: list) -> bytes:
@@ -91,13 +92,14 @@ def trimmed(links: DataFrame) -> DataFrame:
     return best_of(once, "id", [F.desc("sim"), "nb"], NEIGHBOURS)
 
 
-def local_join(graph: DataFrame, points: DataFrame, length: int) -> DataFrame:
-    """Pairs of neighbours of a common node that are nearer than one's last neighbour: id, nb, sim."""
+def local_join(graph: DataFrame, points: DataFrame, length: int, turn: int = 0) -> DataFrame:
+    """Pairs of neighbours of a common node that are nearer than one's last neighbour: id, nb, sim. A hub's reverse
+    neighbours are dealt to chunks anew in each turn."""
     last = graph.groupBy("id").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).otherwise(-2.0).cast("float").alias("last"))
     own = points.select("id", "h").join(last, "id")
-    order = Window.partitionBy("nb").orderBy(F.desc("sim"), "id")
-    back = graph.select(F.col("nb").alias("at"), F.col("id").alias("u"), F.floor((F.row_number().over(order) - 1) / CHUNK).cast("int").alias("chunk"))
-    most = back.groupBy("at").agg(F.max("chunk").alias("most"))
+    reverse = graph.select(F.col("nb").alias("at"), F.col("id").alias("u"))
+    most = reverse.groupBy("at").agg(F.floor((F.count("*") - 1) / CHUNK).cast("int").alias("most"))
+    back = reverse.join(most, "at").select("at", "u", F.pmod(F.xxhash64(F.lit(turn), "u", "at"), F.col("most") + 1).cast("int").alias("chunk"))
     chunks = F.explode(F.sequence(F.lit(0), F.coalesce("most", F.lit(0))))
     ahead = graph.select(F.col("id").alias("at"), F.col("nb").alias("u")).join(most, "at", "left").select("at", "u", chunks.alias("chunk"))
     around = ahead.unionByName(back).distinct().join(own, F.col("u") == F.col("id")).select("at", "chunk", "u", "h", "last")
@@ -144,8 +146,8 @@ def build_graph(nodes: DataFrame) -> DataFrame:
     bits = max(1, math.ceil(math.log2(max(2, n / BUCKET))))
     points = save(described(nodes, length, bits), "points")
     graph, before = save(first_graph(points, length, n), "graph"), -2.0
-    while True:  # a round loses no neighbour but for a nearer one, so the mean rises to a bound
-        graph = renewed(graph, trimmed(graph.unionByName(local_join(graph, points, length))), "graph")
+    for turn in count():  # a round loses no neighbour but for a nearer one, so the mean rises to a bound
+        graph = renewed(graph, trimmed(graph.unionByName(local_join(graph, points, length, turn))), "graph")
         now = graph.agg(F.avg("sim")).first()[0]
         if now is None or now - before < GAIN:
             return graph
@@ -186,9 +188,10 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> Dat
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(vec_id, embedding) -> query_id, rank, vec_id, score: each query row's k nearest other rows found."""
-    own = save(valid_vectors(vectors), "vectors")
-    lengths = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    own = own.where(F.size("v") == (lengths.n if lengths else 0))
+    own = valid_vectors(vectors)
+    longest = own.agg(F.max(F.size("v"))).first()[0] or 0
+    padded = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v")))
+    own = save(own.withColumn("v", padded).withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(1), "v")), "vectors")
     nodes = save(own.groupBy("k1", "k2").agg(F.min_by(F.struct("vec_id", "v", "norm"), "vec_id").alias("x")).select(F.col("x.vec_id").alias("id"), "x.v", "x.norm", "k1", "k2"), "nodes")
     members = save(own.select("vec_id", "k1", "k2").join(nodes.select("id", "k1", "k2"), ["k1", "k2"]).select("vec_id", "id"), "members")
     queries = members.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("id").alias("q"))
