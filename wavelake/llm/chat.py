@@ -9,7 +9,10 @@ Template: `<|role|>text<|end|>` and a line feed for each turn. In roles and text
 `<\\|` and `|>` becomes `|\\>`; any backslash and the character after it read back as that character, so it is reversible.
 
 Turns come by (turn, role, text), null turns first; null roles and texts are empty; rows of a null conv_id are one
-conversation. A conversation is the unit of output and is put together in one row.
+conversation. A conversation is the unit of output and is put together in one row. An empty table gives no rows.
+
+Tokens are counted by a rule (TOKEN): up to four letters in a row, a digit, or a symbol. No vocabulary is needed, texts
+without spaces count by their length, and the rule can be replaced by any column of token counts.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 
 #: Tokens of a window, turns and tokens of repeated history, tokens of the template around a turn.
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS, TURN_TOKENS = 1024, 2, 256, 4
+TOKEN = r"\p{L}{1,4}|\p{N}|[^\s\p{L}\p{N}]"
 OPEN, CLOSE, END = "<|", "|>", "<|end|>\n"
 
 
@@ -31,22 +35,28 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def conversation_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, t: the turns in order, each with its tokens (words and the template's) and the tokens up to its end."""
-    plain = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    sized = plain.withColumn("n", F.regexp_count("text", F.lit(r"\S+")).cast("long") + TURN_TOKENS)
+def token_count(text: Column | str) -> Column:
+    return F.regexp_count(text, F.lit(TOKEN)).cast("long")
+
+
+def conversation_turns(conversations: DataFrame, tokens: Column | None = None) -> DataFrame:
+    """conv_id, t: the turns in order, each with its tokens (the text's and the template's) and the tokens up to its end."""
+    text = F.coalesce("text", F.lit(""))
+    own = token_count(text) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))
+    sized = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), (own + TURN_TOKENS).alias("n"))
     up_to = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     summed = sized.withColumn("p", F.sum("n").over(up_to)).withColumn("i", F.count("*").over(up_to))
     turns = F.array_sort(F.collect_list(F.struct("i", "role", "text", "n", "p")))
     return summed.groupBy("conv_id").agg(turns.alias("t"))
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS, tokens: Column | None = None) -> DataFrame:
     """conv_id, window, n_repeated (turns at the window's start that an earlier window has), formatted, mask.
 
-    mask: (start, end) in code points of `formatted`, the assistant texts to be learnt.
+    mask: (start, end) in code points of `formatted`, the assistant texts to be learnt. tokens: a column of the input's
+    that has each turn's token count, instead of the rule's.
     """
-    whole = conversation_turns(conversations).withColumn("s0", F.when(F.expr("t[0].role = 'system'"), 1).otherwise(0)).withColumn("n", F.size("t"))
+    whole = conversation_turns(conversations, tokens).withColumn("s0", F.when(F.expr("t[0].role = 'system'"), 1).otherwise(0)).withColumn("n", F.size("t"))
     room = F.lit(budget) - F.when(F.col("s0") == 1, F.expr("t[0].n")).otherwise(0)
     turn = lambda i: F.get("t", i)
     before = lambda i: turn(i)["p"] - turn(i)["n"]
