@@ -1,19 +1,21 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
 From a bounded, documented sample of labelled training rows (SAMPLE rows, those of least hash), words and word beginnings
-of 4 to 6 letters that toxic texts have far more often make a lexicon. Its entries are dealt to VOTERS voters by rank; a
-few patterns (kinds, number and density of hits) vote too, and texts without a hit get a vote for clean. The generative
+of 4 to 6 letters that toxic texts have far more often make a lexicon. It is dealt to VOTERS voters by its entries' first
+four letters, so that no two voters see the same word: each has its own evidence; a few patterns (kinds, number and density of hits) vote too, and texts without a hit get a vote for clean. The generative
 model estimates by EM how often each voter fires on toxic and on clean texts, and, from the correlations that remain
 given the label, how much of each vote is independent evidence. Its posterior labels train a logistic regression on
 lexicon hits and patterns, which scores every document from its text alone.
 
 Null and empty texts get the score of a text without any hit. Labels that are null are no labels; a doc_id labelled
-twice counts twice. Without labelled rows of both classes every score is the sample's rate, or 0.
+twice counts twice. Without labelled rows of both classes, or where fewer than LEAST_TOXIC toxic texts share any word,
+every score is the sample's rate, or 0. Repeated rows stay rows; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from wavelake.llm.common import bounded, fold_of, texts, with_field
 
 SAMPLE, LEXICON, VOTERS, FOLDS = 20_000, 600, 24, 5
-LEAST_TOXIC, LEAST_ODDS = 5, 3.0
+LEAST_TOXIC, LEAST_ODDS, LABEL_ACCURACY = 5, 3.0, 0.9
 WORD = re.compile(r"[^\W\d_]{3,}")
 PATTERNS = ("any", "two", "four", "dense", "whole_word", "beginning", "none")
 
@@ -79,15 +81,24 @@ def features(text: bytes, number: dict[str, int]) -> tuple[list[int], np.ndarray
     return hits, np.array([n > 0, n > 1, n > 3, n * 50 > len(words), whole, n > 0 and not whole, n == 0], float)
 
 
-def votes_of(hits: list[int], patterns: np.ndarray) -> np.ndarray:
+def voter_of(entry: str) -> int:
+    """All entries that one word can match begin alike, so they belong to one voter, and voters see different words."""
+    return zlib.crc32(entry.rstrip("$")[:4].encode()) % VOTERS
+
+
+def votes_of(hits: list[int], patterns: np.ndarray, voters: np.ndarray) -> np.ndarray:
     votes = np.zeros(VOTERS + len(PATTERNS))
-    votes[[h % VOTERS for h in hits]] = 1
+    votes[voters[hits]] = 1
     votes[VOTERS:] = patterns
     return votes
 
 
-def label_model(votes: np.ndarray, weight: np.ndarray, rate: float, rounds: int = 30) -> tuple[np.ndarray, dict]:
-    """Posterior probability of toxic for each row of votes (0 or 1), and the model: firing rates by class, evidence weights."""
+def label_model(votes: np.ndarray, weight: np.ndarray, rate: float, rounds: int = 30, labels: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+    """Posterior probability of toxic for each row of votes (0 or 1), and the model: firing rates by class, evidence weights.
+
+    Given labels are one more voter, of the fixed accuracy LABEL_ACCURACY: they keep the model's two classes toxic and clean.
+    """
+    said = 0.0 if labels is None else np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)) * (2 * labels - 1)
     toxic = np.clip(votes[:, VOTERS], 0.05, 0.95)  # begins with the vote of any hit
     share = np.ones(votes.shape[1])
     for _ in range(rounds):
@@ -101,7 +112,7 @@ def label_model(votes: np.ndarray, weight: np.ndarray, rate: float, rounds: int
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         correlation = np.abs(cov / scale[:, None] / scale)
         share = 1 / np.maximum(1.0, np.where(correlation > 0.1, correlation, 0).sum(axis=1))
-        odds = np.log(prior / (1 - prior)) + (votes * (np.log(p[1]) - np.log(p[0])) + (1 - votes) * (np.log1p(-p[1]) - np.log1p(-p[0]))) @ share
+        odds = said + np.log(prior / (1 - prior)) + (votes * (np.log(p[1]) - np.log(p[0])) + (1 - votes) * (np.log1p(-p[1]) - np.log1p(-p[0]))) @ share
         toxic = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return toxic, {"prior": prior, "fires": p, "share": share, "correlation": correlation}
 
@@ -123,11 +134,13 @@ def fit(documents: DataFrame, labels: DataFrame, held_out: int = 0, size: int =
     def describe(batches):
         for batch in batches:
             made = [features(t, sent.value) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in made], pa.list_(pa.int32())), pa.array([p.tolist() for _, p in made], pa.list_(pa.float64()))], ["hits", "patterns"])
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in made], pa.list_(pa.int32())), pa.array([p.tolist() for _, p in made], pa.list_(pa.float64())), batch.column("toxic")], ["hits", "patterns", "toxic"])
 
-    rows = sample.mapInArrow(describe, "hits array<int>, patterns array<double>").groupBy("hits", "patterns").count().orderBy("hits", "patterns").collect()  # at most `size`
+    described = sample.mapInArrow(describe, "hits array<int>, patterns array<double>, toxic int")
+    rows = described.groupBy("hits", "patterns", "toxic").count().orderBy("hits", "patterns", "toxic").collect()  # at most `size`
+    voters = np.array([voter_of(e) for e in lexicon])
     patterns, weight = np.array([r["patterns"] for r in rows]), np.array([float(r["count"]) for r in rows])
-    posterior, _ = label_model(np.array([votes_of(r["hits"], p) for r, p in zip(rows, patterns, strict=True)]), weight, rate)
+    posterior, _ = label_model(np.array([votes_of(r["hits"], p, voters) for r, p in zip(rows, patterns, strict=True)]), weight, rate, labels=np.array([float(r["toxic"] > 0) for r in rows]))
     x = np.zeros((len(rows), len(lexicon)), np.float32)
     for i, r in enumerate(rows):
         x[i, r["hits"]] = 1
