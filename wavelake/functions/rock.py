@@ -37,7 +37,7 @@ def moduli_to_thomsen(c11: ColumnLike, c13: ColumnLike, c33: ColumnLike, c44: Co
 
 
 def transverse(c11: ColumnLike, c13: ColumnLike, c33: ColumnLike, c44: ColumnLike, c66: ColumnLike, axis: str = "vti") -> dict[str, Column]:
-    """The moduli of the x-z plane: c11, c13, c33, c55; a horizontal axis swaps 11 with 33 and takes 66 for 55."""
+    """The moduli of the x-z plane: c11, c13, c33, c55; a horizontal axis swaps 11 with 33; 55 is 44 in both."""
     c11, c13, c33, c44, c66 = map(col, (c11, c13, c33, c44, c66))
     if axis.lower() == "vti":
         return {"c11": c11, "c13": c13, "c33": c33, "c55": c44}
@@ -46,6 +46,11 @@ def transverse(c11: ColumnLike, c13: ColumnLike, c33: ColumnLike, c44: ColumnLik
     raise ValueError(f"unknown axis {axis}")
 
 
+def pressure(txx: ColumnLike, tzz: ColumnLike) -> Column:
+    """The pressure of two normal stresses."""
+    return -(col(txx) + col(tzz))
+
+
 def gardner(vp: ColumnLike) -> Column:
     return 310 * F.pow(col(vp), F.lit(0.25))
 

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Cells of a tile along an axis, without its halo.
+TILE = 1024
+
+
 def along(axis: str) -> Window:
     return Window.partitionBy("iz").orderBy("ix") if axis == "x" else Window.partitionBy("ix").orderBy("iz")
 
@@ -80,12 +84,20 @@ def blur_weights(span: int) -> list[float]:
 
 
 def smooth(grid: DataFrame, span: int = 10, v: str = "v") -> DataFrame:
-    """Gaussian smoothing along z, then x; near an edge the weights inside the grid count. Neighbours come by window, no join."""
-    w = blur_weights(span)
-    for axis in ("z", "x"):
-        near = [(c, shifted(v, k, axis)) for k, c in zip(range(-span, span + 1), w, strict=True)]
-        top, bottom = total([c * F.coalesce(x, F.lit(0.0)) for c, x in near]), total([F.when(x.isNotNull(), c).otherwise(0.0) for c, x in near])
-        grid = grid.withColumn(v, top / bottom)
+    """Gaussian smoothing along z, then x; near an edge, or a null, the weights of what is there count.
+
+    A line is cut into tiles of TILE cells with a halo of span cells, so that a task holds a tile and not a line.
+    """
+    weights = F.lit(blur_weights(span))
+    for i, other in (("iz", "ix"), ("ix", "iz")):
+        tile = lambda x: F.floor(x / max(TILE, span))
+        within = F.array_distinct(F.array(tile(F.col(i) - span), tile(F.col(i)), tile(F.col(i) + span)))
+        dealt = grid.withColumn("tile_", F.explode(within))
+        frame = Window.partitionBy(other, "tile_").orderBy(i).rangeBetween(-span, span)
+        near = dealt.withColumn("near_", F.collect_list(F.struct(F.col(i).alias("i"), F.col(v).alias("v"))).over(frame)).where(F.col("tile_") == tile(F.col(i)))
+        weighed = F.transform(F.filter("near_", lambda x: x["v"].isNotNull()), lambda x: F.struct(F.element_at(weights, (x["i"] - F.col(i) + span + 1).cast("int")).alias("w"), x["v"].alias("v")))
+        sums = F.aggregate(weighed, F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom")), lambda s, x: F.struct((s["top"] + x["w"] * x["v"]).alias("top"), (s["bottom"] + x["w"]).alias("bottom")))
+        grid = near.withColumn("sums_", sums).withColumn(v, F.col("sums_.top") / F.nullif(F.col("sums_.bottom"), F.lit(0.0))).drop("tile_", "near_", "sums_")
     return grid
 
 

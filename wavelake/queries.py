@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelake.functions import rock, trace
+from wavelake.functions import rock, spectrum, trace
 from wavelake.operators import generate, grid, metrics, misfit, optimise
 from wavelake.plans import waves
 from wavelake.sources.views import acquisition, grid_cells, pair_rows, samples, survey_summary, table, trace_rows, unmatched
@@ -128,6 +128,14 @@ add("adjoint_travel_time", lambda s, d: misfit.adjoint_travel_time(pair_samples(
     WITH g AS (SELECT shot, rcv, it, coalesce((lead(syn) OVER ({ALONG}) - lag(syn) OVER ({ALONG})) / 2, 0) AS d FROM {PAIRS}),
     n AS (SELECT *, sum(d * d) OVER ({BY_TRACE}) AS power FROM g)
     SELECT n.shot, n.rcv, n.it, d / CASE WHEN power = 0 THEN 1 ELSE power END * lag AS adjoint FROM n JOIN {LAGS} l ON n.rcv = l.rcv""", "shot rcv it", "adjoint")
+# a low-pass is a convolution with its impulse response around the padded trace: 64 + 512 samples, cut at 6 of 100 Hz, order 3
+RESPONSE = "(SELECT d, sum(cos(2 * pi() * m * d / 576) * CASE WHEN m = 288 THEN 0 ELSE 1 / (1 + pow(tan(pi() * m / 576) / tan(pi() * 6 / 100), 6)) END) / 576 AS k FROM range(-63, 64) AS a(d), range(0, 576) AS b(m) GROUP BY d)"
+PASSED = f"(SELECT x.shot, x.rcv, y.it, sum(x.{{v}} * k) AS {{v}} FROM {{rows}} x, (SELECT CAST(i AS BIGINT) AS it FROM range(0, 64) AS t(i)) y, {RESPONSE} r WHERE r.d = y.it - x.it GROUP BY x.shot, x.rcv, y.it)"
+add("trace_low_pass", lambda s, d: samples(spectrum.low_pass(own_traces(s, d), 6, 100), "amp"), PASSED.format(v="amp", rows=TRACES), "shot rcv it", "amp")
+add("misfit_l2_low_pass", lambda s, d: misfit.l2(samples(spectrum.low_pass(own_pairs(s, d), 6, 100, columns=("obs", "syn")), "obs", "syn")), f"""
+    SELECT shot, sum(r) AS misfit FROM (SELECT o.shot, o.rcv, sqrt(sum((obs - syn) * (obs - syn))) AS r FROM {PASSED.format(v="obs", rows=PAIRS)} o
+        JOIN {PASSED.format(v="syn", rows=PAIRS)} s USING (rcv, it) GROUP BY o.shot, o.rcv) GROUP BY shot""", "shot", "misfit")
+add("elastic_pressure", on_pairs(lambda p: p.select("shot", "rcv", "it", rock.pressure("obs", "syn").alias("p"))), f"SELECT shot, rcv, it, -(obs + syn) AS p FROM {PAIRS}", "shot rcv it", "p")
 add("misfit_envelope", on_rows(misfit.envelope))
 add("misfit_phase", on_rows(lambda p: misfit.envelope(p, phase=True)))
 add("misfit_envelope_correlation", lambda s, d: misfit.weighted(misfit.global_correlation(pair_samples(s, d)), misfit.envelope(own_pairs(s, d)), 3, 10))
@@ -289,7 +297,7 @@ add("loss_curve_scaled", lambda s, d: metrics.scaled_curve(table(s, d, "events")
     SELECT user_id AS run, event_id AS iter, (value - min(value) OVER (PARTITION BY user_id)) / nullif(max(value) OVER (PARTITION BY user_id) - min(value) OVER (PARTITION BY user_id), 0) AS loss FROM events""", "run iter", "loss")
 add("history_thinned", lambda s, d: stack(s, d).where("iter % 3 = 0").groupBy("iter", "iz").agg(F.avg("v").alias("v")), f"SELECT iter, iz, avg(v) AS v FROM {BOTH} WHERE iter % 3 = 0 GROUP BY iter, iz", "iter iz", "v")
 add("windowed_event_energy", lambda s, d: windowed_energy(table(s, d, "events").select("ts", F.col("user_id").alias("trace"), "value"), "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "trace", "n", "energy"), """
-    SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, user_id AS trace, count(*) AS n, sum(value * value) AS energy FROM events GROUP BY ALL""", "day trace n", "energy", 3)
+    SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, user_id AS trace, count(*) AS n, sum(value * value) AS energy FROM events GROUP BY ALL""", "day trace n", "energy", 4)
 
 # ---------------------------------------------------------------- generators
 
