@@ -6,8 +6,10 @@ A grid is partitioned by its rows or columns, never gathered whole; scalars come
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,21 +88,34 @@ def blur_weights(span: int) -> list[float]:
 def smooth(grid: DataFrame, span: int = 10, v: str = "v") -> DataFrame:
     """Gaussian smoothing along z, then x; near an edge, or a null, the weights of what is there count.
 
-    A line is cut into tiles of TILE cells with a halo of span cells, so that a task holds a tile and not a line.
+    A line is cut into tiles of TILE cells with a halo of span cells, so that a task holds a tile and not a line; a tile is
+    one convolution.
     """
-    weights = F.lit(blur_weights(span))
-    for i, other in (("iz", "ix"), ("ix", "iz")):
-        tile = lambda x: F.floor(x / max(TILE, span))
-        within = F.array_distinct(F.array(tile(F.col(i) - span), tile(F.col(i)), tile(F.col(i) + span)))
-        dealt = grid.withColumn("tile_", F.explode(within))
-        frame = Window.partitionBy(other, "tile_").orderBy(i).rangeBetween(-span, span)
-        near = dealt.withColumn("near_", F.collect_list(F.struct(F.col(i).alias("i"), F.col(v).alias("v"))).over(frame)).where(F.col("tile_") == tile(F.col(i)))
-        weighed = F.transform(F.filter("near_", lambda x: x["v"].isNotNull()), lambda x: F.struct(F.element_at(weights, (x["i"] - F.col(i) + span + 1).cast("int")).alias("w"), x["v"].alias("v")))
-        sums = F.aggregate(weighed, F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom")), lambda s, x: F.struct((s["top"] + x["w"] * x["v"]).alias("top"), (s["bottom"] + x["w"]).alias("bottom")))
-        grid = near.withColumn("sums_", sums).withColumn(v, F.col("sums_.top") / F.nullif(F.col("sums_.bottom"), F.lit(0.0))).drop("tile_", "near_", "sums_")
+    for axis, other in (("iz", "ix"), ("ix", "iz")):
+        size = max(TILE, span)
+        tile = lambda x: F.floor(x / size)
+        wide = grid.withColumn(v, F.col(v).cast("double"))
+        dealt = wide.withColumn("tile_", F.explode(F.array_distinct(F.array(tile(F.col(axis) - span), tile(F.col(axis)), tile(F.col(axis) + span)))))
+        grid = dealt.groupBy(other, "tile_").applyInArrow(blur(axis, v, span, size), wide.schema)
     return grid
 
 
+def blur(axis: str, v: str, span: int, size: int) -> Callable[[pa.Table], pa.Table]:
+    """What smooths a tile of size cells with its halo, and gives back its own cells."""
+    weights = np.array(blur_weights(span))
+
+    def run(table: pa.Table) -> pa.Table:
+        at, value = table.column(axis).to_numpy(), table.column(v).to_numpy(zero_copy_only=False).astype(float)
+        place, there = at - at.min(), ~np.isnan(value)
+        line, has = np.bincount(place, np.where(there, value, 0.0)), np.bincount(place, there.astype(float))
+        top, bottom = (np.convolve(x, weights)[span : span + len(x)][place] for x in (line, has))
+        made = pa.array(top / np.where(bottom > 0, bottom, 1.0), mask=bottom <= 0)
+        own = pa.array(at // size == table.column("tile_").to_numpy())
+        return table.set_column(table.column_names.index(v), v, made).filter(own).drop_columns("tile_")
+
+    return run
+
+
 def gaussian_filter(grid: DataFrame, sigma: float, nz: int, nx: int, v: str = "v") -> DataFrame:
     """Gaussian smoothing with the grid mirrored beyond its edges, to four deviations."""
     radius = int(4 * sigma + 0.5)
