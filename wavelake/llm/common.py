@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch that carries whole texts.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch that carries whole texts.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,14 +78,16 @@ def sql_lower(text: str) -> str:
 
 
 def bounded(operator: Callable) -> Callable:
-    """For operators that hand whole texts to Python: the session's Arrow batches become BATCH_ROWS rows at most, so that a
-    batch of long texts fits in a worker."""
+    """For operators that hand whole texts to Python: the session's Arrow batches become BATCH_ROWS rows and BATCH_BYTES
+    bytes at most, so that a batch of long texts fits in a worker."""
 
     @wraps(operator)
     def run(df: DataFrame, *args, **named):
-        conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if int(conf.get(key)) > BATCH_ROWS:
-            conf.set(key, str(BATCH_ROWS))
+        conf, rows, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+        if int(conf.get(rows)) > BATCH_ROWS:
+            conf.set(rows, str(BATCH_ROWS))
+        if not (set_ := conf.get(size)).removesuffix("b").isdigit() or int(set_.removesuffix("b")) > BATCH_BYTES:
+            conf.set(size, str(BATCH_BYTES))
         return operator(df, *args, **named)
 
     return run

@@ -32,8 +32,10 @@ from wavelake.llm.components import connected_components
 from wavelake.llm.prints import fingerprints_of, shingle_hashes
 
 #: Bytes of text in a run, keys in a range of keys, disjoint reference sets (by a shingle's lowest bits).
-RUN_BYTES, RANGE_KEYS, REFERENCES = 16 << 20, 2 << 20, 64
-RUN = pa.schema([("run", pa.int64()), ("texts", pa.binary()), ("n", pa.int64())])
+RUN_BYTES, RANGE_KEYS, REFERENCES = 6 << 20, 1 << 20, 64
+RUN = pa.schema([("run", pa.int64()), ("texts", pa.binary()), ("shas", pa.list_(pa.string())), ("n", pa.int64())])
+#: Up to this many texts with a shingle, each number has a class of its own.
+EXACT = 11
 TEXTS = pa.schema([("sha", pa.string()), ("words", pa.binary())])
 CANDIDATE = pa.schema([("sha", pa.string()), ("f0", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("common", pa.float32()), ("prefix", pa.list_(pa.int64())), ("table", pa.list_(pa.int32())), ("hashes", pa.binary())])
 
@@ -47,7 +49,7 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
 
 @bounded
 def packed_runs(documents: DataFrame) -> DataFrame:
-    """(text) -> run, texts (packed, each word sequence of the run once, with its digest), n (their words)."""
+    """(text) -> run, texts (packed, each word sequence of the run once, with its digest), shas (the digests), n (words)."""
 
     def pack(batches):
         seen: dict[str, bytes] = {}
@@ -69,9 +71,9 @@ def packed_runs(documents: DataFrame) -> DataFrame:
         out = io.BytesIO()
         with pa.ipc.new_stream(out, TEXTS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as sink:
             sink.write_batch(pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.binary())], schema=TEXTS))
-        return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(62)]), pa.array([out.getvalue()]), pa.array([sum(x.count(b" ") + 1 for x in seen.values())])], schema=RUN)
+        return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(62)]), pa.array([out.getvalue()]), pa.array([list(seen)], pa.list_(pa.string())), pa.array([sum(x.count(b" ") + 1 for x in seen.values())])], schema=RUN)
 
-    return documents.select("text").mapInArrow(pack, "run bigint, texts binary, n bigint")
+    return documents.select("text").mapInArrow(pack, "run bigint, texts binary, shas array<string>, n bigint")
 
 
 def unpacked(packed: bytes, size: int) -> tuple[list[str], list[np.ndarray]]:
@@ -114,7 +116,7 @@ def frequency_classes(runs: DataFrame, size: int, bits: int, ranges: int) -> Dat
         keys = np.concatenate([expanded(k, n) for k, n in zip(table.column("keys").to_pylist(), sizes, strict=True)])
         counts = np.concatenate([np.frombuffer(pa.decompress(c, n, "zstd", asbytes=True), np.uint8) for c, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
         _, at = np.unique(keys, return_inverse=True)
-        classes = np.minimum(255, np.ceil(8 * np.log2(np.bincount(at, counts))))[at].astype(np.uint8)
+        classes = class_of(np.bincount(at, counts))[at]
         zipped = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in np.split(classes, np.cumsum(sizes)[:-1])]
         return pa.table({"run": table.column("run"), "part": table.column("part"), "n": table.column("n"), "classes": pa.array(zipped)})
 
@@ -122,6 +124,18 @@ def frequency_classes(runs: DataFrame, size: int, bits: int, ranges: int) -> Dat
     return sent.groupBy("part").applyInArrow(count, "run bigint, part int, n bigint, classes binary")
 
 
+def copies(runs: DataFrame) -> DataFrame:
+    """run, copies (sha, m, first) of its texts that m runs have, m > 1; first: whether this is the first of them."""
+    held = runs.select("run", F.explode("shas").alias("sha"))
+    often = held.groupBy("sha").agg(F.count("*").cast("int").alias("m"), F.min("run").alias("least")).where("m > 1")
+    own = held.join(often, "sha").select("run", F.struct("sha", "m", (F.col("run") == F.col("least")).alias("first")).alias("c"))
+    return own.groupBy("run").agg(F.collect_list("c").alias("copies"))
+
+
+def class_of(count: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.ceil(8 * np.log2(count))).astype(np.uint8)
+
+
 def least_shared(n: int, similarity: float) -> int:
     """How many shingles a set of n must share with a set of that similarity."""
     return math.ceil(similarity * n - 1e-9)
@@ -130,13 +144,15 @@ def least_shared(n: int, similarity: float) -> int:
 def candidates(documents: DataFrame, size: int, similarity: float) -> DataFrame:
     """(text) -> the sets that may have a similar one: sha, f0 (SimHash of the set), n, own (shingles that no other text
     has), common (the mean class of its shingles), prefix (the rarest of the others, as many as a similar set must meet one of), table (distances to the reference
-    sets: shingles by class), hashes. A text may come several times, once for each run that has it."""
+    sets: shingles by class), hashes. Each text comes once."""
     runs = save(packed_runs(documents), "runs")
     total = max(1, runs.agg(F.sum("n")).first()[0] or 0)
     bits, ranges = min(60, max(16, total.bit_length() + 8)), -(-total // RANGE_KEYS)  # a key stands for two shingles in 256 at most
-    classes = frequency_classes(runs, size, bits, ranges)
+    classes = frequency_classes(runs, size, bits, ranges).unionByName(copies(runs), allowMissingColumns=True)
 
     def pick(own: pa.Table, replies: pa.Table) -> pa.Table:
+        repeated = {c["sha"]: c for x in replies.column("copies").to_pylist() for c in x or ()}
+        replies = replies.filter(replies.column("part").is_valid())
         order = np.argsort(replies.column("part").to_numpy())
         parts = zip(replies.column("classes").to_pylist(), replies.column("n").to_pylist(), strict=True)
         kinds = [np.frombuffer(pa.decompress(c, n, "zstd", asbytes=True), np.uint8) for c, n in parts]
@@ -146,7 +162,11 @@ def candidates(documents: DataFrame, size: int, similarity: float) -> DataFrame:
         rows = []
         for sha, x in zip(shas, sets, strict=True):
             kind = kinds[np.searchsorted(keys, x >> np.uint64(64 - bits))]
-            alone, most = int(np.count_nonzero(kind == 0)), len(x) - least_shared(len(x), similarity)
+            # a text that m runs have was counted m times: what is counted just as often is its own
+            m, first = (repeated[sha]["m"], repeated[sha]["first"]) if sha in repeated else (1, True)
+            if not first:
+                continue
+            alone, most = int(np.count_nonzero(kind == class_of(np.array([m])))) if m <= EXACT else 0, len(x) - least_shared(len(x), similarity)
             if alone <= most:
                 rarest = x[np.lexsort((x, kind))][alone : most + 1]
                 rows.append((sha, len(x), alone, kind.mean(), rarest.view(np.int64), np.bincount((x & np.uint64(REFERENCES - 1)).astype(np.int64), minlength=REFERENCES), x))

@@ -132,8 +132,7 @@ def near_duplicate_groups(documents: DataFrame, size: int = 5, similarity: float
         named = save(first.join(main, "doc_id").select("doc_id", "sha", node.alias("node")), "named")
         with scratch(documents.sparkSession):
             found = save(candidates(own, size, similarity), "candidates", outlive=True)
-        whole = F.struct("f0", "n", "own", "common", "prefix", "table", "hashes")
-        sets = save(found.join(named.select("sha", "node"), "sha").groupBy("node").agg(F.first(whole).alias("x")).select("node", "x.*"), "sets")
+        sets = save(found.join(named.select("sha", "node"), "sha").drop("sha"), "sets")
         parts = similar_components(sets, print_pairs(sets), similarity)
         placed = save(named.join(parts, named.node == parts.node_, "left").select("sha", "doc_id", F.coalesce("component", "node").alias("part")), "placed")
         least = placed.groupBy("part").agg(F.min("doc_id").alias("component_id"))
