@@ -35,7 +35,7 @@ from wavelake.llm.components import connected_components
 from wavelake.llm.prints import fingerprints_of, runs, shingle_hashes
 from wavelake.llm.set_join import candidates, similar_components
 
-RADIUS, PIVOTS, BIT_GROUPS = 2, 16, 5
+RADIUS, PIVOTS, BIT_GROUPS, SLOTS = 2, 16, 5, 1 << 20
 _draw = random.Random(64)
 REFERENCES = [_draw.getrandbits(64) for _ in range(PIVOTS)]
 
@@ -156,7 +156,12 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     with scratch(spark):
         dropped, repeated = unwanted(near_duplicate_groups(documents))
     packed = documents.select(F.struct(*documents.columns).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), word_digest(F.coalesce("text", F.lit(""))).alias("sha"))
-    out = packed.join(dropped, ["doc_id", "sha"], "left_anti").select("kept")
+    # at most SLOTS numbers go to all tasks; only rows whose number is among them have to meet the table of what goes
+    slot = F.pmod(F.xxhash64("doc_id", "sha"), F.lit(SLOTS)).alias("slot")
+    hit = dropped.select(slot).distinct().withColumn("hit", F.lit(True))
+    marked = packed.select("*", slot).join(F.broadcast(hit), "slot", "left")
+    met_ = marked.where("hit").join(dropped, ["doc_id", "sha"], "left_anti")
+    out = marked.where("hit IS NULL").select("kept").unionByName(met_.select("kept"))
     if not repeated.isEmpty():
         out = out.unionByName(packed.join(repeated, ["doc_id", "sha"], "left_semi").dropDuplicates(["doc_id", "sha"]).select("kept"))
     return out.select("kept.*")
