@@ -155,15 +155,17 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     with scratch(spark):
         dropped, repeated = unwanted(near_duplicate_groups(documents))
-    packed = documents.select(F.struct(*documents.columns).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), word_digest(F.coalesce("text", F.lit(""))).alias("sha"))
-    # at most SLOTS numbers go to all tasks; only rows whose number is among them have to meet the table of what goes
-    slot = F.pmod(F.xxhash64("doc_id", "sha"), F.lit(SLOTS)).alias("slot")
+    packed = documents.select(F.struct(*documents.columns).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"))
+    # at most SLOTS numbers go to all tasks; only rows whose id's number is among them are digested and meet the table of what goes
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
     hit = dropped.select(slot).distinct().withColumn("hit", F.lit(True))
     marked = packed.select("*", slot).join(F.broadcast(hit), "slot", "left")
-    met_ = marked.where("hit").join(dropped, ["doc_id", "sha"], "left_anti")
+    digested = marked.where("hit").select("kept", "doc_id", word_digest(F.coalesce("kept.text", F.lit(""))).alias("sha"))
+    # an anti join would be moved below the join with hit, and every text would be shuffled for it
+    met_ = digested.join(dropped.withColumn("gone", F.lit(True)), ["doc_id", "sha"], "left").where("gone IS NULL")
     out = marked.where("hit IS NULL").select("kept").unionByName(met_.select("kept"))
     if not repeated.isEmpty():
-        out = out.unionByName(packed.join(repeated, ["doc_id", "sha"], "left_semi").dropDuplicates(["doc_id", "sha"]).select("kept"))
+        out = out.unionByName(digested.join(repeated, ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"]).select("kept"))
     return out.select("kept.*")
 
 
