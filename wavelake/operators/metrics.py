@@ -26,7 +26,7 @@ def ssim(both: DataFrame) -> DataFrame:
     span = both.groupBy("iter").agg((F.greatest(F.max("t"), F.max("v")) - F.least(F.min("t"), F.min("v"))).alias("range"), F.max("iz").alias("z1"), F.max("ix").alias("x1"))
     products = {"t": F.col("t"), "v": F.col("v"), "tt": F.col("t") * F.col("t"), "vv": F.col("v") * F.col("v"), "tv": F.col("t") * F.col("v")}
     down = both.select("iter", "iz", "ix", *(F.sum(c).over(z).alias(n) for n, c in products.items()))
-    box = down.select("iter", "iz", "ix", *((F.sum(n).over(x) / 9).alias(n) for n in products)).join(F.broadcast(span), "iter")
+    box = down.select("iter", "iz", "ix", *((F.sum(n).over(x) / 9).alias(n) for n in products)).join(span, "iter")
     inner = box.where("iz > 0 AND ix > 0 AND iz < z1 AND ix < x1")
     t, v = F.col("t"), F.col("v")
     cov = lambda c, a, b: 9 / 8 * (F.col(c) - a * b)
