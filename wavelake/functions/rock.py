@@ -46,6 +46,22 @@ def transverse(c11: ColumnLike, c13: ColumnLike, c33: ColumnLike, c44: ColumnLik
     raise ValueError(f"unknown axis {axis}")
 
 
+#: The upper half of the stiffness matrix, row by row.
+STIFFNESS = tuple(f"c{i}{j}" for i in range(1, 7) for j in range(i, 7))
+
+
+def isotropic_stiffness(c11: ColumnLike, c13: ColumnLike, c33: ColumnLike, c44: ColumnLike, c66: ColumnLike) -> dict[str, Column]:
+    """All 21 moduli of an isotropic medium; those not named here are 0."""
+    c11, c13, c33, c44, c66 = map(col, (c11, c13, c33, c44, c66))
+    known = {"c11": c11, "c12": c11 - 2 * c66, "c13": c13, "c22": c11, "c23": c13, "c33": c33, "c44": c44, "c55": c44, "c66": c66}
+    return {name: known.get(name, F.lit(0.0)) for name in STIFFNESS}
+
+
+def slowness_to_velocity(m: ColumnLike) -> Column:
+    """Squared slowness (s2/km2) -> velocity (m/s); null where it isn't positive."""
+    return F.when(col(m) > 0, F.sqrt(1 / col(m)) * 1000)
+
+
 def pressure(txx: ColumnLike, tzz: ColumnLike) -> Column:
     """The pressure of two normal stresses."""
     return -(col(txx) + col(tzz))

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake.functions import rock, spectrum, trace
-from wavelake.operators import generate, grid, metrics, misfit, optimise
+from wavelake.operators import generate, grid, metrics, misfit, model, optimise
 from wavelake.plans import waves
-from wavelake.sources.views import acquisition, grid_cells, pair_rows, samples, survey_summary, table, trace_rows, unmatched
+from wavelake.sources.views import acquisition, grid_cells, moment_tensors, pair_rows, samples, source_wavelets, survey_summary, table, trace_rows, unmatched
 from wavelake.streaming.shots import windowed_energy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -309,6 +309,35 @@ add("wavelet_ramp", lambda s, d: generate.wavelet(s, 400, 0.003, 6.0, 2.0, 0.5,
 FRAME = "(SELECT CAST(z AS BIGINT) AS iz, CAST(x AS BIGINT) AS ix, greatest(0, 10 - x, x - 69) AS dx, greatest(0, {top}, z - {far}) AS dz FROM range({h}) AS a(z), range(80) AS b(x))"
 OPEN_FRAME, FREE_FRAME = FRAME.format(top="10 - z", far=49, h=60), FRAME.format(top=0, far=39, h=50)
 KAPPA = "(-3 * 4000 * ln(1e-6) / (2 * 9 * 40.0))"
+FILLED = {"c11": "c11", "c12": "c11 - 2 * c66", "c13": "c13", "c22": "c11", "c23": "c13", "c33": "c33", "c44": "c44", "c55": "c44", "c66": "c66"}
+add("rock_isotropic_stiffness", on_rocks(lambda: scaled(rock.isotropic_stiffness(*rock.thomsen_to_moduli(*THOMSEN).values()))), f"SELECT iz, ix, {', '.join(f'({FILLED.get(c, 0.0)}) / 1e9 AS {c}' for c in rock.STIFFNESS)} FROM {MODULI}", "iz ix", " ".join(rock.STIFFNESS))
+add("rock_slowness_to_velocity", on_cells(lambda c: c.select("iz", "ix", rock.slowness_to_velocity(0.05 + F.col("v") * F.col("v")).alias("vp"))), f"SELECT iz, ix, sqrt(1 / (0.05 + v * v)) * 1000 AS vp FROM {CELLS}", "iz ix", "vp")
+LIMITS = {"vp": (1600.0, 1900.0), "vs": (850.0, 1000.0), "rho": (1990.0, 2010.0)}
+
+
+def refresh_sql(vp: str, eps: str, delta: str) -> str:
+    hold = lambda c, v: f"least(greatest({v}, {LIMITS[c][0]}), {LIMITS[c][1]}) AS {c}"
+    return f"""
+        WITH r AS (SELECT iz, ix, {hold("vp", vp)}, {hold("vs", "vs")}, {hold("rho", "310 * pow(vp, 0.25)")}, {eps} AS eps, {delta} AS delta FROM {ROCK}),
+        m AS (SELECT *, rho * vp * vp AS c33, rho * vs * vs AS c55 FROM r)
+        SELECT iz, ix, vp, vs, rho, c55 / 1e9 AS mu, (c33 - 2 * c55) / 1e9 AS lam, c33 * (1 + 2 * eps) / 1e9 AS c11,
+               (sqrt(2 * c33 * (c33 - c55) * delta + pow(c33 - c55, 2)) - c55) / 1e9 AS c13, c33 / 1e9 AS c33, c55 / 1e9 AS c55 FROM m"""
+
+
+def refresh(spark: SparkSession, d: str, **how) -> DataFrame:
+    made = model.refreshed(rocks(spark, d), LIMITS, **how)
+    return made.select("iz", "ix", "vp", "vs", "rho", *((F.col(c) / 1e9).alias(c) for c in ("mu", "lam", "c11", "c13", "c33", "c55")))
+
+
+add("model_refreshed_isotropic", lambda s, d: refresh(s, d, vp_from_vs=True), refresh_sql("sqrt(3) * vs", "0.0", "0.0"), "iz ix", "vp vs rho mu lam c11 c13 c33 c55")
+add("model_refreshed_vti", lambda s, d: refresh(s, d, axis="vti"), refresh_sql("vp", "eps", "delta"), "iz ix", "vp vs rho mu lam c11 c13 c33 c55")
+add("model_cropped", on_cells(lambda c: model.cropped(c, (8, 50), (20, 90), 2)), f"SELECT (iz - 8) // 2 AS iz, (ix - 20) // 2 AS ix, v FROM {CELLS} WHERE iz >= 8 AND iz < 50 AND ix >= 20 AND ix < 90 AND iz % 2 = 0 AND ix % 2 = 0", "iz ix", "v")
+add("model_resampled", lambda s, d: model.resampled(own_cells(s, d), ["v"], (0.75, 1.5), (85, 1 << 40)), f"""
+    SELECT k AS iz, j AS ix, sum(w * v) AS v FROM (
+        SELECT k, j, CAST(floor(k * 0.75) + a AS BIGINT) AS iz, CAST(floor(j * 1.5) + b AS BIGINT) AS ix, (1 - abs(a - k * 0.75 + floor(k * 0.75))) * (1 - abs(b - j * 1.5 + floor(j * 1.5))) AS w
+        FROM range(85) AS p(k), (SELECT unnest(range(1 + CAST(floor(max(vec_id) / 1.5) AS BIGINT))) AS j FROM embeddings), range(2) AS r(a), range(2) AS q(b)) JOIN {CELLS} USING (iz, ix)
+    WHERE w > 0 GROUP BY k, j HAVING sum(w) > 1 - 1e-9""", "iz ix", "v")
+add("model_gradient_or_zero", on_cells(lambda c: model.gradient_or_zero(c, c.where("v > 0").withColumnRenamed("v", "grad"))), f"SELECT iz, ix, greatest(v, 0) AS grad FROM {CELLS}", "iz ix", "grad")
 for free_, frame_ in ((True, FREE_FRAME), (False, OPEN_FRAME)):
     end_ = "_free_surface" if free_ else ""
     add(f"boundary_pml{end_}", lambda s, d, f=free_: generate.pml_damping(s, 40, 60, 40.0, 10, 4000.0, f), f"SELECT iz, ix, {KAPPA} * pow(greatest(greatest(dx, dz) - 1, 0) / 9.0, 2) AS damp FROM {frame_}", "iz ix", "damp")
@@ -318,12 +347,20 @@ for free_, frame_ in ((True, FREE_FRAME), (False, OPEN_FRAME)):
     add(f"boundary_sine{end_}", lambda s, d, f=free_: generate.sine_taper(s, 40, 60, 10, f), f"SELECT CAST(z AS BIGINT) AS iz, CAST(x AS BIGINT) AS ix, {' * '.join(f'CASE WHEN {i} < 10 THEN pow(sin(pi() / 2 * ({i}) / 10), 2) ELSE 1 END' for i in sides_)} AS damp FROM range({50 if free_ else 60}) AS a(z), range(80) AS b(x)", "iz ix", "damp")
 DEPTHS = [float(i) for i in range(61)]
 KNOTS = """(SELECT y0 AS y, y0 FROM (SELECT CAST(i AS DOUBLE) * 5 AS y0 FROM range(13) AS r(i)) UNION ALL SELECT y0 + 4 AS y, y0 FROM (SELECT CAST(i AS DOUBLE) * 5 AS y0 FROM range(13) AS r(i)))"""
-LAYERED = f"""
-    WITH k AS (SELECT y, CASE WHEN y = 64 THEN 60 ELSE y0 END AS y0 FROM {KNOTS}), s AS (SELECT y, y0, lead(y) OVER (ORDER BY y) AS y1, lead(y0) OVER (ORDER BY y) AS n0 FROM k),
+
+def layered_sql(step: int, gap: int) -> str:
+    """The staircase with a knot each step and one gap below it, linear between knots."""
+    upper = f"SELECT CAST(i AS DOUBLE) * {step} AS y0 FROM range({60 // step + 1}) AS r(i)"
+    return f"""
+    WITH k AS (SELECT y, CASE WHEN y = {60 + gap} THEN 60 ELSE y0 END AS y0 FROM (SELECT y0 AS y, y0 FROM ({upper}) UNION ALL SELECT y0 + {gap} AS y, y0 FROM ({upper}))), s AS (SELECT y, y0, lead(y) OVER (ORDER BY y) AS y1, lead(y0) OVER (ORDER BY y) AS n0 FROM k),
     h AS (SELECT i AS iz, y0 + (n0 - y0) * (i - y) / (y1 - y) AS e FROM range(61) AS r(i) JOIN s ON i >= y AND i < y1)
     SELECT CAST(iz AS BIGINT) AS iz, CAST(x AS BIGINT) AS ix, e / 60 * 1.5 + 3 AS vp, e / 60 * 1.02 + 2.46 AS vs, e / 60 * 0.6 + 2.72 AS rho FROM h, range(40) AS c(x)"""
+
+
+LAYERED = layered_sql(5, 4)
 layers = lambda s: generate.layered(s, DEPTHS, 40, 5.0)
 add("model_layered", lambda s, d: layers(s), LAYERED, "iz ix", "vp vs rho")
+add("model_layered_anomaly", lambda s, d: generate.layered(s, DEPTHS, 40, 4.0, True), layered_sql(4, 3), "iz ix", "vp vs rho")
 add("model_profile", lambda s, d: generate.profile(s, 60.0, 5.0), f"SELECT y, y0 / 60 * 1.5 + 3 AS vp, y0 / 60 * 1.02 + 2.46 AS vs, y0 / 60 * 0.6 + 2.72 AS rho FROM (SELECT y, CASE WHEN y = 64 THEN 60 ELSE y0 END AS y0 FROM {KNOTS})", "", "y vp vs rho")
 INSIDE = "(pow((ix - {cx}) / (39.0 / 6), 2) + pow((iz - {cz}) / 6.0, 2) < 1)"
 ONE, TWO = INSIDE.format(cx="39 * 2.0 / 3", cz="20"), INSIDE.format(cx="13", cz="40")
@@ -336,6 +373,10 @@ SHOTS = "(SELECT CAST(i AS BIGINT) AS shot, CAST(i * 5 + 2 AS BIGINT) AS sx, CAS
 geometry = lambda s: s.range(40).select(F.col("id").alias("shot"), (F.col("id") * 5 + 2).alias("sx"), F.lit(1).cast("long").alias("sz"), F.lit("mt").alias("type"))
 add("survey_geometry", lambda s, d: acquisition(geometry(s), s.range(200).select(F.col("id").alias("rcv"), F.col("id").alias("rx"), F.lit(1).cast("long").alias("rz"))), f"SELECT shot, sx, sz, 'mt' AS type, CAST(j AS BIGINT) AS rcv, CAST(j AS BIGINT) AS rx, CAST(1 AS BIGINT) AS rz, CAST(abs(j - sx) AS BIGINT) AS \"offset\" FROM {SHOTS}, range(200) AS c(j)", 'shot sx sz type rcv rx rz "offset"')
 add("survey_summary", lambda s, d: survey_summary(geometry(s)), f"SELECT count(*) AS n, min(sx) AS x_min, max(sx) AS x_max, min(sz) AS z_min, max(sz) AS z_max, 'mt' AS types FROM {SHOTS}", "n x_min x_max z_min z_max types")
+RECEIVERS = "(SELECT vec_id AS rcv, 2 * vec_id + 3 AS rx, CAST(label % 4 AS BIGINT) AS rz, CASE WHEN label % 2 = 0 THEN 'pr' ELSE 'vz' END AS type FROM embeddings)"
+add("survey_receivers_summary", lambda s, d: survey_summary(own_traces(s, d).select((2 * F.col("rcv") + 3).alias("rx"), (F.col("shot") % 4).alias("rz"), F.when(F.col("shot") % 2 == 0, "pr").otherwise("vz").alias("type")), "rx", "rz"), f"SELECT count(*) AS n, min(rx) AS x_min, max(rx) AS x_max, min(rz) AS z_min, max(rz) AS z_max, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM {RECEIVERS}", "n x_min x_max z_min z_max types")
+add("survey_wavelets", lambda s, d: source_wavelets(own_traces(s, d).select(F.col("rcv").alias("shot"), F.col("amp").alias("wavelet"))), f"SELECT rcv AS shot, it, amp FROM {TRACES}", "shot it", "amp")
+add("survey_moment_tensors", lambda s, d: moment_tensors(own_traces(s, d).select(F.col("rcv").alias("shot"), F.array(*(F.slice("amp", 3 * k + 1, 3) for k in range(3))).alias("mt"))), f"SELECT rcv AS shot, it // 3 AS i, it % 3 AS j, amp AS m FROM {TRACES} WHERE it < 9", "shot i j", "m")
 
 # ---------------------------------------------------------------- optimiser steps (the third, at a rate of 0.1)
 

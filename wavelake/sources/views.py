@@ -94,5 +94,17 @@ def acquisition(shots: DataFrame, receivers_: DataFrame) -> DataFrame:
     return shots.withColumn("k", F.lit(1)).join(own, "k").drop("k").withColumn("offset", F.abs(F.col("rx") - F.col("sx")))
 
 
-def survey_summary(shots: DataFrame) -> DataFrame:
-    return shots.agg(F.count("*").alias("n"), F.min("sx").alias("x_min"), F.max("sx").alias("x_max"), F.min("sz").alias("z_min"), F.max("sz").alias("z_max"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
+def survey_summary(places: DataFrame, x: str = "sx", z: str = "sz") -> DataFrame:
+    """Number, extent and types of sources, or of receivers (x='rx', z='rz')."""
+    return places.agg(F.count("*").alias("n"), F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.min(z).alias("z_min"), F.max(z).alias("z_max"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
+
+
+def source_wavelets(shots: DataFrame) -> DataFrame:
+    """(shot, wavelet as an array) -> shot, it, amp."""
+    return samples(shots.select("shot", F.col("wavelet").alias("amp")), "amp")
+
+
+def moment_tensors(shots: DataFrame) -> DataFrame:
+    """(shot, mt as rows of three) -> shot, i, j, m."""
+    rows = shots.select("shot", F.posexplode("mt").alias("i", "row"))
+    return rows.select("shot", F.col("i").cast("long"), F.posexplode("row").alias("j", "m")).withColumn("j", F.col("j").cast("long"))
