@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from wavelake.llm.common import remove, save
 
 NEIGHBOURS, BUCKET, CODES, GAIN, CHUNK = 20, 160, 3, 1e-4, 32
-POOL, BEAM, ENTRIES = 200, 32, 16
+POOL, BEAM, ENTRIES = 400, 64, 16
 
 
 def best_of(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
