@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     own = duckdb.connect()
-    for t in ("embeddings", "events"):
+    for t in ("embeddings", "events", "supplier", "documents", "labels"):
         own.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return own
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavelake.operators.quantile import by_salted_key, exact_quantile
+from wavelake.sources.store import settled
+
 TRACE = ["shot", "rcv"]
 
 
@@ -82,6 +85,6 @@ def std_scaled(samples: DataFrame, v: str = "amp", spacing: float = 1.0, factor:
 
 
 def clipped(samples: DataFrame, v: str = "amp", share: float = 0.999) -> DataFrame:
-    """Values cut to the exact percentile of their size, by shot."""
-    limit = samples.groupBy("shot").agg(F.percentile(F.abs(v), F.lit(share)).alias("most"))
-    return samples.join(limit, "shot").withColumn(v, F.greatest(F.least(F.col(v), F.col("most")), -F.col("most")))
+    """Values cut to the exact quantile of their size, by shot; no task holds a shot's values."""
+    limit = exact_quantile(samples, ["shot"], F.abs(v), share, "most", settled)
+    return by_salted_key(samples, limit, ["shot"]).withColumn(v, F.greatest(F.least(F.col(v), F.col("most")), -F.col("most")))

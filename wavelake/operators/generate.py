@@ -1,44 +1,39 @@
-"""Tables made from parameters only: wavelets, boundary maps, layered models and anomalies."""
+"""Wavelets for a table of shots, boundary maps, layered models and anomalies for a table of cells."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ricker(t: Column, f0: float, t0: float, amp: float = 1.0) -> Column:
-    tau = (math.pi * f0) ** 2
+def ricker(t: Column, f0: Column, t0: Column) -> Column:
+    tau = (math.pi * f0) * (math.pi * f0)
     s = (t - t0) * (t - t0)
-    return amp * (1 - 2 * tau * s) * F.exp(-tau * s)
+    return (1 - 2 * tau * s) * F.exp(-tau * s)
 
 
-def wavelet(spark: SparkSession, nt: int, dt: float, f0: float, amp: float = 1.0, t0: float | None = None, kind: str = "ricker") -> DataFrame:
-    """it, t, amp. gaussian: the Ricker wavelet summed twice, without dt. One wavelet is one window group: nt rows."""
-    t0 = 1.2 / f0 if t0 is None else t0
-    times = spark.range(nt).select(F.col("id").alias("it"), (F.col("id") * dt).alias("t"))
-    if kind.lower() == "ramp":
-        return times.withColumn("amp", amp * 0.5 * (1 + F.tanh(F.col("t") / t0)))
-    if kind.lower() not in ("ricker", "gaussian"):
+def wavelets(shots: DataFrame, nt: int, dt: float, kind: str = "ricker") -> DataFrame:
+    """(shot, f0, t0, a; a null t0 is 1.2 / f0) -> shot, it, t, amp. gaussian: the Ricker wavelet summed twice, without dt."""
+    if kind.lower() not in ("ricker", "gaussian", "ramp"):
         raise ValueError(f"unknown wavelet {kind}")
-    made = times.withColumn("amp", ricker(F.col("t"), f0, t0, amp))
+    t0 = F.coalesce(F.col("t0"), 1.2 / F.col("f0"))
+    rows = shots.select("shot", "f0", "a", t0.alias("t0"), F.explode(F.sequence(F.lit(0), F.lit(nt - 1)).cast("array<bigint>")).alias("it")).withColumn("t", F.col("it") * dt)
+    if kind.lower() == "ramp":
+        return rows.select("shot", "it", "t", (F.col("a") * 0.5 * (1 + F.tanh(F.col("t") / F.col("t0")))).alias("amp"))
+    made = rows.select("shot", "it", "t", (F.col("a") * ricker(F.col("t"), F.col("f0"), F.col("t0"))).alias("amp"))
     if kind.lower() == "gaussian":
-        up_to = Window.partitionBy(F.lit(0)).orderBy("it").rowsBetween(Window.unboundedPreceding, 0)
+        up_to = Window.partitionBy("shot").orderBy("it").rowsBetween(Window.unboundedPreceding, 0)
         made = made.withColumn("amp", F.sum("amp").over(up_to)).withColumn("amp", F.sum("amp").over(up_to))
     return made
 
 
-def shift_sweep(spark: SparkSession, shifts: range, nt: int = 1000, dt: float = 0.003, f0: float = 6.0, t0: float = 0.5, roll: int = 330) -> DataFrame:
-    """shot (the shift), rcv, it, obs, syn: a rolled Ricker wavelet and itself moved by each shift."""
-    at = lambda k: ricker(F.pmod(F.col("it") - k, F.lit(nt)) * dt, f0, t0)
-    rows = spark.range(shifts.start, shifts.stop, shifts.step).select(F.col("id").alias("shot"), F.explode(F.sequence(F.lit(0), F.lit(nt - 1))).alias("it"))
-    return rows.select("shot", F.lit(0).cast("long").alias("rcv"), "it", at(F.lit(roll)).alias("obs"), at(roll + F.col("shot")).alias("syn"))
-
-
-def cells(spark: SparkSession, nz: int, nx: int) -> DataFrame:
-    """iz, ix of a whole grid, made row by row where it is used."""
-    return spark.range(nz).select(F.col("id").alias("iz"), F.explode(F.sequence(F.lit(0), F.lit(nx - 1)).cast("array<bigint>")).alias("ix"))
+def shift_sweep(shifts: DataFrame, nt: int = 1000, dt: float = 0.003, f0: float = 6.0, t0: float = 0.5, roll: int = 330) -> DataFrame:
+    """(shot, shift) -> shot, rcv, it, obs, syn: a rolled Ricker wavelet and itself moved by each shift."""
+    at = lambda k: ricker(F.pmod(F.col("it") - k, F.lit(nt)) * dt, F.lit(f0), F.lit(t0))
+    rows = shifts.select("shot", "shift", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))).alias("it"))
+    return rows.select("shot", F.lit(0).cast("long").alias("rcv"), "it", at(F.lit(roll)).alias("obs"), at(roll + F.col("shift")).alias("syn"))
 
 
 def outside(i: str, n: int, pml: int, first: bool = True) -> Column:
@@ -47,62 +42,60 @@ def outside(i: str, n: int, pml: int, first: bool = True) -> Column:
     return F.greatest(far, F.lit(0)) if not first else F.greatest(pml - F.col(i), far, F.lit(0))
 
 
-def pml_damping(spark: SparkSession, nz: int, nx: int, dx: float, pml: int, vmax: float, free_surface: bool = True) -> DataFrame:
-    """iz, ix, damp: quadratic in the distance to the inner grid; corners take the deeper of the two sides."""
+def pml_damping(cells: DataFrame, nz: int, nx: int, dx: float, pml: int, vmax: float, free_surface: bool = True) -> DataFrame:
+    """(iz, ix of the padded grid) -> iz, ix, damp: quadratic in the distance to the inner grid; corners take the deeper of
+    the two sides."""
     a = (pml - 1) * dx
     kappa = -3 * vmax * math.log(1e-6) / (2 * a)
-    made = cells(spark, nz + (1 if free_surface else 2) * pml, nx + 2 * pml)
     depth = F.greatest(outside("ix", nx, pml), outside("iz", nz, pml, not free_surface))
-    return made.withColumn("damp", kappa * F.pow(F.greatest(depth - 1, F.lit(0)) * dx / a, F.lit(2.0)))
+    return cells.select("iz", "ix", (kappa * F.pow(F.greatest(depth - 1, F.lit(0)) * dx / a, F.lit(2.0))).alias("damp"))
 
 
-def sine_taper(spark: SparkSession, nz: int, nx: int, pml: int, free_surface: bool = False) -> DataFrame:
-    """iz, ix, damp: squared sines towards each side, multiplied."""
+def sine_taper(cells: DataFrame, nz: int, nx: int, pml: int, free_surface: bool = False) -> DataFrame:
+    """(iz, ix of the padded grid) -> iz, ix, damp: squared sines towards each side, multiplied."""
     hz, wx = nz + (1 if free_surface else 2) * pml, nx + 2 * pml
     side = lambda i: F.when(i < pml, F.pow(F.sin(math.pi / 2 * i / pml), F.lit(2.0))).otherwise(1.0)
     top = F.lit(1.0) if free_surface else side(F.col("iz"))
-    return cells(spark, hz, wx).withColumn("damp", top * side(hz - 1 - F.col("iz")) * side(F.col("ix")) * side(wx - 1 - F.col("ix")))
+    return cells.select("iz", "ix", (top * side(hz - 1 - F.col("iz")) * side(F.col("ix")) * side(wx - 1 - F.col("ix"))).alias("damp"))
 
 
-def sponge(spark: SparkSession, nz: int, nx: int, pml: int, alpha: float = 0.0053, free_surface: bool = True) -> DataFrame:
-    """iz, ix, damp: exp(-(alpha * depth)^2), the deepest side of a corner."""
+def sponge(cells: DataFrame, nz: int, nx: int, pml: int, alpha: float = 0.0053, free_surface: bool = True) -> DataFrame:
+    """(iz, ix of the padded grid) -> iz, ix, damp: exp(-(alpha * depth)^2), the deepest side of a corner."""
     depth = F.greatest(outside("ix", nx, pml) - 1, outside("iz", nz, pml, not free_surface) - 1, F.lit(0))
-    made = cells(spark, nz + (1 if free_surface else 2) * pml, nx + 2 * pml)
-    return made.withColumn("damp", F.exp(-F.pow(alpha * depth, F.lit(2.0))))
+    return cells.select("iz", "ix", F.exp(-F.pow(alpha * depth, F.lit(2.0))).alias("damp"))
 
 
-def split_pml(spark: SparkSession, nz: int, nx: int, dx: float, dz: float, pml: int, vmax: float, free_surface: bool = True) -> DataFrame:
-    """iz, ix, bcx, bcz."""
+def split_pml(cells: DataFrame, nz: int, nx: int, dx: float, dz: float, pml: int, vmax: float, free_surface: bool = True) -> DataFrame:
+    """(iz, ix of the padded grid) -> iz, ix, bcx, bcz."""
     scale = -math.log(1e-6) * 3 * vmax / (2 * pml**3)
-    made = cells(spark, nz + (1 if free_surface else 2) * pml, nx + 2 * pml)
     power = lambda d, h: d * d * scale / h
-    return made.withColumn("bcx", power(outside("ix", nx, pml), dx)).withColumn("bcz", power(outside("iz", nz, pml, not free_surface), dz))
-
-
-def profile(spark: SparkSession, depth: float, step: float, anomaly: bool = False) -> DataFrame:
-    """y, vp, vs, rho: a staircase of two knots a step, linear in depth; the last knot repeats the one before."""
-    n = int(round(depth / step)) + 1
-    lift = lambda c, a, b: F.col("y0") / depth * a + b
-    knots = spark.range(n).select((F.round(F.col("id").cast("double")) * step).alias("y0"))
-    knots = knots.select("y0", lift("vp", 1.5, 3.0).alias("vp"), lift("vs", 4.48 - 3.46, 2.46).alias("vs"), lift("rho", 3.32 - 2.72, 2.72).alias("rho"))
-    upper = knots.withColumnRenamed("y0", "y")
-    lower = knots.withColumn("y", F.col("y0") + (step - (1.0 if anomaly else step / 5))).drop("y0")
-    both = upper.unionByName(lower)
-    order = Window.partitionBy(F.lit(0)).orderBy("y")  # 2 * depth / step knots
-    last = F.lead("y").over(order).isNull()
-    return both.select("y", *(F.when(last, F.lag(c).over(order)).otherwise(F.col(c)).alias(c) for c in ("vp", "vs", "rho")))
-
-
-def layered(spark: SparkSession, depths: list[float], nx: int, step: float, anomaly: bool = False) -> DataFrame:
-    """iz, ix, vp, vs, rho: the profile interpolated to the depths, the same at every ix."""
-    order = Window.partitionBy(F.lit(0)).orderBy("y")
-    knots = profile(spark, depths[-1] - depths[0], step, anomaly)
-    parts = knots.select("y", F.lead("y").over(order).alias("y1"), *(c for n in ("vp", "vs", "rho") for c in (F.col(n).alias(n), F.lead(n).over(order).alias(n + "1")))).where("y1 > y")
-    asked = spark.createDataFrame([(i, float(d)) for i, d in enumerate(depths)], "iz bigint, d double")
-    share = (F.col("d") - F.col("y")) / (F.col("y1") - F.col("y"))
-    hit = asked.join(F.broadcast(parts), (F.col("d") >= F.col("y")) & (F.col("d") < F.col("y1")))
-    column = hit.select("iz", *((F.col(c) + (F.col(c + "1") - F.col(c)) * share).alias(c) for c in ("vp", "vs", "rho")))
-    return column.select("iz", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)).cast("array<bigint>")).alias("ix"), "vp", "vs", "rho")
+    return cells.select("iz", "ix", power(outside("ix", nx, pml), dx).alias("bcx"), power(outside("iz", nz, pml, not free_surface), dz).alias("bcz"))
+
+
+#: vp, vs and rho at the surface, and what the whole depth adds to them (fixed values).
+SURFACE = {"vp": (3.0, 1.5), "vs": (2.46, 4.48 - 3.46), "rho": (2.72, 3.32 - 2.72)}
+
+
+def gap_of(step: float, anomaly: bool) -> float:
+    """How far below its upper knot a step's lower one lies."""
+    return step - (1.0 if anomaly else step / 5)
+
+
+def profile(layers: DataFrame, depth: Column, step: float, anomaly: bool = False) -> DataFrame:
+    """(k, the layer's number) -> y, vp, vs, rho: a staircase of two knots a layer, linear in depth."""
+    y0 = F.col("k") * F.lit(step)
+    knots = F.explode(F.array(y0, y0 + gap_of(step, anomaly)))
+    return layers.select(knots.alias("y"), *((y0 / depth * rise + top).alias(c) for c, (top, rise) in SURFACE.items()))
+
+
+def layered(places: DataFrame, y: Column, depth: float, step: float, anomaly: bool = False) -> DataFrame:
+    """Places with vp, vs and rho of the profile at their depth y, between whose knots it is linear: constant in the upper
+    part of a layer, then on the way to the next. A projection: no knots are joined."""
+    gap = gap_of(step, anomaly)
+    k = F.floor(y / step)
+    rest = y - k * step
+    level = k * step + F.when(rest <= gap, 0.0).otherwise(step * (rest - gap) / (step - gap))
+    return places.select("*", *((level / depth * rise + top).alias(c) for c, (top, rise) in SURFACE.items()))
 
 
 def with_ellipses(model: DataFrame, nz: int, nx: int, dz: float, dx: float, pml: int = 0) -> DataFrame:

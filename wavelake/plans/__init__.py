@@ -1 +1 @@
-"""Jobs of many steps: simulation and inversion."""
+"""Jobs of many steps: descent."""

@@ -13,10 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelake.functions import rock, spectrum, trace
-from wavelake.operators import generate, grid, metrics, misfit, model, optimise
-from wavelake.plans import waves
+from wavelake.functions import carried, rock, spectrum, timefreq, trace
+from wavelake.operators import adjoint, generate, grid, metrics, misfit, model, optimise, spline
+from wavelake.sources import gathers
+from wavelake.sources.store import fresh_path
 from wavelake.sources.views import acquisition, grid_cells, moment_tensors, pair_rows, samples, source_wavelets, survey_summary, table, trace_rows, unmatched
+from wavelake.streaming import chunks
 from wavelake.streaming.shots import windowed_energy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,8 +147,10 @@ add("misfit_sinkhorn", on_rows(misfit.sinkhorn))
 add("misfit_wasserstein2", on_rows(misfit.wasserstein))
 # p = 1 on unit times is the sum of the running sums' differences
 add("misfit_wasserstein1", on_rows(lambda p: misfit.wasserstein(p, 1)), integral_sql("square", 1), "shot", "misfit")
-add("ricker_shift_sweep", lambda s, d: misfit.panel(generate.shift_sweep(s, range(-100, 100))).drop("n_traces"), f"""
-    WITH t AS (SELECT CAST(k AS BIGINT) AS shot, ((i - 330) % 1000 + 1000) % 1000 * 0.003 - 0.5 AS a, ((i - 330 - k) % 1000 + 1000) % 1000 * 0.003 - 0.5 AS b FROM range(-100, 100) AS s(k), range(1000) AS r(i)),
+SHIFTS = "(SELECT vec_id AS shot, CAST(vec_id * 37 % 201 - 100 AS BIGINT) AS shift FROM embeddings)"
+shifts_ = lambda s, d: own_traces(s, d).select(F.col("rcv").alias("shot"), (F.col("rcv") * 37 % 201 - 100).alias("shift"))
+add("ricker_shift_sweep", lambda s, d: misfit.panel(generate.shift_sweep(shifts_(s, d))).drop("n_traces"), f"""
+    WITH t AS (SELECT shot, ((i - 330) % 1000 + 1000) % 1000 * 0.003 - 0.5 AS a, ((i - 330 - shift) % 1000 + 1000) % 1000 * 0.003 - 0.5 AS b FROM {SHIFTS}, range(1000) AS r(i)),
     w AS (SELECT shot, CAST(pow(pi() * 6, 2) AS DOUBLE) AS tau, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM t),
     p AS (SELECT shot, 0 AS rcv, (1 - 2 * tau * a * a) * exp(-tau * a * a) AS obs, (1 - 2 * tau * b * b) * exp(-tau * b * b) AS syn FROM w)
     SELECT shot, sum(abs(obs - syn)) AS l1, sqrt(sum((obs - syn) * (obs - syn))) AS l2, sum({SMOOTH}) AS smooth_l1, sum(ln(1 + (obs - syn) * (obs - syn))) AS student_t FROM p GROUP BY shot""", "shot", "l1 l2 smooth_l1 student_t")
@@ -299,15 +303,25 @@ add("history_thinned", lambda s, d: stack(s, d).where("iter % 3 = 0").groupBy("i
 add("windowed_event_energy", lambda s, d: windowed_energy(table(s, d, "events").select("ts", F.col("user_id").alias("trace"), "value"), "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "trace", "n", "energy"), """
     SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, user_id AS trace, count(*) AS n, sum(value * value) AS energy FROM events GROUP BY ALL""", "day trace n", "energy", 4)
 
-# ---------------------------------------------------------------- generators
+# ---------------------------------------------------------------- generators, for the shots and cells of a table
 
-RICKER = "(1 - 2 * pow(pi() * 6, 2) * pow(t - 0.5, 2)) * exp(-pow(pi() * 6, 2) * pow(t - 0.5, 2))"
-TIMES = "(SELECT CAST(i AS BIGINT) AS it, CAST(i AS DOUBLE) * 0.003 AS t FROM range(400) AS r(i))"
-add("wavelet_ricker", lambda s, d: generate.wavelet(s, 400, 0.003, 6.0, t0=0.5), f"SELECT it, t, {RICKER} AS amp FROM {TIMES}", "it", "t amp")
-add("wavelet_gaussian", lambda s, d: generate.wavelet(s, 400, 0.003, 6.0, t0=0.5, kind="gaussian"), f"SELECT it, t, sum(a) OVER (ORDER BY it) AS amp FROM (SELECT it, t, sum({RICKER}) OVER (ORDER BY it) AS a FROM {TIMES})", "it", "t amp")
-add("wavelet_ramp", lambda s, d: generate.wavelet(s, 400, 0.003, 6.0, 2.0, 0.5, "ramp"), f"SELECT it, t, 1 + tanh(t / 0.5) AS amp FROM {TIMES}", "it", "t amp")
-FRAME = "(SELECT CAST(z AS BIGINT) AS iz, CAST(x AS BIGINT) AS ix, greatest(0, 10 - x, x - 69) AS dx, greatest(0, {top}, z - {far}) AS dz FROM range({h}) AS a(z), range(80) AS b(x))"
-OPEN_FRAME, FREE_FRAME = FRAME.format(top="10 - z", far=49, h=60), FRAME.format(top=0, far=39, h=50)
+WAVES = "(SELECT vec_id AS shot, 4.0 + label % 5 AS f0, CASE WHEN vec_id % 3 = 0 THEN 1.2 / (4.0 + label % 5) ELSE 0.5 END AS t0, 1.0 + vec_id % 2 AS a FROM embeddings)"
+TIMES = f"(SELECT shot, f0, t0, a, CAST(i AS BIGINT) AS it, CAST(i AS DOUBLE) * 0.003 AS t FROM {WAVES}, range(300) AS r(i))"
+RICKER = "a * (1 - 2 * pow(pi() * f0, 2) * pow(t - t0, 2)) * exp(-pow(pi() * f0, 2) * pow(t - t0, 2))"
+
+
+def wavelet_shots(spark: SparkSession, d: str) -> DataFrame:
+    """Frequency by label; every third shot's delay is the usual one."""
+    shot = own_traces(spark, d)
+    return shot.select(F.col("rcv").alias("shot"), (4.0 + F.col("shot") % 5).alias("f0"), F.when(F.col("rcv") % 3 != 0, 0.5).alias("t0"), (1.0 + F.col("rcv") % 2).alias("a"))
+
+
+add("wavelet_ricker", lambda s, d: generate.wavelets(wavelet_shots(s, d), 300, 0.003), f"SELECT shot, it, t, {RICKER} AS amp FROM {TIMES}", "shot it", "t amp")
+add("wavelet_gaussian", lambda s, d: generate.wavelets(wavelet_shots(s, d), 300, 0.003, "gaussian"), f"SELECT shot, it, t, sum(a) OVER (PARTITION BY shot ORDER BY it) AS amp FROM (SELECT shot, it, t, sum({RICKER}) OVER (PARTITION BY shot ORDER BY it) AS a FROM {TIMES})", "shot it", "t amp")
+add("wavelet_ramp", lambda s, d: generate.wavelets(wavelet_shots(s, d), 300, 0.003, "ramp"), f"SELECT shot, it, t, a * 0.5 * (1 + tanh(t / t0)) AS amp FROM {TIMES}", "shot it", "t amp")
+COLUMNS = "(SELECT count(*) FROM embeddings)"
+FRAME = "(SELECT iz, ix, greatest(0, 10 - ix, ix - {nx} - 9) AS dx, greatest(0, {top}, iz - {far}) AS dz FROM (" + PADDED + "))"
+OPEN_FRAME, FREE_FRAME = FRAME.replace("{top}", "10 - iz", 1).format(far=73, nx=COLUMNS, top=10, h=84, cells=CELLS), FRAME.replace("{top}", "0", 1).format(far=63, nx=COLUMNS, top=0, h=74, cells=CELLS)
 KAPPA = "(-3 * 4000 * ln(1e-6) / (2 * 9 * 40.0))"
 FILLED = {"c11": "c11", "c12": "c11 - 2 * c66", "c13": "c13", "c22": "c11", "c23": "c13", "c33": "c33", "c44": "c44", "c55": "c44", "c66": "c66"}
 add("rock_isotropic_stiffness", on_rocks(lambda: scaled(rock.isotropic_stiffness(*rock.thomsen_to_moduli(*THOMSEN).values()))), f"SELECT iz, ix, {', '.join(f'({FILLED.get(c, 0.0)}) / 1e9 AS {c}' for c in rock.STIFFNESS)} FROM {MODULI}", "iz ix", " ".join(rock.STIFFNESS))
@@ -340,39 +354,48 @@ add("model_resampled", lambda s, d: model.resampled(own_cells(s, d), ["v"], (0.7
 add("model_gradient_or_zero", on_cells(lambda c: model.gradient_or_zero(c, c.where("v > 0").withColumnRenamed("v", "grad"))), f"SELECT iz, ix, greatest(v, 0) AS grad FROM {CELLS}", "iz ix", "grad")
 for free_, frame_ in ((True, FREE_FRAME), (False, OPEN_FRAME)):
     end_ = "_free_surface" if free_ else ""
-    add(f"boundary_pml{end_}", lambda s, d, f=free_: generate.pml_damping(s, 40, 60, 40.0, 10, 4000.0, f), f"SELECT iz, ix, {KAPPA} * pow(greatest(greatest(dx, dz) - 1, 0) / 9.0, 2) AS damp FROM {frame_}", "iz ix", "damp")
-    add(f"boundary_sponge{end_}", lambda s, d, f=free_: generate.sponge(s, 40, 60, 10, 0.03, f), f"SELECT iz, ix, exp(-pow(0.03 * greatest(greatest(dx, dz) - 1, 0), 2)) AS damp FROM {frame_}", "iz ix", "damp")
-    add(f"boundary_split_pml{end_}", lambda s, d, f=free_: generate.split_pml(s, 40, 60, 40.0, 20.0, 10, 4000.0, f), f"SELECT iz, ix, dx * dx * (-ln(1e-6) * 3 * 4000 / 2000) / 40 AS bcx, dz * dz * (-ln(1e-6) * 3 * 4000 / 2000) / 20 AS bcz FROM {frame_}", "iz ix", "bcx bcz")
-    sides_ = ["x", "79 - x", f"{49 if free_ else 59} - z", *([] if free_ else ["z"])]
-    add(f"boundary_sine{end_}", lambda s, d, f=free_: generate.sine_taper(s, 40, 60, 10, f), f"SELECT CAST(z AS BIGINT) AS iz, CAST(x AS BIGINT) AS ix, {' * '.join(f'CASE WHEN {i} < 10 THEN pow(sin(pi() / 2 * ({i}) / 10), 2) ELSE 1 END' for i in sides_)} AS damp FROM range({50 if free_ else 60}) AS a(z), range(80) AS b(x)", "iz ix", "damp")
-DEPTHS = [float(i) for i in range(61)]
-KNOTS = """(SELECT y0 AS y, y0 FROM (SELECT CAST(i AS DOUBLE) * 5 AS y0 FROM range(13) AS r(i)) UNION ALL SELECT y0 + 4 AS y, y0 FROM (SELECT CAST(i AS DOUBLE) * 5 AS y0 FROM range(13) AS r(i)))"""
+    area_ = lambda s, d, f=free_: (grid.padded(own_cells(s, d), 10, 64, size(d, s), f), 64, size(d, s))
+    add(f"boundary_pml{end_}", lambda s, d, f=free_, a=area_: generate.pml_damping(*a(s, d), 40.0, 10, 4000.0, f), f"SELECT iz, ix, {KAPPA} * pow(greatest(greatest(dx, dz) - 1, 0) / 9.0, 2) AS damp FROM {frame_}", "iz ix", "damp")
+    add(f"boundary_sponge{end_}", lambda s, d, f=free_, a=area_: generate.sponge(*a(s, d), 10, 0.03, f), f"SELECT iz, ix, exp(-pow(0.03 * greatest(greatest(dx, dz) - 1, 0), 2)) AS damp FROM {frame_}", "iz ix", "damp")
+    add(f"boundary_split_pml{end_}", lambda s, d, f=free_, a=area_: generate.split_pml(*a(s, d), 40.0, 20.0, 10, 4000.0, f), f"SELECT iz, ix, dx * dx * (-ln(1e-6) * 3 * 4000 / 2000) / 40 AS bcx, dz * dz * (-ln(1e-6) * 3 * 4000 / 2000) / 20 AS bcz FROM {frame_}", "iz ix", "bcx bcz")
+    sides_ = ["ix", f"{COLUMNS} + 19 - ix", f"{73 if free_ else 83} - iz", *([] if free_ else ["iz"])]
+    add(f"boundary_sine{end_}", lambda s, d, f=free_, a=area_: generate.sine_taper(*a(s, d), 10, f), f"SELECT iz, ix, {' * '.join(f'CASE WHEN {i} < 10 THEN pow(sin(pi() / 2 * ({i}) / 10), 2) ELSE 1 END' for i in sides_)} AS damp FROM {frame_}", "iz ix", "damp")
+
 
 def layered_sql(step: int, gap: int) -> str:
-    """The staircase with a knot each step and one gap below it, linear between knots."""
-    upper = f"SELECT CAST(i AS DOUBLE) * {step} AS y0 FROM range({60 // step + 1}) AS r(i)"
+    """The staircase with a knot each step and one gap below it, linear between knots, for the grid's cells; depths up to 63."""
+    upper = f"SELECT CAST(i AS DOUBLE) * {step} AS y0 FROM range({64 // step + 2}) AS r(i)"
     return f"""
-    WITH k AS (SELECT y, CASE WHEN y = {60 + gap} THEN 60 ELSE y0 END AS y0 FROM (SELECT y0 AS y, y0 FROM ({upper}) UNION ALL SELECT y0 + {gap} AS y, y0 FROM ({upper}))), s AS (SELECT y, y0, lead(y) OVER (ORDER BY y) AS y1, lead(y0) OVER (ORDER BY y) AS n0 FROM k),
-    h AS (SELECT i AS iz, y0 + (n0 - y0) * (i - y) / (y1 - y) AS e FROM range(61) AS r(i) JOIN s ON i >= y AND i < y1)
-    SELECT CAST(iz AS BIGINT) AS iz, CAST(x AS BIGINT) AS ix, e / 60 * 1.5 + 3 AS vp, e / 60 * 1.02 + 2.46 AS vs, e / 60 * 0.6 + 2.72 AS rho FROM h, range(40) AS c(x)"""
+    WITH k AS (SELECT y0 AS y, y0 FROM ({upper}) UNION ALL SELECT y0 + {gap} AS y, y0 FROM ({upper})), s AS (SELECT y, y0, lead(y) OVER (ORDER BY y) AS y1, lead(y0) OVER (ORDER BY y) AS n0 FROM k)
+    SELECT iz, ix, e / 63 * 1.5 + 3 AS vp, e / 63 * 1.02 + 2.46 AS vs, e / 63 * 0.6 + 2.72 AS rho FROM (SELECT iz, ix, y0 + (n0 - y0) * (iz - y) / (y1 - y) AS e FROM {CELLS} JOIN s ON iz >= y AND iz < y1)"""
 
 
 LAYERED = layered_sql(5, 4)
-layers = lambda s: generate.layered(s, DEPTHS, 40, 5.0)
-add("model_layered", lambda s, d: layers(s), LAYERED, "iz ix", "vp vs rho")
-add("model_layered_anomaly", lambda s, d: generate.layered(s, DEPTHS, 40, 4.0, True), layered_sql(4, 3), "iz ix", "vp vs rho")
-add("model_profile", lambda s, d: generate.profile(s, 60.0, 5.0), f"SELECT y, y0 / 60 * 1.5 + 3 AS vp, y0 / 60 * 1.02 + 2.46 AS vs, y0 / 60 * 0.6 + 2.72 AS rho FROM (SELECT y, CASE WHEN y = 64 THEN 60 ELSE y0 END AS y0 FROM {KNOTS})", "", "y vp vs rho")
-INSIDE = "(pow((ix - {cx}) / (39.0 / 6), 2) + pow((iz - {cz}) / 6.0, 2) < 1)"
-ONE, TWO = INSIDE.format(cx="39 * 2.0 / 3", cz="20"), INSIDE.format(cx="13", cz="40")
-add("model_two_ellipses", lambda s, d: generate.with_ellipses(layers(s), 61, 40, 1.0, 1.0), f"""
+layers = lambda s, d, step=5.0, anomaly=False: generate.layered(own_cells(s, d).select("iz", "ix"), F.col("iz"), 63.0, step, anomaly)
+add("model_layered", lambda s, d: layers(s, d), LAYERED, "iz ix", "vp vs rho")
+add("model_layered_anomaly", lambda s, d: layers(s, d, 4.0, True), layered_sql(4, 3), "iz ix", "vp vs rho")
+add("model_profile", lambda s, d: generate.profile(own_traces(s, d).select(F.col("rcv").alias("k")), F.lit(5000.0), 5.0), """
+    SELECT y, 5.0 * vec_id / 5000 * 1.5 + 3 AS vp, 5.0 * vec_id / 5000 * 1.02 + 2.46 AS vs, 5.0 * vec_id / 5000 * 0.6 + 2.72 AS rho FROM (SELECT vec_id, 5.0 * vec_id + unnest([0, 4]) AS y FROM embeddings)""", "", "y vp vs rho")
+WIDE = f"({COLUMNS} - 1.0)"
+INSIDE = f"(pow((ix - {WIDE} * {{fx}} / 3) / ({WIDE} / 6), 2) + pow((iz - 63.0 * {{fz}} / 3) / 6.3, 2) < 1)"
+ONE, TWO = INSIDE.format(fx=2, fz=1), INSIDE.format(fx=1, fz=2)
+add("model_two_ellipses", lambda s, d: generate.with_ellipses(layers(s, d), 64, size(d, s), 1.0, 1.0), f"""
     WITH m AS ({LAYERED}) SELECT iz, ix, {', '.join(f"CASE WHEN {ONE} THEN 1.1 * (SELECT avg({c}) FROM m WHERE {ONE}) WHEN {TWO} THEN (SELECT avg({c}) FROM m WHERE {TWO}) / 1.1 ELSE {c} END AS {c}" for c in ('vp', 'vs', 'rho'))} FROM m""", "iz ix", "vp vs rho")
-add("model_linear_start", lambda s, d: generate.linear_start(layers(s), 61).select("iz", "ix", "vp"), f"""
-    WITH m AS ({LAYERED}), e AS (SELECT min(vp) AS lo, max(vp) AS hi FROM m WHERE iz >= 10) SELECT iz, ix, CASE WHEN iz < 10 THEN vp ELSE lo + (hi - lo) * (iz - 10) / 50.0 END AS vp FROM m, e""", "iz ix", "vp")
-add("model_gaussian_bump", lambda s, d: generate.gauss2(generate.cells(s, 30, 40), (20.0, 15.0), (5.0, 4.0)), "SELECT CAST(z AS BIGINT) AS iz, CAST(x AS BIGINT) AS ix, exp(-(pow((x - 20) / 5.0, 2) + pow((z - 15) / 4.0, 2)) / 2) / (2 * pi() * 20) AS v FROM range(30) AS a(z), range(40) AS b(x)", "iz ix", "v", 8)
-SHOTS = "(SELECT CAST(i AS BIGINT) AS shot, CAST(i * 5 + 2 AS BIGINT) AS sx, CAST(1 AS BIGINT) AS sz FROM range(40) AS r(i))"
-geometry = lambda s: s.range(40).select(F.col("id").alias("shot"), (F.col("id") * 5 + 2).alias("sx"), F.lit(1).cast("long").alias("sz"), F.lit("mt").alias("type"))
-add("survey_geometry", lambda s, d: acquisition(geometry(s), s.range(200).select(F.col("id").alias("rcv"), F.col("id").alias("rx"), F.lit(1).cast("long").alias("rz"))), f"SELECT shot, sx, sz, 'mt' AS type, CAST(j AS BIGINT) AS rcv, CAST(j AS BIGINT) AS rx, CAST(1 AS BIGINT) AS rz, CAST(abs(j - sx) AS BIGINT) AS \"offset\" FROM {SHOTS}, range(200) AS c(j)", 'shot sx sz type rcv rx rz "offset"')
-add("survey_summary", lambda s, d: survey_summary(geometry(s)), f"SELECT count(*) AS n, min(sx) AS x_min, max(sx) AS x_max, min(sz) AS z_min, max(sz) AS z_max, 'mt' AS types FROM {SHOTS}", "n x_min x_max z_min z_max types")
+add("model_linear_start", lambda s, d: generate.linear_start(layers(s, d), 64).select("iz", "ix", "vp"), f"""
+    WITH m AS ({LAYERED}), e AS (SELECT min(vp) AS lo, max(vp) AS hi FROM m WHERE iz >= 10) SELECT iz, ix, CASE WHEN iz < 10 THEN vp ELSE lo + (hi - lo) * (iz - 10) / 53.0 END AS vp FROM m, e""", "iz ix", "vp")
+add("model_gaussian_bump", lambda s, d: generate.gauss2(own_cells(s, d), (20.0, 15.0), (5.0, 4.0)), f"SELECT iz, ix, exp(-(pow((ix - 20) / 5.0, 2) + pow((iz - 15) / 4.0, 2)) / 2) / (2 * pi() * 20) AS v FROM {CELLS}", "iz ix", "v", 8)
+SHOTS = "(SELECT s_suppkey AS shot, CAST(s_suppkey * 7 + 2 AS BIGINT) AS sx, CAST(1 AS BIGINT) AS sz, CASE WHEN s_nationkey % 2 = 0 THEN 'mt' ELSE 'ex' END AS type FROM supplier)"
+
+
+def supplier_shots(spark: SparkSession, d: str) -> DataFrame:
+    """A shot for each supplier, seven cells apart."""
+    made = table(spark, d, "supplier")
+    return made.select(F.col("s_suppkey").cast("long").alias("shot"), (F.col("s_suppkey") * 7 + 2).cast("long").alias("sx"), F.lit(1).cast("long").alias("sz"), F.when(F.col("s_nationkey") % 2 == 0, "mt").otherwise("ex").alias("type"))
+
+
+add("survey_geometry", lambda s, d: acquisition(supplier_shots(s, d), own_traces(s, d).select("rcv", (2 * F.col("rcv") + 3).alias("rx"), F.lit(1).cast("long").alias("rz")), 100), f"""
+    SELECT CAST(shot AS BIGINT) AS shot, sx, sz, type, vec_id AS rcv, 2 * vec_id + 3 AS rx, CAST(1 AS BIGINT) AS rz, abs(2 * vec_id + 3 - sx) AS "offset" FROM {SHOTS}, embeddings WHERE abs(2 * vec_id + 3 - sx) <= 100""", 'shot sx sz type rcv rx rz "offset"')
+add("survey_summary", lambda s, d: survey_summary(supplier_shots(s, d)), f"SELECT count(*) AS n, min(sx) AS x_min, max(sx) AS x_max, min(sz) AS z_min, max(sz) AS z_max, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM {SHOTS}", "n x_min x_max z_min z_max types")
 RECEIVERS = "(SELECT vec_id AS rcv, 2 * vec_id + 3 AS rx, CAST(label % 4 AS BIGINT) AS rz, CASE WHEN label % 2 = 0 THEN 'pr' ELSE 'vz' END AS type FROM embeddings)"
 add("survey_receivers_summary", lambda s, d: survey_summary(own_traces(s, d).select((2 * F.col("rcv") + 3).alias("rx"), (F.col("shot") % 4).alias("rz"), F.when(F.col("shot") % 2 == 0, "pr").otherwise("vz").alias("type")), "rx", "rz"), f"SELECT count(*) AS n, min(rx) AS x_min, max(rx) AS x_max, min(rz) AS z_min, max(rz) AS z_max, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM {RECEIVERS}", "n x_min x_max z_min z_max types")
 add("survey_wavelets", lambda s, d: source_wavelets(own_traces(s, d).select(F.col("rcv").alias("shot"), F.col("amp").alias("wavelet"))), f"SELECT rcv AS shot, it, amp FROM {TRACES}", "shot it", "amp")
@@ -408,33 +431,107 @@ STEPS = {
 for rule_, (options_, sql_) in STEPS.items():
     prepared_ = (lambda t: t.withColumn("m", F.abs("m"))) if rule_ == "adadelta" else (lambda t: t)
     add(f"step_{rule_}", lambda s, d, r=rule_, o=options_, f=prepared_: optimise.step(f(states(s, d)), r, 0.1, 3, **o).drop("grad"), sql_, "iz ix", "v m s")
-add("step_radam_late", lambda s, d: optimise.step(states(s, d), "radam", 0.1, 20).drop("grad"), None)
+LATE = 2 / (1 - 0.999) - 1
+LATER = LATE - 2 * 20 * 0.999**20 / (1 - 0.999**20)
+RECTIFIED = math.sqrt((LATER - 4) * (LATER - 2) * LATE / ((LATE - 4) * (LATE - 2) * LATER))
+add("step_radam_late", lambda s, d: optimise.step(states(s, d), "radam", 0.1, 20).drop("grad"), f"SELECT iz, ix, m, s, v - 0.1 * {RECTIFIED!r} * m / (1 - pow(0.9, 20)) * sqrt(1 - pow(0.999, 20)) / (sqrt(s) + 1e-8) AS v FROM {AVERAGED}", "iz ix", "v m s")
 add("step_projected", lambda s, d: optimise.projected(states(s, d).select("iz", "ix", "v"), -0.1, 0.1, 0.01), f"SELECT iz, ix, CASE WHEN v > 0.1 THEN 0.09 WHEN v < -0.1 THEN -0.09 ELSE v END AS v FROM {CELLS}", "iz ix", "v")
 add("direction_conjugate", lambda s, d: optimise.polak_ribiere(states(s, d).select("iz", "ix", "grad", F.col("m").alias("before"), F.col("grad").alias("pgrad"), F.col("v").alias("direction"))).select("iz", "ix", "direction"), f"""
     WITH b AS (SELECT sum((grad - m) * grad) / sum(m * m) AS beta FROM {STATE}) SELECT iz, ix, -grad + CASE WHEN beta BETWEEN 0 AND 2 THEN beta ELSE 0 END * v AS direction FROM {STATE}, b""", "iz ix", "direction")
 
-# ---------------------------------------------------------------- simulation
+# ---------------------------------------------------------------- adjoint sources
 
+PEAKS = f"(SELECT *, max(abs(syn)) OVER ({BY_TRACE}) AS top_, syn / max(abs(syn)) OVER ({BY_TRACE}) - obs / max(abs(obs)) OVER ({BY_TRACE}) AS r FROM {PAIRS})"
+GAIN = "sum(r * r) OVER (PARTITION BY shot, rcv)"
+for name_, build_, sql_ in (
+    ("l1", adjoint.l1, f"SELECT shot, rcv, it, CAST(sign(syn - obs) AS DOUBLE) AS adjoint FROM {PAIRS}"),
+    ("l2", adjoint.l2, f"SELECT shot, rcv, it, (syn - obs) / sqrt(sum((syn - obs) * (syn - obs)) OVER ({BY_TRACE})) AS adjoint FROM {PAIRS}"),
+    ("smooth_l1", adjoint.smooth_l1, f"SELECT shot, rcv, it, greatest(least(syn - obs, 1), -1) AS adjoint FROM {PAIRS}"),
+    ("student_t", adjoint.student_t, f"SELECT shot, rcv, it, 2 * (syn - obs) / (1 + (syn - obs) * (syn - obs)) AS adjoint FROM {PAIRS}"),
+    ("l2_of_peaks", lambda p: adjoint.of_peaks(p, adjoint.l2), f"""
+        WITH g AS (SELECT *, r / sqrt({GAIN}) AS g FROM {PEAKS}),
+        f AS (SELECT *, min(it) FILTER (abs(syn) = top_) OVER ({BY_TRACE}) AS first_, sum(g * syn) OVER ({BY_TRACE}) AS pull FROM g)
+        SELECT shot, rcv, it, g / top_ - CASE WHEN it = first_ THEN pull * sign(syn) / (top_ * top_) ELSE 0 END AS adjoint FROM f"""),
+):
+    add(f"adjoint_{name_}", on_pairs(lambda p, b=build_: b(p).select("shot", "rcv", "it", "adjoint")), sql_, "shot rcv it", "adjoint")
+
+# ---------------------------------------------------------------- streams with carried state
+
+EVENTS = "(SELECT user_id AS trace, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS it, value FROM events)"
+
+
+def streamed(spark: SparkSession, d: str, kernel: carried.Kernel) -> DataFrame:
+    """The events of each user as a trace, cut into chunks of 16, which a stream takes up file by file."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("trace"), "ts", "event_id", "value")
+    cut = chunks.chunked(events, ["trace"], ["ts", "event_id"], "value", "ts", 16)
+    place = fresh_path(spark, "chunks")
+    cut.repartitionByRange(4, "first").write.parquet(f"{place}/in")
+    stream = chunks.chunk_stream(spark, f"{place}/in", cut.schema)
+    chunks.written(chunks.carried(stream, kernel, ["trace"], "36500 days"), f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    made = spark.read.parquet(f"{place}/out").select("trace", "first", F.posexplode("amp").alias("k", "value"))
+    return made.select("trace", (F.col("first") + F.col("k")).alias("it"), "value")
+
+
+LOW_PASS = carried.LowPass(6, 100)
+(B0_, B1_, B2_), (_, A1_, A2_) = LOW_PASS.coefficients
+add("stream_running_integral", lambda s, d: streamed(s, d, carried.RunningSum(0.5)), f"SELECT trace, it, 0.5 * sum(value) OVER (PARTITION BY trace ORDER BY it) AS value FROM {EVENTS}", "trace it", "value")
+add("stream_unwrapped_phase", lambda s, d: streamed(s, d, carried.Unwrap()), f"""
+    WITH d AS (SELECT trace, it, value, coalesce(value - lag(value) OVER t, 0) AS d FROM {EVENTS} WINDOW t AS (PARTITION BY trace ORDER BY it)),
+    w AS (SELECT *, d + pi() - floor((d + pi()) / (2 * pi())) * 2 * pi() - pi() AS w FROM d)
+    SELECT trace, it, value + sum(CASE WHEN abs(d) < pi() THEN 0 ELSE CASE WHEN w = -pi() AND d > 0 THEN pi() ELSE w END - d END) OVER (PARTITION BY trace ORDER BY it) AS value FROM w""", "trace it", "value")
+FILTERED = f"""
+    WITH RECURSIVE e AS (SELECT * FROM {EVENTS}),
+    f AS (SELECT trace, it, {B0_!r} * value AS y, CAST(0 AS DOUBLE) AS y1, value AS x1, CAST(0 AS DOUBLE) AS x2 FROM e WHERE it = 0
+          UNION ALL SELECT e.trace, e.it, {B0_!r} * e.value + {B1_!r} * f.x1 + {B2_!r} * f.x2 - {A1_!r} * f.y - {A2_!r} * f.y1, f.y, e.value, f.x1 FROM f JOIN e ON e.trace = f.trace AND e.it = f.it + 1)
+    SELECT trace, it, y AS value FROM f"""
+add("stream_low_pass", lambda s, d: streamed(s, d, LOW_PASS), FILTERED, "trace it", "value")
+ROWS = "(SELECT vec_id AS trace, CAST(i - 1 AS BIGINT) AS it, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1, 65) AS r(i))"
+add("trace_causal_low_pass", lambda s, d: samples(carried.applied(own_traces(s, d).select(F.col("rcv").alias("trace"), F.col("amp").alias("value")), LOW_PASS, "value"), "value"), FILTERED.replace(EVENTS, ROWS), "trace it", "value")
 
-def small_survey(spark: SparkSession) -> tuple[DataFrame, DataFrame, waves.Survey]:
-    import numpy as np
+# ---------------------------------------------------------------- files of gathers
 
-    shots = spark.range(4).select(F.col("id").alias("shot"), (F.col("id") * 10 + 5).alias("sx"), F.lit(2).cast("long").alias("sz"))
-    t = np.arange(200) * 0.003
-    s = (np.pi * 8) ** 2 * (t - 0.15) ** 2
-    model = generate.with_ellipses(layers(spark).withColumns({c: F.col(c) * 1000 for c in ("vp", "vs", "rho")}), 61, 40, 1.0, 1.0)
-    return shots, model, waves.Survey(40.0, 40.0, 0.003, (1 - 2 * s) * np.exp(-s), np.arange(0, 40, 2), np.full(20, 3), 15)
 
+def through_files(spark: SparkSession, d: str, kind: str = "f8") -> DataFrame:
+    """All traces, written as gathers and read back."""
+    gathers.register(spark)
+    place = fresh_path(spark, "gathers")
+    own_traces(spark, d).repartitionByRange(8, "shot", "rcv").write.format("gathers").mode("append").option("kind", kind).save(place)
+    return spark.read.format("gathers").load(place)
 
-def forward(spark: SparkSession, d: str) -> DataFrame:
-    shots, model, survey = small_survey(spark)
-    return samples(waves.simulate(shots, model, survey, 61, 40), "amp")
 
+add("gathers_round_trip", lambda s, d: samples(through_files(s, d).drop("component"), "amp"), TRACES, "shot rcv it", "amp")
+add("gathers_shots", lambda s, d: through_files(s, d, "f4").where("shot BETWEEN 2 AND 5").groupBy("shot").agg(F.count("*").alias("traces"), F.sum(F.aggregate("amp", F.lit(0.0), lambda u, v: u + v * v)).alias("energy")), f"SELECT shot, count(DISTINCT rcv) AS traces, sum(amp * amp) AS energy FROM {TRACES} WHERE shot BETWEEN 2 AND 5 GROUP BY shot", "shot traces", "energy")
 
-def wave_energy(spark: SparkSession, d: str) -> DataFrame:
-    shots, model, survey = small_survey(spark)
-    return waves.illumination(shots, model, survey, 61, 40)
+# ---------------------------------------------------------------- cubic splines
 
 
-add("acoustic_forward", forward)
-add("acoustic_illumination", wave_energy)
+def spline_sql(label: str, source: str, line: str, at: str, n: str, points: str) -> str:
+    """CTEs up to `label`: (line, at, v) of the source -> (line, k, v) at the points (k, x). Second derivatives by a sweep down each line and one up."""
+    return f"""
+    {label}_v AS (SELECT {line} AS line, {at} AS i, v, lag(v) OVER w - 2 * v + lead(v) OVER w AS d FROM {source} WINDOW w AS (PARTITION BY {line} ORDER BY {at})),
+    {label}_f AS (SELECT line, CAST(1 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS c, d AS e FROM {label}_v WHERE i = 1
+        UNION ALL SELECT v.line, v.i, CASE WHEN v.i = {n} - 2 THEN 0 ELSE 1 / (4 - f.c) END, CASE WHEN v.i = {n} - 2 THEN v.d ELSE (6 * v.d - f.e) / (4 - f.c) END
+        FROM {label}_f f JOIN {label}_v v ON v.line = f.line AND v.i = f.i + 1 WHERE v.i <= {n} - 2),
+    {label}_b AS (SELECT line, i, e AS m FROM {label}_f WHERE i = {n} - 2
+        UNION ALL SELECT f.line, f.i, f.e - f.c * b.m FROM {label}_b b JOIN {label}_f f ON f.line = b.line AND f.i = b.i - 1),
+    {label}_m AS (SELECT * FROM {label}_b UNION ALL SELECT line, 0, sum(CASE i WHEN 1 THEN 2 * m ELSE -m END) FROM {label}_b WHERE i IN (1, 2) GROUP BY line
+        UNION ALL SELECT line, {n} - 1, sum(CASE i WHEN {n} - 2 THEN 2 * m ELSE -m END) FROM {label}_b WHERE i IN ({n} - 2, {n} - 3) GROUP BY line),
+    {label}_g AS (SELECT v.line, v.i, v, m FROM {label}_v v JOIN {label}_m m ON v.line = m.line AND v.i = m.i),
+    {label} AS (SELECT a.line, k, (1 - t) * a.v + t * b.v + ((pow(1 - t, 3) - (1 - t)) * a.m + (pow(t, 3) - t) * b.m) / 6 AS v
+        FROM (SELECT k, least(floor(x), {n} - 2) AS at, x - least(floor(x), {n} - 2) AS t FROM {points}) p JOIN {label}_g a ON a.i = p.at JOIN {label}_g b ON b.line = a.line AND b.i = a.i + 1)"""
+
+
+add("model_spline_resampled", lambda s, d: spline.spline_resampled(own_cells(s, d), ["v"], (0.75, 1.5), (85, 1 << 40)), f"""
+    WITH RECURSIVE {spline_sql("tall", CELLS, "ix", "iz", "64", "(SELECT CAST(i AS BIGINT) AS k, i * 0.75 AS x FROM range(85) AS r(i) WHERE i * 0.75 <= 63)")},
+    {spline_sql("wide", "tall", "k", "line", COLUMNS, f"(SELECT i AS k, i * 1.5 AS x FROM (SELECT unnest(range(1 + CAST(floor(({COLUMNS} - 1) / 1.5) AS BIGINT))) AS i))")}
+    SELECT line AS iz, k AS ix, v FROM wide""", "iz ix", "v")
+
+# ---------------------------------------------------------------- time and frequency
+
+GAUSS = "(SELECT exp(-0.5 * pow((n - 8) / (16 / 6.0), 2)) AS w, CAST(n AS BIGINT) AS n FROM range(16) AS r(n))"
+SPECTRA = f"""(SELECT x.shot, x.rcv, frame, freq, sum({{v}} * w * cos(2 * pi() * freq * n / 16)) / (SELECT sum(w) FROM {GAUSS}) AS re, -sum({{v}} * w * sin(2 * pi() * freq * n / 16)) / (SELECT sum(w) FROM {GAUSS}) AS im
+    FROM {{rows}} x, (SELECT CAST(i AS BIGINT) AS frame FROM range(9) AS a(i)) f, (SELECT CAST(i AS BIGINT) AS freq FROM range(9) AS b(i)) k, {GAUSS} g WHERE x.it + 8 = frame * 8 + n GROUP BY ALL)"""
+add("trace_spectra", lambda s, d: timefreq.spectra(own_traces(s, d), 16).select("shot", "rcv", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("freq", "z")).select("shot", "rcv", "frame", F.col("freq").cast("long").alias("freq"), "z.re", "z.im"), f"SELECT shot, rcv, frame, freq, re, im FROM {SPECTRA.format(v='amp', rows=TRACES)}", "shot rcv frame freq", "re im")
+add("trace_spectra_restored", lambda s, d: samples(timefreq.restored(timefreq.spectra(own_traces(s, d).withColumn("n", F.size("amp")), 16), 16, "n", ["shot", "rcv"]), "amp"), TRACES, "shot rcv it", "amp")
+add("misfit_phase_correlation", on_rows(lambda p: timefreq.phase_correlation(p, 16)), f"""
+    SELECT o.shot, -sum(o.re * s.re + o.im * s.im) AS misfit FROM {SPECTRA.format(v="obs", rows=PAIRS)} o JOIN {SPECTRA.format(v="syn", rows=PAIRS)} s USING (rcv, frame, freq) GROUP BY o.shot""", "shot", "misfit")

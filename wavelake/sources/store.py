@@ -1,15 +1,33 @@
-"""Cutting lineage in loops: checkpoint() in the folder that the cluster shares."""
+"""The folder that the cluster shares: cutting lineage in loops, and tables of one job."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, written to spark.checkpoint.dir (a temporary folder where it is unset, as in tests) and read from there."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a temporary folder where it is unset and all runs in one process (tests)."""
+    context = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not place:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        place = tempfile.mkdtemp(prefix="wavelake-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wavelake-"))
+        context.setCheckpointDir(place)
+    return place.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -88,10 +88,15 @@ def receivers(spark: SparkSession, xs: list[int], zs: list[int], kind: str = "pr
     return spark.createDataFrame([(i, x, z, kind) for i, (x, z) in enumerate(zip(xs, zs, strict=True))], "rcv bigint, rx bigint, rz bigint, type string")
 
 
-def acquisition(shots: DataFrame, receivers_: DataFrame) -> DataFrame:
-    """Every receiver of every shot: the geometry, whose size is what a survey records."""
-    own = receivers_.select("rcv", "rx", "rz", F.lit(1).alias("k"))
-    return shots.withColumn("k", F.lit(1)).join(own, "k").drop("k").withColumn("offset", F.abs(F.col("rx") - F.col("sx")))
+def acquisition(shots: DataFrame, receivers_: DataFrame, most: int) -> DataFrame:
+    """The receivers within `most` of each shot along x, with their offset: the geometry of a spread that moves along.
+
+    Receivers stand in bins of that width and a shot asks its own and the two beside it, so the join is by bin; its size is
+    what the survey records."""
+    bin_ = lambda x: F.floor(x / F.lit(most + 1))
+    own = receivers_.select("rcv", "rx", "rz", bin_(F.col("rx")).alias("bin_"))
+    asked = shots.withColumn("bin_", F.explode(F.sequence(bin_(F.col("sx")) - 1, bin_(F.col("sx")) + 1)))
+    return asked.join(own, "bin_").drop("bin_").withColumn("offset", F.abs(F.col("rx") - F.col("sx"))).where(F.col("offset") <= most)
 
 
 def survey_summary(places: DataFrame, x: str = "sx", z: str = "sz") -> DataFrame:
