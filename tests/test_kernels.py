@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavelake.functions import rock
-from wavelake.operators import adjoint, generate, grid, misfit, optimise
+from wavelake.operators import adjoint, grid, metrics, misfit, optimise
 from wavelake.plans import descent
 from wavelake.sources import views
 from wavelake.streaming import shots as streaming
@@ -23,7 +23,8 @@ def test_fd_coefficients():
 def test_lag_and_analytic():
     x = np.zeros(50)
     x[10] = 1
-    assert misfit.lag_of(x, np.roll(x, 7)) == 7 and misfit.lag_of(x, np.roll(x, -4)) == -4 and misfit.lag_of(x * 0, x) == 0
+    obs, syn = np.stack([x, x, x * 0]), np.stack([np.roll(x, 7), np.roll(x, -4), x])
+    assert misfit.lag_of(obs, syn).tolist() == [7, -4, 0]
     t = np.arange(400)
     assert np.allclose(np.abs(misfit.analytic(np.cos(2 * np.pi * t / 20)))[100:300], 1, atol=0.01)
 
@@ -43,17 +44,47 @@ def paths(n, m):
 def test_soft_dtw_by_enumeration():
     x, y, gamma = np.array([0.1, 0.5, -0.3, 0.2]), np.array([0.0, 0.4, 0.1]), 0.7
     costs = np.array([sum((x[i] - y[j]) ** 2 for i, j in p) for p in paths(4, 3)])
-    assert math.isclose(misfit.soft_dtw_value(x, y, gamma), -gamma * math.log(np.exp(-costs / gamma).sum()), rel_tol=1e-9)
+    assert np.allclose(misfit.soft_dtw_value(np.stack([x, x]), np.stack([y, y]), gamma), -gamma * math.log(np.exp(-costs / gamma).sum()), rtol=1e-9)
 
 
 def test_transport():
     t = np.arange(5.0)
     a, b = np.array([1.0, 0, 0, 0, 0]) + 1e-18, np.array([0.0, 0, 0, 1, 0]) + 1e-18
-    assert math.isclose(misfit.wasserstein_of(a, b, t, 2), 9, rel_tol=1e-9)
+    assert np.allclose(misfit.wasserstein_of(np.stack([a, a]), np.stack([b, a]), t, 2), [9, 0], rtol=1e-9)
     rng = np.random.default_rng(0)
     x, y = rng.standard_normal((5, 2)), rng.standard_normal((5, 2))
     exact = min(sum(((x[i] - y[p[i]]) ** 2).sum() / 2 for i in range(5)) / 5 for p in itertools.permutations(range(5)))
-    assert math.isclose(misfit.sinkhorn_cost(x, y, 2, 0.02, 0.5), exact, rel_tol=0.05)
+    both = misfit.sinkhorn_cost(np.stack([x, x]), np.stack([y, x]), 2, 0.02, 0.5)
+    assert math.isclose(both[0], exact, rel_tol=0.05) and abs(both[1]) < 0.01 and math.isclose(misfit.sinkhorn_cost(x[None], y[None], 2, 0.02, 0.5)[0], both[0], rel_tol=1e-9)
+
+
+def test_sinkhorn_says_if_it_does_not_settle(monkeypatch):
+    monkeypatch.setattr(misfit, "MOST_ROUNDS", 3)
+    with pytest.raises(RuntimeError):
+        misfit.sinkhorn_cost(np.zeros((1, 2, 2)), np.ones((1, 2, 2)) * 9, 2, 0.1, 0.5)
+
+
+def test_kernels_of_mixed_lengths(spark):
+    """Pairs of other lengths, nulls and empty traces in one batch."""
+    rows = [(0, 0, [1.0, 2.0], [0.0, 1.0, 2.0]), (0, 1, None, [1.0]), (0, 2, [], [1.0]), (1, 3, [1.0, 0.0], [0.0, 1.0])]
+    pairs = spark.createDataFrame(rows, "shot bigint, rcv bigint, obs array<double>, syn array<double>").coalesce(1)
+    assert {r.rcv: r.lag for r in misfit.travel_times(pairs).collect()} == {0: 1.0, 1: None, 2: None, 3: 1.0}
+    assert {r.shot: r.misfit for r in misfit.travel_time(pairs).collect()} == {0: 0.5, 1: 0.5}
+
+
+def test_tiles(spark, monkeypatch):
+    """Neighbours across tiles' borders, for tiles far smaller than the grid."""
+    cells = spark.range(17 * 23).select((F.col("id") % 17).alias("iz"), F.floor(F.col("id") / 17).alias("ix"), F.sin(F.col("id") * 1.7).alias("v"))
+    made = lambda: [
+        sorted(map(tuple, grid.local(cells, 5, lambda t: t.select("iz", "ix", "tz_", "tx_", *(grid.staggered_difference("v", a, f, 10).alias(f"{a}{f}") for a in "xz" for f in (True, False)))).collect()), key=repr),
+        grid.tikhonov(cells, 2).first()[0], grid.total_variation(cells).first()[0], metrics.roughness(cells).first()[0],
+        sorted(map(tuple, grid.staggered_means(cells.withColumns({"b": F.col("v"), "mu": F.col("v")})).collect()), key=repr),
+        metrics.ssim(cells.select(F.lit(1).alias("iter"), "iz", "ix", "v", (F.col("v") + 0.1 * F.col("iz")).alias("t"))).first().ssim,
+    ]
+    whole = made()
+    monkeypatch.setattr(grid, "SIDE", 6)
+    cut = made()
+    assert cut[0] == whole[0] and cut[4] == whole[4] and np.allclose([cut[k] for k in (1, 2, 3, 5)], [whole[k] for k in (1, 2, 3, 5)])
 
 
 @pytest.mark.parametrize("name", ["l1", "l2", "smooth_l1", "student_t"])

@@ -18,6 +18,6 @@ def test_every_sample_counts(spark, tmp_path, name):
         made.append({r.shot: r.misfit for r in QUERIES[name](spark, f"{tmp_path}/{k}").collect()})
     assert made[0].keys() == made[1].keys() and all(made[0][s] != made[1][s] for s in made[0])
     if name == "misfit_soft_dtw":
-        value = misfit.soft_dtw_value
+        value = lambda a, b, gamma: misfit.soft_dtw_value(a[None], b[None], gamma)[0]
         x, y = (np.array(rows[i][1], np.float32).astype(float) for i in (0, 1))
         assert abs(made[0][0] - (value(x, y, 1.0) - (value(x, x, 1.0) + value(y, y, 1.0)) / 2)) < 1e-5

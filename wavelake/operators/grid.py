@@ -1,6 +1,6 @@
 """Operators over grids (iz, ix, v): stencils, smoothing, padding, penalties, staggered means, gradient conditioning.
 
-A grid is partitioned by its rows or columns, never gathered whole; scalars come from one-row aggregates.
+A grid is cut into tiles with halos, so no row, column or grid meets in one task; scalars come from one-row aggregates.
 """
 
 from __future__ import annotations
@@ -14,16 +14,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Cells of a tile along an axis, without its halo.
-TILE = 1024
+#: Cells of a line's tile without its halo, in smoothing; cells of a tile's side, for operators on neighbours.
+TILE, SIDE = 1024, 256
 
 
-def along(axis: str) -> Window:
-    return Window.partitionBy("iz").orderBy("ix") if axis == "x" else Window.partitionBy("ix").orderBy("iz")
+def tiled(grid: DataFrame, reach: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each cell once for each tile (tz_, tx_) that it is in or within `reach` of, dealt by tile: the windows below need no
+    more shuffle, along x or z. keys tell grids apart."""
+    side = max(SIDE, reach)
+    near = lambda axis: F.explode(F.array_distinct(F.array(*(F.floor((F.col(axis) + k) / side) for k in (-reach, 0, reach)))))
+    return grid.withColumn("tz_", near("iz")).withColumn("tx_", near("ix")).repartition(*keys, "tz_", "tx_")
+
+
+def local(grid: DataFrame, reach: int, build: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ()) -> DataFrame:
+    """build, over the grid's tiles with halos of `reach` cells; build keeps iz, ix, tz_ and tx_, and each cell comes back
+    from its own tile."""
+    side = max(SIDE, reach)
+    own = (F.floor(F.col("iz") / side) == F.col("tz_")) & (F.floor(F.col("ix") / side) == F.col("tx_"))
+    return build(tiled(grid, reach, keys)).where(own).drop("tz_", "tx_")
+
+
+def along(axis: str, keys: tuple[str, ...] = ()) -> Window:
+    """A tile's line in the direction of the axis."""
+    other = "iz" if axis == "x" else "ix"
+    return Window.partitionBy(*keys, "tz_", "tx_", other).orderBy("ix" if axis == "x" else "iz")
 
 
 def shifted(v: str, k: int, axis: str) -> Column:
-    """The value k cells further; null beyond the edge."""
+    """The value k cells further, of a tiled grid; null beyond the edge."""
     return F.col(v) if k == 0 else F.lead(v, k).over(along(axis)) if k > 0 else F.lag(v, -k).over(along(axis))
 
 
@@ -42,7 +60,8 @@ def fd_coefficients(pairs: int, staggered: bool = True) -> list[float]:
 
 
 def staggered_difference(v: str, axis: str, forward: bool, order: int) -> Column:
-    """Half a cell ahead (forward) or behind, of order 4, 6, 8 or 10; null where it would leave the grid."""
+    """Half a cell ahead (forward) or behind, of order 4, 6, 8 or 10, of a grid in tiles with halos of half the order; null
+    where it would leave the grid."""
     ahead = 1 if forward else 0
     weights = fd_coefficients(order // 2)
     return total([c * (shifted(v, k - 1 + ahead, axis) - shifted(v, ahead - k, axis)) for k, c in enumerate(weights, 1)])
@@ -63,7 +82,7 @@ def second_difference(v: str, axis: str) -> Column:
 
 def differences(grid: DataFrame, order: int, dx: float, dz: float) -> DataFrame:
     make = first_difference if order == 1 else second_difference
-    return grid.select((make("v", "x") / dx).alias("x"), (make("v", "z") / dz).alias("z"))
+    return local(grid, 1, lambda t: t.select("iz", "ix", "tz_", "tx_", (make("v", "x") / dx).alias("x"), (make("v", "z") / dz).alias("z")))
 
 
 def tikhonov(grid: DataFrame, order: int = 1, alpha_x: float = 1.0, alpha_z: float = 1.0, dx: float = 1.0, dz: float = 1.0) -> DataFrame:
@@ -145,10 +164,14 @@ def padded(grid: DataFrame, n: int, nz: int, nx: int, free_surface: bool = False
 
 def staggered_means(grid: DataFrame, b: str = "b", mu: str = "mu") -> DataFrame:
     """bx, bz: the mean with the next cell along x and z; mu_xz: the mean of the cell and those beside, below and across (the cell twice)."""
-    down, over = F.lead(mu).over(along("z")), F.lead(mu).over(along("x"))
-    held = grid.withColumn("down_", down)
-    across = F.lead("down_").over(along("x"))
-    return held.select("*", ((F.col(b) + F.lead(b).over(along("x"))) / 2).alias("bx"), ((F.col(b) + F.lead(b).over(along("z"))) / 2).alias("bz"), (0.2 * (2 * F.col(mu) + over + F.col("down_") + across)).alias("mu_xz")).drop("down_")
+
+    def build(tiles: DataFrame) -> DataFrame:
+        held = tiles.withColumn("down_", shifted(mu, 1, "z"))
+        mean = lambda axis: (F.col(b) + shifted(b, 1, axis)) / 2
+        four = 0.2 * (2 * F.col(mu) + shifted(mu, 1, "x") + F.col("down_") + shifted("down_", 1, "x"))
+        return held.select("*", mean("x").alias("bx"), mean("z").alias("bz"), four.alias("mu_xz")).drop("down_")
+
+    return local(grid, 1, build)
 
 
 # ---------------------------------------------------------------- gradient conditioning

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelake.operators.grid import shifted, total
+from wavelake.operators.grid import along, local, shifted, total
 
 
 def compared(truth: DataFrame, models: DataFrame) -> DataFrame:
@@ -22,11 +22,16 @@ def errors(both: DataFrame) -> DataFrame:
 
 def ssim(both: DataFrame) -> DataFrame:
     """iter, ssim: structural similarity in 3 x 3 windows with sample covariances; cells of the border are left out."""
-    z, x = (Window.partitionBy("iter", o).orderBy(i).rowsBetween(-1, 1) for o, i in (("ix", "iz"), ("iz", "ix")))
+    z, x = (along(axis, ("iter",)).rowsBetween(-1, 1) for axis in "zx")
     span = both.groupBy("iter").agg((F.greatest(F.max("t"), F.max("v")) - F.least(F.min("t"), F.min("v"))).alias("range"), F.max("iz").alias("z1"), F.max("ix").alias("x1"))
     products = {"t": F.col("t"), "v": F.col("v"), "tt": F.col("t") * F.col("t"), "vv": F.col("v") * F.col("v"), "tv": F.col("t") * F.col("v")}
-    down = both.select("iter", "iz", "ix", *(F.sum(c).over(z).alias(n) for n, c in products.items()))
-    box = down.select("iter", "iz", "ix", *((F.sum(n).over(x) / 9).alias(n) for n in products)).join(span, "iter")
+    place = ("iter", "iz", "ix", "tz_", "tx_")
+
+    def sums(tiles: DataFrame) -> DataFrame:
+        down = tiles.select(*place, *(F.sum(c).over(z).alias(n) for n, c in products.items()))
+        return down.select(*place, *((F.sum(n).over(x) / 9).alias(n) for n in products))
+
+    box = local(both, 1, sums, ("iter",)).join(span, "iter")
     inner = box.where("iz > 0 AND ix > 0 AND iz < z1 AND ix < x1")
     t, v = F.col("t"), F.col("v")
     cov = lambda c, a, b: 9 / 8 * (F.col(c) - a * b)
@@ -50,4 +55,4 @@ def scaled_curve(losses: DataFrame) -> DataFrame:
 def roughness(grid: DataFrame) -> DataFrame:
     """The mean size of the five-point Laplacian inside the grid."""
     five = total([shifted("v", k, a) for k in (-1, 1) for a in "xz"]) - 4 * F.col("v")
-    return grid.select(five.alias("l")).agg(F.avg(F.abs("l")).alias("roughness"))
+    return local(grid, 1, lambda t: t.select("iz", "ix", "tz_", "tx_", five.alias("l"))).agg(F.avg(F.abs("l")).alias("roughness"))

@@ -138,13 +138,38 @@ add("misfit_l2_low_pass", lambda s, d: misfit.l2(samples(spectrum.low_pass(own_p
     SELECT shot, sum(r) AS misfit FROM (SELECT o.shot, o.rcv, sqrt(sum((obs - syn) * (obs - syn))) AS r FROM {PASSED.format(v="obs", rows=PAIRS)} o
         JOIN {PASSED.format(v="syn", rows=PAIRS)} s USING (rcv, it) GROUP BY o.shot, o.rcv) GROUP BY shot""", "shot", "misfit")
 add("elastic_pressure", on_pairs(lambda p: p.select("shot", "rcv", "it", rock.pressure("obs", "syn").alias("p"))), f"SELECT shot, rcv, it, -(obs + syn) AS p FROM {PAIRS}", "shot rcv it", "p")
-add("misfit_envelope", on_rows(misfit.envelope))
-add("misfit_phase", on_rows(lambda p: misfit.envelope(p, phase=True)))
-add("misfit_envelope_correlation", lambda s, d: misfit.weighted(misfit.global_correlation(pair_samples(s, d)), misfit.envelope(own_pairs(s, d)), 3, 10))
-add("misfit_soft_dtw", on_rows(misfit.soft_dtw))
-add("misfit_soft_dtw_correlation", lambda s, d: misfit.weighted(misfit.global_correlation(pair_samples(s, d)), misfit.soft_dtw(own_pairs(s, d)), 3, 10))
+# the imaginary part of an analytic signal is a convolution with the sines of all positive frequencies of length 127
+HILBERT = "(SELECT d, sum(2.0 / 127 * sin(2 * pi() * k * d / 127)) AS h FROM range(-63, 64) AS a(d), range(1, 64) AS b(k) GROUP BY d)"
+ANALYTIC = f"(SELECT p.shot, p.rcv, p.it, p.{{v}} AS re, sum(q.{{v}} * h) AS im FROM {PAIRS} p JOIN {PAIRS} q ON p.rcv = q.rcv JOIN {HILBERT} ON d = p.it - q.it GROUP BY p.shot, p.rcv, p.it, p.{{v}})"
+ENVELOPE = f"""
+    SELECT o.shot, sum(0.5 * pow(pow(s.re * s.re + s.im * s.im, 0.75) - pow(o.re * o.re + o.im * o.im, 0.75), 2)) AS misfit FROM {ANALYTIC.format(v="obs")} o JOIN {ANALYTIC.format(v="syn")} s USING (rcv, it) GROUP BY o.shot"""
+UNWRAPPED = f"""(SELECT shot, rcv, it, phase + sum(CASE WHEN abs(d) < pi() THEN 0 ELSE d + pi() - floor((d + pi()) / (2 * pi())) * 2 * pi() - pi() - d END) OVER ({ALONG}) AS phase
+    FROM (SELECT *, coalesce(phase - lag(phase) OVER ({ALONG}), 0) AS d FROM (SELECT shot, rcv, it, atan2(im, re) AS phase FROM {ANALYTIC})))"""
+BLENDED = "SELECT a.shot, a.misfit / (1 + exp(2.0)) + b.misfit * (1 - 1 / (1 + exp(2.0))) AS misfit FROM ({a}) a JOIN ({b}) b USING (shot)"
+CORRELATION = f"SELECT shot, sum(coalesce(c, 0)) AS misfit FROM (SELECT shot, rcv, -avg(a * b) / (sqrt(var_samp(a) * var_samp(b)) + 1e-8) AS c FROM {UNIT} GROUP BY shot, rcv) GROUP BY shot"
+# soft warping by anti-diagonals: a row is a place (i, k - i) of a pair of traces, with its value and that of the same i one diagonal before
+SOFT_DTW = f"""
+    WITH RECURSIVE x AS (SELECT shot, rcv, 0 AS kind, it + 1 AS i, obs AS a, syn AS b FROM {PAIRS} UNION ALL SELECT shot, rcv, 1, it + 1, obs, obs FROM {PAIRS} UNION ALL SELECT shot, rcv, 2, it + 1, syn, syn FROM {PAIRS}),
+    m AS (SELECT x.rcv, x.kind, x.i, y.i AS j, pow(x.a - y.b, 2) AS cost FROM x JOIN x y ON x.rcv = y.rcv AND x.kind = y.kind),
+    d AS (SELECT rcv, kind, CAST(1 AS BIGINT) AS k, CAST(i AS BIGINT) AS i, CAST('Infinity' AS DOUBLE) AS now, CASE WHEN i = 0 THEN 0.0 ELSE CAST('Infinity' AS DOUBLE) END AS before FROM (SELECT DISTINCT rcv, kind FROM x), range(65) AS r(i)
+        UNION ALL
+        SELECT rcv, kind, k, i, CASE WHEN least_ = CAST('Infinity' AS DOUBLE) OR cost IS NULL THEN CAST('Infinity' AS DOUBLE) ELSE cost + least_ - ln(exp(least_ - u) + exp(least_ - v) + exp(least_ - w)) END, v
+        FROM (SELECT *, least(u, v, w) AS least_ FROM (
+            SELECT d.rcv, d.kind, d.k + 1 AS k, d.i, m.cost, d.now AS v, coalesce(lag(d.now) OVER q, CAST('Infinity' AS DOUBLE)) AS w, coalesce(lag(d.before) OVER q, CAST('Infinity' AS DOUBLE)) AS u
+            FROM d LEFT JOIN m ON m.rcv = d.rcv AND m.kind = d.kind AND m.i = d.i AND m.j = d.k + 1 - d.i WHERE d.k < 128 WINDOW q AS (PARTITION BY d.rcv, d.kind ORDER BY d.i)))),
+    e AS (SELECT rcv, sum(CASE kind WHEN 0 THEN now ELSE -now / 2 END) AS v FROM d WHERE k = 128 AND i = 64 GROUP BY rcv)
+    SELECT shot, sum(v) AS misfit FROM e JOIN (SELECT DISTINCT shot, rcv FROM x) USING (rcv) GROUP BY shot"""
+add("misfit_envelope", on_rows(misfit.envelope), ENVELOPE, "shot", "misfit")
+add("misfit_phase", on_rows(lambda p: misfit.envelope(p, phase=True)), f"SELECT o.shot, sum(0.5 * pow(s.phase - o.phase, 2)) AS misfit FROM {UNWRAPPED.format(v='obs')} o JOIN {UNWRAPPED.format(v='syn')} s USING (rcv, it) GROUP BY o.shot", "shot", "misfit")
+add("misfit_envelope_correlation", lambda s, d: misfit.weighted(misfit.global_correlation(pair_samples(s, d)), misfit.envelope(own_pairs(s, d)), 3, 10), BLENDED.format(a=CORRELATION, b=ENVELOPE), "shot", "misfit", 5)
+add("misfit_soft_dtw", on_rows(misfit.soft_dtw), SOFT_DTW, "shot", "misfit")
+add("misfit_soft_dtw_correlation", lambda s, d: misfit.weighted(misfit.global_correlation(pair_samples(s, d)), misfit.soft_dtw(own_pairs(s, d)), 3, 10), BLENDED.format(a=CORRELATION, b=SOFT_DTW), "shot", "misfit", 5)
 add("misfit_sinkhorn", on_rows(misfit.sinkhorn))
-add("misfit_wasserstein2", on_rows(misfit.wasserstein))
+add("misfit_wasserstein2", on_rows(misfit.wasserstein), f"""
+    WITH c AS (SELECT shot, rcv, it, sum(obs * obs + 1e-18) OVER ({ALONG}) / sum(obs * obs + 1e-18) OVER ({BY_TRACE}) AS o, sum(syn * syn + 1e-18) OVER ({ALONG}) / sum(syn * syn + 1e-18) OVER ({BY_TRACE}) AS s FROM {PAIRS}),
+    u AS (SELECT shot, rcv, o AS q, 1 AS a, 0 AS b FROM c UNION ALL SELECT shot, rcv, s, 0, 1 FROM c),
+    w AS (SELECT *, coalesce(q - lag(q) OVER z, q) AS width, sum(a) OVER z - a AS i, sum(b) OVER z - b AS j FROM u WINDOW z AS (PARTITION BY rcv ORDER BY q, b ROWS UNBOUNDED PRECEDING))
+    SELECT shot, sum(width * pow(least(i, 63) - least(j, 63), 2)) AS misfit FROM w GROUP BY shot""", "shot", "misfit")
 # p = 1 on unit times is the sum of the running sums' differences
 add("misfit_wasserstein1", on_rows(lambda p: misfit.wasserstein(p, 1)), integral_sql("square", 1), "shot", "misfit")
 SHIFTS = "(SELECT vec_id AS shot, CAST(vec_id * 37 % 201 - 100 AS BIGINT) AS shift FROM embeddings)"
@@ -205,7 +230,7 @@ def stencil_sql(axis: str, forward: bool, order: int) -> str:
 
 STENCILS = [(a, f, o) for o in (4, 6, 8, 10) for a in "xz" for f in (True, False)]
 stencil_name = lambda a, f, o: f"d{a}{'f' if f else 'b'}{o}"
-add("fd_stencils", on_cells(lambda g: g.select("iz", "ix", *(grid.staggered_difference("v", *s).alias(stencil_name(*s)) for s in STENCILS))),
+add("fd_stencils", on_cells(lambda g: grid.local(g, 5, lambda t: t.select("iz", "ix", "tz_", "tx_", *(grid.staggered_difference("v", *s).alias(stencil_name(*s)) for s in STENCILS)))),
     f"SELECT iz, ix, {', '.join(f'{stencil_sql(*s)} AS {stencil_name(*s)}' for s in STENCILS)} FROM {CELLS}", "iz ix", " ".join(stencil_name(*s) for s in STENCILS))
 
 
