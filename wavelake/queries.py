@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake.functions import carried, rock, spectrum, timefreq, trace
-from wavelake.operators import adjoint, generate, grid, metrics, misfit, model, optimise, spline
+from wavelake.operators import adjoint, generate, grid, imaging, metrics, misfit, model, optimise, spline
 from wavelake.sources import gathers
 from wavelake.sources.store import fresh_path
 from wavelake.sources.views import acquisition, grid_cells, moment_tensors, pair_rows, samples, source_wavelets, survey_summary, table, trace_rows, unmatched
@@ -560,3 +560,18 @@ add("trace_spectra", lambda s, d: timefreq.spectra(own_traces(s, d), 16).select(
 add("trace_spectra_restored", lambda s, d: samples(timefreq.restored(timefreq.spectra(own_traces(s, d).withColumn("n", F.size("amp")), 16), 16, "n", ["shot", "rcv"]), "amp"), TRACES, "shot rcv it", "amp")
 add("misfit_phase_correlation", on_rows(lambda p: timefreq.phase_correlation(p, 16)), f"""
     SELECT o.shot, -sum(o.re * s.re + o.im * s.im) AS misfit FROM {SPECTRA.format(v="obs", rows=PAIRS)} o JOIN {SPECTRA.format(v="syn", rows=PAIRS)} s USING (rcv, frame, freq) GROUP BY o.shot""", "shot", "misfit")
+
+# ---------------------------------------------------------------- imaging of stored fields
+
+FIELDS = "(SELECT shot, it, rcv // 2 // 16 AS iz, rcv // 2 % 16 AS ix, obs AS p, syn AS a FROM " + PAIRS + ")"
+
+
+def stored_fields(spark: SparkSession, d: str) -> tuple[SparkSession, str, str]:
+    """Observed traces as the forward field, synthetic ones as the adjoint one, at cells numbered by pair."""
+    cell = F.floor(F.col("rcv") / 2)
+    made = pair_samples(spark, d).select("shot", "it", F.floor(cell / 16).alias("iz"), (cell % 16).alias("ix"), "obs", "syn")
+    return spark, imaging.store_field(made.withColumnRenamed("obs", "p"), 8), imaging.store_field(made.withColumnRenamed("syn", "p"), 8)
+
+
+add("image_cross_correlation", lambda s, d: imaging.cross_correlation(*stored_fields(s, d), 0.5), f"SELECT iz, ix, 0.5 * sum(p * a) AS image FROM {FIELDS} GROUP BY iz, ix", "iz ix", "image")
+add("image_illuminated", lambda s, d: imaging.illuminated(*stored_fields(s, d), 0.5), f"SELECT iz, ix, image / greatest(energy, 0.5 * max(energy) OVER ()) AS image FROM (SELECT iz, ix, sum(p * a) AS image, sum(p * p) AS energy FROM {FIELDS} GROUP BY iz, ix)", "iz ix", "image")

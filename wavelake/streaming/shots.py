@@ -1,13 +1,16 @@
-"""Shots as a stream: losses and gradients added up batch by batch, misfits in event-time windows, simulation in chunks."""
+"""Shots as a stream: losses and gradients added up batch by batch, misfits in event-time windows."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wavelake.sources.store import children, exists, publish
+
 
 def shot_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
     """New Parquet files of a folder, a mini-batch of shots for so many files."""
@@ -36,3 +39,39 @@ def windowed_energy(events: DataFrame, width: str = "1 hour", late: str = "2 hou
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     made = timed.groupBy(F.window("ts", width), "trace").agg(F.count("*").alias("n"), F.sum(F.col("value") * F.col("value")).alias("energy"))
     return made.select(F.col("window.start").alias("start"), "trace", "n", "energy")
+
+
+# ---------------------------------------------------------------- gradients
+
+
+def accumulate_gradients(stream: DataFrame, gradient: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, every: int = 16) -> StreamingQuery:
+    """gradient makes (iz, ix, grad) of a batch; out gets their sums, each batch once. A batch's sums are a folder of its
+    number, which a repeated batch writes over; after `every` batches they are added up to a total that is named by the
+    last of them. A total counts once it is whole, and stands for all batches up to its number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        gradient(batch).groupBy("iz", "ix").agg(F.sum("grad").alias("grad")).write.mode("overwrite").parquet(f"{out}/batch-{number:09d}")
+        if (number + 1) % every == 0:
+            compact(batch.sparkSession, out, number)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compact(spark: SparkSession, out: str, number: int) -> None:
+    """One table for all batches up to that number; written aside and renamed, so that none is seen half done."""
+    staged, target = f"{out}/staged-{uuid.uuid4().hex}", f"{out}/total-{number:09d}"
+    if not exists(spark, target):
+        gradient_total(spark, out, number).write.parquet(staged)
+        publish(spark, staged, target)
+
+
+def gradient_total(spark: SparkSession, out: str, upto: int | None = None) -> DataFrame:
+    """iz, ix, grad: the sum over all batches (up to a number): the newest total and the batches after it."""
+    numbered = {kind: [int(n.removeprefix(kind)) for n in children(spark, out) if n.startswith(kind)] for kind in ("total-", "batch-")}
+    if upto is not None:
+        numbered = {kind: [n for n in own if n <= upto] for kind, own in numbered.items()}
+    last = max(numbered["total-"], default=-1)
+    paths = [f"{out}/total-{last:09d}"] * (last >= 0) + [f"{out}/batch-{n:09d}" for n in numbered["batch-"] if n > last]
+    if not paths:
+        return spark.createDataFrame([], "iz bigint, ix bigint, grad double")
+    return spark.read.parquet(*paths).groupBy("iz", "ix").agg(F.sum("grad").alias("grad"))
