@@ -7,7 +7,10 @@ each other than a present neighbour replace it. The graph holds every row; round
 neighbours rises by less than GAIN.
 
 A query walks the undirected graph: from its own node and a few entry nodes, the best unexpanded candidates are expanded
-again and again until all of its pool are expanded. Scores are cosines of the original vectors in double precision.
+again and again until all of its pool are expanded. Entries are nodes of other queries, dealt so that each serves few
+queries and none is a hot key. Recall is measured on up to PROBES queries against all rows; while it is below TARGET, the
+pool is doubled and the walk goes on from what it has, up to a pool of all nodes. With exact=True every query is compared with all rows, block by
+block, instead. Scores are cosines of the original vectors in double precision.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; shorter ones count as if zeros followed.
 Fewer candidates than k: all of them. Ties go to the smaller id. Null ids take no part; an empty table gives no rows.
@@ -27,6 +30,8 @@ from wavelake.llm.common import remove, save
 
 NEIGHBOURS, BUCKET, CODES, GAIN, CHUNK = 20, 160, 3, 1e-4, 32
 POOL, BEAM, ENTRIES = 400, 64, 16
+#: Queries whose recall is measured and what it must reach; rows of a block of queries and of one of candidates.
+PROBES, TARGET, QUERY_BLOCK, NODE_BLOCK = 128, 0.92, 1024, 8192
 
 
 def best_of(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
@@ -166,28 +171,84 @@ def cosine(a: Column, b: Column, norms: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / norms
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
-    """(q, v, norm: query nodes of the graph) -> q, c, s: each query's pool of best nodes."""
-    around = save(graph.select("id", "nb").unionByName(graph.select(F.col("nb").alias("id"), F.col("id").alias("nb"))).distinct(), "around")
-    targets = nodes.select(F.col("id").alias("c"), F.col("v").alias("cv"), F.col("norm").alias("cn"))
-    asked = queries.select("q", "v", "norm")
+def entries_of(asked: DataFrame, n: int) -> DataFrame:
+    """q, c: each of the n query nodes itself and ENTRIES other query nodes. Query nodes stand in rings of about 8 ENTRIES by
+    a hash, and those that follow one in its ring are its entries, so each is an entry of ENTRIES queries at most."""
+    rings = max(1, n // (8 * ENTRIES))
+    ring = Window.partitionBy("ring").orderBy("h")
+    dealt = asked.select("q", F.xxhash64("q").alias("h"), F.pmod(F.xxhash64("q", F.lit(1)), F.lit(rings)).alias("ring"))
+    placed = dealt.withColumn("at", F.row_number().over(ring)).withColumn("of", F.count("*").over(Window.partitionBy("ring")))
+    steps = placed.select("q", "ring", F.explode(F.sequence(F.lit(0), F.least(F.lit(ENTRIES), F.col("of") - 1))).alias("step"), "at", "of")
+    others = placed.select("ring", (F.col("at") - 1).alias("to"), F.col("q").alias("c"))
+    return steps.withColumn("to", (F.col("at") - 1 + F.col("step")) % F.col("of")).join(others, ["ring", "to"]).select("q", "c")
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(targets, "c").join(asked, "q").select("q", "c", cosine(F.col("v"), F.col("cv"), F.col("norm") * F.col("cn")).alias("s"))
 
-    entries = [F.lit(r.id) for r in nodes.orderBy(F.xxhash64("id"), "id").select("id").limit(ENTRIES).collect()]
-    start = asked.select("q", F.explode(F.array_distinct(F.array("q", *entries))).alias("c"))
-    pool = save(scored(start).withColumn("done", F.lit(False)), "pool")
+def walked(pool: DataFrame, asked: DataFrame, targets: DataFrame, around: DataFrame, size: int) -> DataFrame:
+    """The pool (q, c, s, done), once all of each query's best `size` are expanded."""
     while not pool.where("NOT done").isEmpty():
         next_ = best_of(pool.where("NOT done"), "q", [F.desc("s"), "c"], BEAM).select("q", "c", F.lit(True).alias("now"))
         reached = next_.join(around, next_.c == around.id).select("q", F.col("nb").alias("c")).distinct().join(pool.select("q", "c"), ["q", "c"], "left_anti")
         old = pool.join(next_, ["q", "c"], "left").select("q", "c", "s", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        pool = renewed(pool, best_of(old.unionByName(scored(reached).withColumn("done", F.lit(False))), "q", [F.desc("s"), "c"], POOL), "pool")
-    return pool.select("q", "c", "s")
+        pool = renewed(pool, best_of(old.unionByName(scored(reached, asked, targets).withColumn("done", F.lit(False))), "q", [F.desc("s"), "c"], size), "pool")
+    return pool
+
+
+def scored(pairs: DataFrame, asked: DataFrame, targets: DataFrame) -> DataFrame:
+    return pairs.join(targets, "c").join(asked, "q").select("q", "c", cosine(F.col("v"), F.col("cv"), F.col("norm") * F.col("cn")).alias("s"))
+
+
+def greedy_search(asked: DataFrame, nodes: DataFrame, graph: DataFrame, k: int, pool_size: int = POOL) -> DataFrame:
+    """(q, v, norm: query nodes of the graph) -> q, c, s: each query's pool of best nodes. The pool grows until the recall of
+    the k nearest, measured on some of the queries, reaches TARGET."""
+    around = save(graph.select("id", "nb").unionByName(graph.select(F.col("nb").alias("id"), F.col("id").alias("nb"))).distinct(), "around")
+    targets = nodes.select(F.col("id").alias("c"), F.col("v").alias("cv"), F.col("norm").alias("cn"))
+    n, n_nodes = asked.count(), nodes.count()
+    pool = save(scored(entries_of(asked, n), asked, targets).withColumn("done", F.lit(False)), "pool")
+    probes = asked.orderBy(F.xxhash64("q", F.lit(2)), "q").limit(PROBES)
+    least = save(exact_search(probes, nodes, k + 1).groupBy("q").agg(F.min("s").alias("least"), F.count("*").alias("n")), "least")
+    while True:
+        pool = walked(pool, asked, targets, around, pool_size)
+        found = best_of(pool.join(least, "q"), "q", [F.desc("s"), "c"], k + 1).where(F.col("s") >= F.col("least") - 1e-12)
+        right, of = found.count(), least.agg(F.sum("n")).first()[0] or 0
+        if pool_size >= n_nodes or right >= TARGET * of:
+            return pool.select("q", "c", "s")
+        pool_size *= 2
+        pool = renewed(pool, pool.withColumn("done", F.lit(False)), "pool")
+
+
+def packed(rows: DataFrame, key: str, most: int, label: str) -> DataFrame:
+    """(key, v, norm) -> ids (array), x (their unit vectors, doubles): blocks of `most` rows at most."""
+
+    def pack(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, most):
+                part = batch.slice(a, most)
+                unit = np.array(part.column("v").to_pylist()) / part.column("norm").to_numpy()[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(key).to_pylist()], pa.list_(pa.int64())), pa.array([unit.tobytes()], pa.binary())], ["ids", "x"])
+
+    return save(rows.select(key, "v", "norm").mapInArrow(pack, "ids array<bigint>, x binary"), label)
+
+
+def exact_search(asked: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """q, c, s: each query node's k best nodes, itself among them, of all. Blocks of queries meet blocks of nodes, each pair
+    by one product, and hand on k nodes for each query."""
+    ours, theirs = packed(asked, "q", QUERY_BLOCK, "queries"), packed(nodes, "id", NODE_BLOCK, "candidates")
+
+    def compare(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, c = (np.frombuffer(row[x]).reshape(len(row[i]), -1) for x, i in (("x", "ids"), ("y", "names")))
+                s, names = q @ c.T, np.array(row["names"])
+                m = min(k, len(names))
+                at = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row["ids"], m)), pa.array(names[at].ravel()), pa.array(np.take_along_axis(s, at, 1).ravel())], ["q", "c", "s"])
+
+    pairs = ours.crossJoin(theirs.select(F.col("ids").alias("names"), F.col("x").alias("y")))
+    return best_of(pairs.mapInArrow(compare, "q bigint, c bigint, s double"), "q", [F.desc("s"), "c"], k)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
-    """(vec_id, embedding) -> query_id, rank, vec_id, score: each query row's k nearest other rows found."""
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, exact: bool = False) -> DataFrame:
+    """(vec_id, embedding) -> query_id, rank, vec_id, score: each query row's k nearest other rows found (with exact, of all)."""
     own = valid_vectors(vectors)
     longest = own.agg(F.max(F.size("v"))).first()[0] or 0
     padded = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v")))
@@ -196,7 +257,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     members = save(own.select("vec_id", "k1", "k2").join(nodes.select("id", "k1", "k2"), ["k1", "k2"]).select("vec_id", "id"), "members")
     queries = members.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("id").alias("q"))
     asked = nodes.join(queries.select(F.col("q").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("q"), "v", "norm")
-    found = greedy_search(save(asked, "asked"), nodes, build_graph(nodes))
+    asked = save(asked, "asked")
+    if exact:  # near ties of the last place are scored again below, in the order of the other way's sums
+        near = exact_search(asked, nodes, 4 * k).select("q", "c")
+        found = scored(near, asked, nodes.select(F.col("id").alias("c"), F.col("v").alias("cv"), F.col("norm").alias("cn")))
+    else:
+        found = greedy_search(asked, nodes, build_graph(nodes), k)
     few = best_of(members, "id", ["vec_id"], k + 1)
     hits = best_of(found, "q", [F.desc("s"), "c"], 4 * k).join(few, F.col("c") == F.col("id")).select("q", "vec_id", F.col("s").alias("score"))
     hits = best_of(hits, "q", [F.desc("score"), "vec_id"], k + 1)
