@@ -37,38 +37,38 @@ from wavelake.llm.common import bounded, save
 
 #: Documents of its language that a kept term is in, and ranks of the list of terms (fixed values).
 LEAST_DOCUMENTS, RANKS = 10, 10
-#: Groups that a light term is in at most, groups and terms of a tile, salts of a join by group, counted words held in a task.
-LIGHT, TILE, TERMS, SALTS, COUNTED = 8, 128, 512, 64, 100_000
+#: Groups that a light term is in at most, groups and terms of a tile, salts of a join by group, counted words held in a
+#: task, and bytes of text after which it is seen whether they are too many.
+LIGHT, TILE, TERMS, SALTS, COUNTED, HELD_BYTES = 8, 128, 512, 64, 300_000, 4 << 20
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def task_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text) -> lang, source, term, tf (occurrences), df (documents), added up while they fit in COUNTED; one
-    row of a null term for each group."""
-    tf: Counter[tuple[str, str, bytes | None]] = Counter()
-    df: Counter[tuple[str, str, bytes | None]] = Counter()
-    held = 0
+    """(lang, source, text) -> lang, source, term, tf (occurrences), df (documents), added up until there are more than
+    COUNTED; one row of a null term for each group."""
+    tf: dict[tuple[str, str], Counter[bytes]] = {}
+    df: dict[tuple[str, str], Counter[bytes]] = {}
+    read = 0
 
     def flushed() -> pa.RecordBatch:
-        keys = list(tf)
-        columns = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)]
-        columns.append(pa.array([k[2] for k in keys], pa.binary()).cast(pa.string()))
-        return pa.RecordBatch.from_arrays([*columns, pa.array([tf[k] for k in keys], pa.int64()), pa.array([df[k] for k in keys], pa.int64())], ["lang", "source", "term", "tf", "df"])
+        groups = [(group, len(own)) for group, own in tf.items()]
+        names = [pa.array([group[i] for group, n in groups for _ in range(n + 1)], pa.string()) for i in (0, 1)]
+        terms = pa.array([t for own in tf.values() for t in (None, *own)], pa.binary()).cast(pa.string())
+        counts = [pa.array([n for own in held.values() for n in (0, *own.values())], pa.int64()) for held in (tf, {g: {t: df[g][t] for t in own} for g, own in tf.items()})]
+        return pa.RecordBatch.from_arrays([*names, terms, *counts], ["lang", "source", "term", "tf", "df"])
 
     for batch in batches:
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            words = TERM.findall((text or b"").lower())
             group = (lang or "", source or "")
-            tf[(*group, None)] += 0
-            for term, n in Counter(TERM.findall((text or b"").lower())).items():
-                key = (*group, term)
-                held += len(term) if key not in tf else 0
-                tf[key] += n
-                df[key] += 1
-            if len(tf) > COUNTED or held > 16 * COUNTED:
-                yield flushed()
-                tf.clear()
-                df.clear()
-                held = 0
+            tf.setdefault(group, Counter()).update(words)
+            df.setdefault(group, Counter()).update(set(words))
+            read += len(text or b"")
+        if read > HELD_BYTES and (sum(map(len, tf.values())) > COUNTED or sum(len(t) for own in tf.values() for t in own) > 16 * COUNTED):
+            yield flushed()
+            tf.clear()
+            df.clear()
+        read = 0 if read > HELD_BYTES else read
     if tf:
         yield flushed()
 
