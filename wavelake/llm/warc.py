@@ -1,14 +1,18 @@
 """WARC: a deterministic sharded writer and a reader.
 
-Pages are dealt to shards by ranges of page_id that hold about equal payload bytes (from an exact histogram), each shard
-is written in page_id order by one task, and a new file starts when the current one's compressed bytes reach the limit.
+Pages are dealt to shards by ranges of page_id that hold about equal payload bytes: ids are cut by their bytes, from the
+first on, and wherever a range holds more than a shard it is cut by its next byte, so ids may lie as unevenly as they
+like; only one id's repeated rows can exceed a shard. Each shard is written in page_id order by one task, and a new file
+starts when the current one's compressed bytes reach the limit.
 Every record is its own gzip member with fixed time stamps, headers and digests made anew, so the same pages give the same
 bytes. A file is written under a temporary name and renamed when whole; a repeated task renames the same bytes over it.
-The manifest, a table of files with sizes and digests, is written last and is what readers go by.
+The manifest, a table of files with sizes and digests, is written last and is what readers go by; they check both.
 
 Of pages with equal payloads of at least REVISIT_BYTES bytes, that with the largest page_id is a response, others are
 revisits that name it. Smaller ones are all responses. Of repeated rows of that page, one is the response. Null html is an
-empty payload; a null url leaves the target out; null page_ids come first, take no part in revisits and are read back null.
+empty payload; a null url leaves the target out; null page_ids come first, in shards of their own that a hash deals them
+to, take no part in revisits and are read back null. A payload of any length is one record, held whole by the task that
+writes it. An empty table gives an empty manifest and reads back without rows. Columns of other names play no part.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import bounded, shared_dir
+from wavelake.llm.common import bounded, save, shared_dir
 
-REVISIT_BYTES, FILE_BYTES, SHARD_BYTES, BUCKETS = 1000, 16 << 20, 64 << 20, 4096
+REVISIT_BYTES, FILE_BYTES, SHARD_BYTES = 1000, 16 << 20, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_URN = "urn:x-page:"
@@ -101,19 +105,55 @@ def revisits(pages: DataFrame) -> DataFrame:
     return large.groupBy(F.sha2("payload", 256).alias("digest")).agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").select("digest", "holder")
 
 
-def shard_of(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple:
-    """A column that numbers page_id ranges of about shard_bytes of payload, and how many there are."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return F.lit(0), 1
-    width = (high - low) // BUCKETS + 1
-    bucket = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int")
-    sizes = {r.b: r.n for r in pages.groupBy(bucket.alias("b")).agg(F.sum(F.octet_length("payload") + 500).alias("n")).collect()}  # BUCKETS rows at most
-    numbers, total = [], 0
-    for b in range(BUCKETS):
-        numbers.append(total // shard_bytes)
-        total += sizes.get(b, 0)
-    return F.element_at(F.lit(numbers), bucket + 1), numbers[-1] + 1
+def digit_of(page_id: Column, level: int) -> Column:
+    """The id's byte of that level, the first is 0, in the order of signed ids."""
+    return F.shiftrightunsigned(page_id.bitwiseXOR(F.lit(-(1 << 63))), 56 - 8 * level).bitwiseAND(F.lit(255)).cast("int")
+
+
+def shard_of(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[Column, int]:
+    """A column that numbers ranges of page_id of about shard_bytes of payload, and how many there are.
+
+    A tree over the bytes of ids: a node has 256 children, and a child with more than shard_bytes is a node itself. The driver
+    holds the tree, 256 numbers for each heavy range; ranges are counted in Spark, a level at a time, from ids and sizes alone.
+    """
+    sizes = save(pages.select("page_id", (F.octet_length("payload") + 500).cast("long").alias("n")), "page-sizes")
+    nulls = sizes.where("page_id IS NULL").agg(F.sum("n")).first()[0] or 0
+    of_nulls = -(-nulls // shard_bytes)
+    held = sizes.where("page_id IS NOT NULL").groupBy("page_id").agg(F.sum("n").alias("n"))
+    # an entry is the number of the child's node or, where the tree ends, -1 less the shard
+    tree, weights, heavy = [-1] * 256, [0] * 256, [0]
+    for level in range(8):
+        at = followed(tree, level)
+        rows = held.groupBy(at.alias("node"), digit_of(F.col("page_id"), level).alias("digit")).agg(F.sum("n").alias("n")).where(F.col("node").isin(heavy)).collect() if heavy else []
+        heavy = []
+        for r in sorted(rows):
+            weights[r.node * 256 + r.digit] = r.n
+            if r.n > shard_bytes and level < 7:
+                heavy.append(len(tree) // 256)
+                tree[r.node * 256 + r.digit] = heavy[-1]
+                tree += [-1] * 256
+                weights += [0] * 256
+    total = 0
+
+    def number(node: int) -> None:
+        nonlocal total
+        for k in range(node * 256, node * 256 + 256):
+            if tree[k] >= 0:
+                number(tree[k])
+            else:
+                tree[k] = -1 - (of_nulls + total // shard_bytes)
+                total += weights[k]
+
+    number(0)
+    null_shard = F.pmod(F.xxhash64("url", "payload"), F.lit(max(1, of_nulls))).cast("int")
+    return F.when(F.col("page_id").isNull(), null_shard).otherwise(-1 - followed(tree, 8)), of_nulls + max(1, -(-total // shard_bytes))
+
+
+def followed(tree: list[int], levels: int) -> Column:
+    """Where an id comes to by so many of its bytes: a node, or the negative entry where it left the tree."""
+    digits = F.array(*(digit_of(F.col("page_id"), k) for k in range(levels))).cast("array<int>")
+    entries = F.split(F.lit(",".join(map(str, tree))), ",").cast("array<int>")  # one constant, where a list would be one of each number
+    return F.aggregate(digits, F.lit(0), lambda at, digit: F.when(at < 0, at).otherwise(F.element_at(entries, at * 256 + digit + 1)))
 
 
 @bounded
@@ -193,6 +233,19 @@ class ShardFiles:
 # ---------------------------------------------------------------- reading
 
 
+class Seen:
+    """A stream whose bytes are counted and digested as they are read."""
+
+    def __init__(self, stream):
+        self.stream, self.bytes, self.hash = stream, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.bytes += len(data)
+        self.hash.update(data)
+        return data
+
+
 def read(spark: SparkSession, place: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record of the manifest's files."""
     files = spark.read.schema("file string, records bigint, bytes bigint, sha256 string").parquet(f"{place}/manifest")
@@ -201,15 +254,16 @@ def read(spark: SparkSession, place: str) -> DataFrame:
     def get(batches):
         system, folder = fs.FileSystem.from_uri(place)
         for batch in batches:
-            for name, records in zip(batch.column("file").to_pylist(), batch.column("records").to_pylist(), strict=True):
-                rows = []
+            for line in batch.to_pylist():
+                name, rows = line["file"], []
                 with system.open_input_stream(f"{folder}/{name}", compression=None) as stream:
-                    rows = [parsed(raw) for raw in members(stream)]
-                if len(rows) != records:
-                    raise ValueError(f"{name} has {len(rows)} records; the manifest says {records}")
+                    seen = Seen(stream)
+                    rows = [parsed(raw) for raw in members(seen)]
+                if (len(rows), seen.bytes, seen.hash.hexdigest()) != (line["records"], line["bytes"], line["sha256"]):
+                    raise ValueError(f"{name} has {len(rows)} records in {seen.bytes} bytes, or another digest; the manifest says {line['records']} in {line['bytes']}")
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("file", "records").repartition(max(1, spark.sparkContext.defaultParallelism), "file").mapInArrow(get, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return files.repartition(max(1, spark.sparkContext.defaultParallelism), "file").mapInArrow(get, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def archived(pages: DataFrame) -> DataFrame:
