@@ -34,9 +34,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (the tokens of the whole text), decoded (what they decode to), and the other columns but text."""
-    others = tuple(c for c in docs.columns if c not in ("text", "ids", "decoded", "n_tokens"))
-    coded = pieces.decode(pieces.encode(docs, keep=others))
+    """doc_id, n_tokens, ids (the tokens of the whole text), decoded (what they decode to), and the other columns but text.
+    Input columns with these three names are kept as input_n_tokens, input_ids and input_decoded."""
+    held = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("kept"), "text")
+    coded = pieces.decode(pieces.encode(held, keep=("kept",)))
+    others = (F.col("kept").getField(c).alias(f"input_{c}" if c in ("n_tokens", "ids", "decoded") else c) for c in docs.columns if c != "text")
     return coded.select(*others, F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
