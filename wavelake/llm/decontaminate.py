@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavelake.llm.common import bounded, save, scratch, texts
 
@@ -256,11 +257,15 @@ def covered(start: str, end: str) -> Column:
 
 def proximity_matches(index: DataFrame, queries: DataFrame, slop: int = 20) -> DataFrame:
     """(item_id, text) queries, each few words -> (item_id, doc_id, position): places of a query's rarest word, in words
-    from the document's start, that have each of its other words at most slop words away in the same document."""
+    from the document's start, that have each of its other words at most slop words away in the same document. Item ids
+    may be strings or whole numbers; those of documents are of the index's type."""
     spark = index.sparkSession
     wanted = [(r.item_id, list(dict.fromkeys(words_of((r.text or "").encode())))) for r in queries.select("item_id", "text").toLocalIterator()]
     often = frequencies(index, {w for _, ws in wanted for w in ws})
     sent = spark.sparkContext.broadcast([(i, sorted(ws, key=lambda w: (often.get(w, 0), w))) for i, ws in wanted if ws])
+    names = {True: "string", False: "bigint"}
+    kinds = [names[isinstance(t, T.StringType)] for t in (queries.schema["item_id"].dataType, index.schema["doc_ids"].dataType.elementType)]
+    arrow = [pa.string() if k == "string" else pa.int64() for k in kinds] + [pa.int64()]
 
     def match(batches):
         for batch in batches:
@@ -279,9 +284,9 @@ def proximity_matches(index: DataFrame, queries: DataFrame, slop: int = 20) -> D
                         at = at[np.searchsorted(other, low) < np.searchsorted(other, high, "right")]
                     d = part.document(at)
                     out += [(item, part.doc_ids[x], int(p)) for x, p in zip(d.tolist(), at - part.starts[d], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64()))], ["item_id", "doc_id", "position"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(arrow)], ["item_id", "doc_id", "position"])
 
-    return index.mapInArrow(match, "item_id bigint, doc_id bigint, position bigint")
+    return index.mapInArrow(match, f"item_id {kinds[0]}, doc_id {kinds[1]}, position bigint")
 
 
 def contamination(documents: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
