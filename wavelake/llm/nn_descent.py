@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from wavelake.llm.common import remove, save
 
-NEIGHBOURS, BUCKET, CODES, GAIN, CHUNK = 20, 160, 3, 1e-4, 32
-POOL, BEAM, ENTRIES = 400, 64, 16
+NEIGHBOURS, BUCKET, CODES, GAIN, CHUNK = 20, 160, 3, 1e-3, 32
+POOL, BEAM, ENTRIES = 400, 160, 16
 #: Queries whose recall is measured and what it must reach; rows of a block of queries and of one of candidates.
 PROBES, TARGET, QUERY_BLOCK, NODE_BLOCK = 128, 0.92, 1024, 8192
 
@@ -183,14 +183,28 @@ def entries_of(asked: DataFrame, n: int) -> DataFrame:
     return steps.withColumn("to", (F.col("at") - 1 + F.col("step")) % F.col("of")).join(others, ["ring", "to"]).select("q", "c")
 
 
-def walked(pool: DataFrame, asked: DataFrame, targets: DataFrame, around: DataFrame, size: int) -> DataFrame:
-    """The pool (q, c, s, done), once all of each query's best `size` are expanded."""
-    while not pool.where("NOT done").isEmpty():
-        next_ = best_of(pool.where("NOT done"), "q", [F.desc("s"), "c"], BEAM).select("q", "c", F.lit(True).alias("now"))
-        reached = next_.join(around, next_.c == around.id).select("q", F.col("nb").alias("c")).distinct().join(pool.select("q", "c"), ["q", "c"], "left_anti")
-        old = pool.join(next_, ["q", "c"], "left").select("q", "c", "s", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        pool = renewed(pool, best_of(old.unionByName(scored(reached, asked, targets).withColumn("done", F.lit(False))), "q", [F.desc("s"), "c"], size), "pool")
-    return pool
+def states(rows: DataFrame, size: int) -> DataFrame:
+    """(q, c, s, done) -> q, pool: each query's `size` best in one array of (far, c, done), the nearest first; far is -s."""
+    entry = F.struct((-F.col("s")).alias("far"), "c", "done")
+    return best_of(rows, "q", [F.desc("s"), "c"], size).groupBy("q").agg(F.array_sort(F.collect_list(entry)).alias("pool"))
+
+
+def walked(state: DataFrame, asked: DataFrame, targets: DataFrame, around: DataFrame, size: int) -> DataFrame:
+    """The pools (q, pool), once all of each query's best `size` are expanded. Only new candidates are scored."""
+    waiting = F.filter("pool", lambda x: ~x["done"])
+    while not state.where(F.exists("pool", lambda x: ~x["done"])).isEmpty():
+        now = state.select("q", "pool", F.slice(waiting, 1, BEAM).alias("now"))
+        next_ = now.select("q", F.explode("now.c").alias("at"))
+        reached = next_.join(around, F.col("at") == F.col("id")).select("q", F.col("nb").alias("c"), F.lit(False).alias("known"))
+        known = state.select("q", F.explode("pool.c").alias("c"), F.lit(True).alias("known"))
+        fresh = reached.unionByName(known).groupBy("q", "c").agg(F.max("known").alias("known")).where("NOT known").select("q", "c")
+        # the pool is in order, so what is expanded now ends at the last of these
+        edge = F.try_element_at("now", F.lit(-1)).alias("edge")
+        old = now.select("q", "pool", edge).select("q", "edge", F.explode("pool").alias("x"))
+        done = F.coalesce(F.struct("x.far", "x.c") <= F.struct("edge.far", "edge.c"), F.lit(True)) | F.col("x.done") | F.col("edge").isNull()
+        old = old.select("q", "x.c", (-F.col("x.far")).alias("s"), done.alias("done"))
+        state = renewed(state, states(old.unionByName(scored(fresh, asked, targets).withColumn("done", F.lit(False))), size), "pool")
+    return state
 
 
 def scored(pairs: DataFrame, asked: DataFrame, targets: DataFrame) -> DataFrame:
@@ -203,17 +217,19 @@ def greedy_search(asked: DataFrame, nodes: DataFrame, graph: DataFrame, k: int,
     around = save(graph.select("id", "nb").unionByName(graph.select(F.col("nb").alias("id"), F.col("id").alias("nb"))).distinct(), "around")
     targets = nodes.select(F.col("id").alias("c"), F.col("v").alias("cv"), F.col("norm").alias("cn"))
     n, n_nodes = asked.count(), nodes.count()
-    pool = save(scored(entries_of(asked, n), asked, targets).withColumn("done", F.lit(False)), "pool")
+    state = save(states(scored(entries_of(asked, n), asked, targets).withColumn("done", F.lit(False)), pool_size), "pool")
     probes = asked.orderBy(F.xxhash64("q", F.lit(2)), "q").limit(PROBES)
     least = save(exact_search(probes, nodes, k + 1).groupBy("q").agg(F.min("s").alias("least"), F.count("*").alias("n")), "least")
     while True:
-        pool = walked(pool, asked, targets, around, pool_size)
-        found = best_of(pool.join(least, "q"), "q", [F.desc("s"), "c"], k + 1).where(F.col("s") >= F.col("least") - 1e-12)
-        right, of = found.count(), least.agg(F.sum("n")).first()[0] or 0
+        state = walked(state, asked, targets, around, pool_size)
+        first = F.slice("pool", 1, k + 1)
+        near = state.join(least, "q").select(F.size(F.filter(first, lambda x: -x["far"] >= F.col("least") - 1e-12)).alias("right"), "n")
+        right, of = (x or 0 for x in near.agg(F.sum("right"), F.sum("n")).first())
         if pool_size >= n_nodes or right >= TARGET * of:
-            return pool.select("q", "c", "s")
+            return state.select("q", F.explode("pool").alias("x")).select("q", "x.c", (-F.col("x.far")).alias("s"))
         pool_size *= 2
-        pool = renewed(pool, pool.withColumn("done", F.lit(False)), "pool")
+        again = F.transform("pool", lambda x: F.struct(x["far"].alias("far"), x["c"].alias("c"), F.lit(False).alias("done")))
+        state = renewed(state, state.select("q", again.alias("pool")), "pool")
 
 
 def packed(rows: DataFrame, key: str, most: int, label: str) -> DataFrame:
