@@ -28,6 +28,9 @@ from wavelake.llm.common import bounded, fold_of, texts, with_field
 
 SAMPLE, LEXICON, VOTERS, FOLDS = 20_000, 600, 24, 5
 LEAST_TOXIC, LEAST_ODDS, LABEL_ACCURACY = 5, 3.0, 0.9
+#: Both fits end when nothing changes by more than CLOSE. The label model's weights of evidence are fixed after SHARE_ROUNDS
+#: rounds, as a correlation that crosses its threshold to and fro would keep it from an end; after MOST_ROUNDS it raises.
+CLOSE, SHARE_ROUNDS, MOST_ROUNDS = 1e-6, 30, 10_000
 WORD = re.compile(r"[^\W\d_]{3,}")
 PATTERNS = ("any", "two", "four", "dense", "whole_word", "beginning", "none")
 
@@ -93,27 +96,36 @@ def votes_of(hits: list[int], patterns: np.ndarray, voters: np.ndarray) -> np.nd
     return votes
 
 
-def label_model(votes: np.ndarray, weight: np.ndarray, rate: float, rounds: int = 30, labels: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+def label_model(votes: np.ndarray, weight: np.ndarray, rate: float, rounds: int | None = None, labels: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
     """Posterior probability of toxic for each row of votes (0 or 1), and the model: firing rates by class, evidence weights.
 
     Given labels are one more voter, of the fixed accuracy LABEL_ACCURACY: they keep the model's two classes toxic and clean.
+    The model goes on to its fixed point, or for a stated number of rounds.
     """
     said = 0.0 if labels is None else np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)) * (2 * labels - 1)
     toxic = np.clip(votes[:, VOTERS], 0.05, 0.95)  # begins with the vote of any hit
     share = np.ones(votes.shape[1])
-    for _ in range(rounds):
+    for turn in range(MOST_ROUNDS if rounds is None else rounds):
         p = {}
         for y, belief in ((1, toxic), (0, 1 - toxic)):
             w = weight * belief
             p[y] = np.clip((w @ votes + 0.5) / (w.sum() + 1), 1e-4, 1 - 1e-4)
         prior = np.clip((weight @ toxic + rate * 10) / (weight.sum() + 10), 1e-3, 1 - 1e-3)
-        residual = [(votes - p[y]) * np.sqrt(weight * b)[:, None] for y, b in ((1, toxic), (0, 1 - toxic))]
-        cov = sum(r.T @ r for r in residual) / weight.sum()
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        correlation = np.abs(cov / scale[:, None] / scale)
-        share = 1 / np.maximum(1.0, np.where(correlation > 0.1, correlation, 0).sum(axis=1))
+        if rounds is not None or turn < SHARE_ROUNDS:
+            residual = [(votes - p[y]) * np.sqrt(weight * b)[:, None] for y, b in ((1, toxic), (0, 1 - toxic))]
+            cov = sum(r.T @ r for r in residual) / weight.sum()
+            scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+            correlation = np.abs(cov / scale[:, None] / scale)
+            share = 1 / np.maximum(1.0, np.where(correlation > 0.1, correlation, 0).sum(axis=1))
         odds = said + np.log(prior / (1 - prior)) + (votes * (np.log(p[1]) - np.log(p[0])) + (1 - votes) * (np.log1p(-p[1]) - np.log1p(-p[0]))) @ share
-        toxic = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        belief, before = 1 / (1 + np.exp(-np.clip(odds, -30, 30))), toxic
+        # with fixed weights, steps of half the way can't swing between two states
+        toxic = belief if rounds is not None or turn < SHARE_ROUNDS else (belief + before) / 2
+        if rounds is None and turn >= SHARE_ROUNDS and np.abs(belief - before).max(initial=0) < CLOSE:
+            break
+    else:
+        if rounds is None:
+            raise ArithmeticError(f"the label model has no fixed point within {MOST_ROUNDS} rounds")
     return toxic, {"prior": prior, "fires": p, "share": share, "correlation": correlation}
 
 
@@ -147,19 +159,26 @@ def fit(documents: DataFrame, labels: DataFrame, held_out: int = 0, size: int =
     return number, linear_classifier(np.hstack([x, patterns]), posterior, weight)
 
 
-def linear_classifier(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
-    """Logistic regression on soft labels and weighted rows by Newton steps; the last weight is the constant."""
+def linear_classifier(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Logistic regression on soft labels and weighted rows by Newton steps, each halved until the loss falls; the last
+    weight is the constant. The loss is strictly convex, so the steps go to nothing."""
     x = np.hstack([x, np.ones((len(x), 1))])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return weight @ (np.logaddexp(0, z) - y * z) + ridge / 2 * w @ w
+
     w = np.zeros(x.shape[1])
-    for _ in range(rounds):
+    while True:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - y)) + ridge * w
         curve = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(curve, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+        while np.abs(step).max() >= CLOSE and loss(w - step) >= loss(w):
+            step /= 2
+        w = w - step
+        if np.abs(step).max() < CLOSE:
+            return w
 
 
 @bounded
