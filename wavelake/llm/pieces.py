@@ -31,7 +31,7 @@ from wavelake.llm.prints import runs
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Pre-tokens up to this many bytes are encoded in lockstep, longer ones singly; pre-tokens kept by a worker.
-LOCKSTEP_BYTES, CACHE_ENTRIES = 64, 300_000
+LOCKSTEP_BYTES, CACHE_ENTRIES, CACHED_BYTES = 64, 300_000, 64
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
 
@@ -232,13 +232,19 @@ def default_model() -> str:
 
 
 class Cache(dict):
-    """Pre-token -> ids; emptied when full."""
+    """Pre-token -> ids, for CACHE_ENTRIES pre-tokens of CACHED_BYTES at most; emptied when full."""
 
-    def learn(self, vocabulary: Vocabulary, lists: list[list[bytes]]) -> None:
+    def coded(self, vocabulary: Vocabulary, lists: list[list[bytes]]) -> list[bytes]:
+        """The ids of each list's pre-tokens. Longer pre-tokens are forgotten after the call."""
         if len(self) > CACHE_ENTRIES:
             self.clear()
         new = list({w for words in lists for w in words if w not in self})
         self.update((w[1:], ids) for w, ids in vocabulary.encode_words([b" " + w for w in new]))
+        made = [b"".join(map(self.__getitem__, words)) for words in lists]
+        for w in new:
+            if len(w) > CACHED_BYTES:
+                del self[w]
+        return made
 
 
 @bounded
@@ -253,9 +259,7 @@ def encode(documents: DataFrame, model: str | None = None, scores: str = "zipf",
         for batch in batches:
             own = texts(batch)
             for a, b in runs([len(x) for x in own], 4 << 20):
-                lists = [pre_tokens(x) for x in own[a:b]]
-                cache.learn(vocabulary, lists)
-                coded = [b"".join(map(cache.__getitem__, words)) for words in lists]
+                coded = cache.coded(vocabulary, [pre_tokens(x) for x in own[a:b]])
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
                 part = batch.slice(a, b - a)

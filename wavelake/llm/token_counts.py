@@ -6,7 +6,8 @@ pre-tokens within each task over all documents; only each task's most frequent o
 TABLE_ENTRIES of them go to every worker with their lengths (about 1 MB). A worker encodes what the table lacks with the
 library, once, and keeps it in a bounded cache. Counts are exact whatever the table holds.
 
-Null texts are empty: 0 bytes, 0 tokens. Repeated rows stay rows.
+Null texts are empty: 0 bytes, 0 tokens. Repeated rows stay rows; an empty table gives none. Texts of any length are
+counted whole, and no cache holds pre-tokens over 64 bytes.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 from wavelake.llm.common import bounded, texts
 from wavelake.llm.pieces import default_model, load_vocabulary, pre_tokens
 
-TABLE_ENTRIES, TASK_ENTRIES, CACHE_ENTRIES, COUNTED = 1 << 15, 1 << 13, 400_000, 500_000
+TABLE_ENTRIES, TASK_ENTRIES, CACHE_ENTRIES, COUNTED, CACHED_BYTES = 1 << 15, 1 << 13, 400_000, 500_000, 64
 
 
 class Lengths(dict):
-    """Pre-token -> number of tokens: the frequent ones always, others as they come, until the cache is full."""
+    """Pre-token -> number of tokens: the frequent ones always, others of CACHED_BYTES at most as they
+    come, until the cache is full. Longer ones are encoded anew each time."""
 
     def __init__(self, model: bytes, frequent: dict[bytes, int]):
         import sentencepiece
@@ -34,10 +36,13 @@ class Lengths(dict):
         self[b""] = self.frequent[b""] = len(self.library.encode("a ")) - len(self.library.encode("a"))  # a marker alone
 
     def __missing__(self, word: bytes) -> int:
+        n = len(self.library.encode(word.decode()))
+        if len(word) > CACHED_BYTES:
+            return n
         if len(self) > CACHE_ENTRIES:
             self.clear()
             self.update(self.frequent)
-        self[word] = n = len(self.library.encode(word.decode()))
+        self[word] = n
         return n
 
 
@@ -48,10 +53,10 @@ def frequent_pre_tokens(documents: DataFrame, entries: int = TABLE_ENTRIES) -> l
         seen: Counter = Counter()
         for batch in batches:
             for text in texts(batch):
-                seen.update(pre_tokens(text))
+                seen.update(w for w in pre_tokens(text) if len(w) <= CACHED_BYTES)
                 if len(seen) > COUNTED:
                     seen = Counter(dict(seen.most_common(COUNTED // 4)))
-        top = [(w, n) for w, n in seen.most_common(TASK_ENTRIES) if len(w) <= 64]
+        top = seen.most_common(TASK_ENTRIES)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
     rows = documents.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries).collect()
