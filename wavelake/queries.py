@@ -486,12 +486,14 @@ EVENTS = "(SELECT user_id AS trace, row_number() OVER (PARTITION BY user_id ORDE
 
 
 def streamed(spark: SparkSession, d: str, kernel: carried.Kernel) -> DataFrame:
-    """The events of each user as a trace, cut into chunks of 16, which a stream takes up file by file."""
+    """The events of each user as a trace, cut into chunks of 16, which a stream takes up in about four batches, each of as
+    many files as the cluster has cores."""
     events = table(spark, d, "events").select(F.col("user_id").alias("trace"), "ts", "event_id", "value")
     cut = chunks.chunked(events, ["trace"], ["ts", "event_id"], "value", "ts", 16)
     place = fresh_path(spark, "chunks")
-    cut.repartitionByRange(4, "first").write.parquet(f"{place}/in")
-    stream = chunks.chunk_stream(spark, f"{place}/in", cut.schema)
+    files = max(1, spark.sparkContext.defaultParallelism)
+    cut.repartitionByRange(4 * files, "first", "trace").write.parquet(f"{place}/in")
+    stream = chunks.chunk_stream(spark, f"{place}/in", cut.schema, files)
     chunks.written(chunks.carried(stream, kernel, ["trace"], "36500 days"), f"{place}/out", f"{place}/checkpoint").awaitTermination()
     made = spark.read.parquet(f"{place}/out").select("trace", "first", F.posexplode("amp").alias("k", "value"))
     return made.select("trace", (F.col("first") + F.col("k")).alias("it"), "value")

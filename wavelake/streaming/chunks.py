@@ -6,18 +6,22 @@ Samples that were already there are ignored, so a chunk that comes twice, or ove
 filled until the watermark is `patience` behind the first waiting chunk, an event-time timer gives it up: its samples
 count as zeros, aren't put out, and are ignored when they come after all.
 
-State of a key: the next sample's number, the kernel's few numbers, and what waits; a stream may be stopped and started
+State of a trace: the next sample's number, the kernel's few numbers, and what waits; a stream may be stopped and started
 again from its checkpoint at any time. What waits behind a gap at the end of a stream stays in the state.
 Rows of null first, amp or ts are ignored; a null key is a key.
+
+A group of Spark's state is a bucket of traces (by a hash of their keys), not one trace: its state is read once and written
+once a batch, for all its traces, so that calls to the state store don't grow with traces. A worker holds one bucket's
+states and its chunks of a batch. Buckets are fixed when a stream first starts; a stream can't go on with another number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -29,86 +33,94 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Samples of a gap that are worked on at a time.
 GAP_BLOCK = 1 << 16
+#: Buckets that share out the traces: many more than tasks, and few enough that a bucket has many traces.
+BUCKETS = 1024
+#: Keys go through Python and its state as JSON, which keeps all of their values.
+AS_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+@dataclass
+class Trace:
+    """What is next, the kernel's state, and chunks that wait: first -> (samples, due)."""
 
-Waiting = dict[int, tuple[list[float], int]]
+    next_: int
+    carry: list[float]
+    waits: dict[int, tuple[list[float], int]] = field(default_factory=dict)
+
+    def due(self) -> int | None:
+        """When the gap before the first waiting chunk is given up."""
+        return self.waits[min(self.waits)][1] if self.waits else None
 
 
 class Carried(StatefulProcessor):
-    """One trace: what is next, the kernel's state, and chunks that wait."""
+    """One bucket of traces."""
 
-    def __init__(self, kernel: Kernel, keys: list[str], patience_ms: int) -> None:
-        self.kernel, self.keys, self.patience_ms = kernel, keys, patience_ms
+    def __init__(self, kernel: Kernel) -> None:
+        self.kernel = kernel
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "next bigint, carry array<double>")
-        self.waits = handle.getMapState("waits", "first bigint", "amp array<double>, due bigint")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        next_, carry = self.placed()
-        held = self.held()
-        waiting = dict(held)
-        for frame in rows:
-            for first, amp, ts in zip(frame["first"], frame["amp"], frame["ts"], strict=True):
-                if pd.isna(first) or amp is None or pd.isna(ts):
-                    continue
-                due = int(pd.Timestamp(ts).value // 1_000_000) + self.patience_ms
-                if first not in waiting or len(amp) > len(waiting[first][0]):
-                    waiting[int(first)] = (list(amp), due)
-        yield from self.advanced(key, next_, carry, held, waiting)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The gap before the first waiting chunk counts as zeros, if that chunk's own time has come."""
-        next_, carry = self.placed()
-        held = self.held()
-        if held and held[min(held)][1] <= expiredTimerInfo.getExpiryTimeInMs():
-            while next_ < min(held):
-                n = min(GAP_BLOCK, min(held) - next_)
-                _, carry = self.kernel(np.zeros(n), carry)
-                next_ += n
-        yield from self.advanced(key, next_, carry, held, dict(held))
-
-    def placed(self) -> tuple[int, list[float]]:
-        if not self.place.exists():
-            return 0, list(self.kernel.start)
-        next_, carry = self.place.get()
-        return next_, list(carry)
-
-    def held(self) -> Waiting:
-        return {k[0]: (list(v[0]), v[1]) for k, v in self.waits.iterator()} if self.waits.exists() else {}
-
-    def advanced(self, key: tuple, next_: int, carry: list[float], held: Waiting, waiting: Waiting) -> Iterator[pd.DataFrame]:
-        """Works on what is next, keeps the rest, and sets a timer for the first of it."""
-        made = []
-        for first in sorted(waiting):
-            if first > next_:
+        self.traces = handle.getListState("traces", "key string, next bigint, carry array<double>, waits array<struct<first: bigint, amp: array<double>, due: bigint>>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        traces, touched = self.held(), {}
+        for row in rows:
+            if row.first is None or row.amp is None or row.due_ is None:
+                continue
+            trace = touched[row.key_] = traces.setdefault(row.key_, Trace(0, list(self.kernel.start)))
+            if row.first not in trace.waits or len(row.amp) > len(trace.waits[row.first][0]):
+                trace.waits[row.first] = (row.amp, row.due_)
+        for name, trace in touched.items():
+            yield from self.advanced(name, trace)
+        if touched:
+            self.keep(traces)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        """The gap before a trace's first waiting chunk counts as zeros, if that chunk's own time has come."""
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        traces = self.held()
+        for name, trace in traces.items():
+            if trace.waits and trace.due() <= now:
+                while trace.next_ < min(trace.waits):
+                    n = min(GAP_BLOCK, min(trace.waits) - trace.next_)
+                    _, trace.carry = self.kernel(np.zeros(n), trace.carry)
+                    trace.next_ += n
+                yield from self.advanced(name, trace)
+        self.keep(traces)
+
+    def held(self) -> dict[str, Trace]:
+        return {k: Trace(next_, list(carry), {w[0]: (list(w[1]), w[2]) for w in waits}) for k, next_, carry, waits in self.traces.get()}
+
+    def advanced(self, name: str, trace: Trace) -> Iterator[Row]:
+        """Works on what is next; the rest waits."""
+        for first in sorted(trace.waits):
+            if first > trace.next_:
                 break
-            fresh = np.array(waiting.pop(first)[0][next_ - first :], float)
+            fresh = np.array(trace.waits.pop(first)[0][trace.next_ - first :], float)
             if len(fresh):
-                y, carry = self.kernel(fresh, carry)
-                made.append((*key, next_, y.tolist()))
-                next_ += len(fresh)
-        self.place.update((next_, list(carry)))
-        for first in held.keys() - waiting.keys():
-            self.waits.removeKey((first,))
-        for first, row in waiting.items():
-            if held.get(first) != row:
-                self.waits.updateValue((first,), row)
-        if waiting:
-            due = waiting[min(waiting)][1]
-            if due not in set(self.handle.listTimers()):
-                self.handle.registerTimer(due)
-        yield pd.DataFrame(made, columns=[*self.keys, "first", "amp"])
+                y, trace.carry = self.kernel(fresh, trace.carry)
+                yield Row(key_=name, first=trace.next_, amp=y.tolist())
+                trace.next_ += len(fresh)
+
+    def keep(self, traces: dict[str, Trace]) -> None:
+        """Writes the state, and sets a timer for the first that waits."""
+        self.traces.put([(k, t.next_, list(t.carry), [(first, list(amp), due) for first, (amp, due) in t.waits.items()]) for k, t in traces.items()])
+        due = min((t.due() for t in traces.values() if t.waits), default=None)
+        if due is not None and due not in set(self.handle.listTimers()):
+            self.handle.registerTimer(due)
 
     def close(self) -> None:
         pass
 
 
-def carried(chunks: DataFrame, kernel: Kernel, keys: list[str], late: str = "1 hour", patience_ms: int = 3_600_000) -> DataFrame:
+def carried(chunks: DataFrame, kernel: Kernel, keys: list[str], late: str = "1 hour", patience_ms: int = 3_600_000, buckets: int = BUCKETS) -> DataFrame:
     """(keys, first, amp, ts), a stream or a table -> keys, first, amp: the kernel's values, in chunks without overlaps."""
     timed = chunks.select(*keys, F.col("first").cast("long"), F.col("amp").cast("array<double>"), F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    schema = T.StructType([*(timed.schema[k] for k in keys), T.StructField("first", T.LongType()), T.StructField("amp", T.ArrayType(T.DoubleType()))])
-    return timed.groupBy(*keys).transformWithStateInPandas(Carried(kernel, keys, patience_ms), schema, "Append", "EventTime")
+    named = F.struct(*((F.col(k) + F.lit(0.0).cast(kind)).alias(k) if (kind := timed.schema[k].dataType.typeName()) in ("float", "double") else F.col(k) for k in keys))  # -0.0 is 0.0
+    told = timed.select(F.to_json(named, AS_JSON).alias("key_"), "first", "amp", "ts", (F.unix_millis("ts") + patience_ms).alias("due_"))
+    shared = told.withColumn("bucket_", F.pmod(F.xxhash64("key_"), F.lit(buckets)))
+    made = shared.groupBy("bucket_").transformWithState(Carried(kernel), "key_ string, first bigint, amp array<double>", "Append", "EventTime")
+    return made.select(F.from_json("key_", T.StructType([timed.schema[k] for k in keys]), AS_JSON).alias("key_"), "first", "amp").select(*(F.col("key_").getField(k).alias(k) for k in keys), "first", "amp")
 
 
 def written(made: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
