@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,6 +106,7 @@ class Vocabulary:
         self.unknown_score = min(self.scores[list(matched.values())]) - UNKNOWN_PENALTY
         self.bytes_at = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         self.text_of = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in pieces]
+        self.texts = pa.array(self.text_of, pa.large_binary())
         self.steps = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist()
 
     def spelled(self, ids: list[int], lengths: list[int], word: bytes) -> bytes:
@@ -180,16 +182,32 @@ class Vocabulary:
             up = s > best[r, end]
             r, end = r[up], end[up]
             best[r, end], piece[r, end], size[r, end] = s[up], self.unknown, char[r, i]
-        out = []
-        pieces, sizes = piece.tolist(), size.tolist()
-        for k, at in enumerate(length.tolist()):
-            ids, lengths = [], []
-            while at:
-                ids.append(pieces[k][at])
-                lengths.append(sizes[k][at])
-                at -= sizes[k][at]
-            out.append(self.spelled(ids[::-1], lengths[::-1], words[k]))
-        return out
+        return self.spelled_back(words, length, piece, size)
+
+    def spelled_back(self, words: list[bytes], length: np.ndarray, piece: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """Each word's ids as int32 bytes, from the last piece back to the first, in lockstep."""
+        at, row, steps = length.copy(), np.flatnonzero(length), []
+        count = np.zeros(len(words), np.int64)
+        while len(row):
+            steps.append((row, piece[row, at[row]]))
+            count[row] += 1
+            at[row] -= size[row, at[row]]
+            row = row[at[row] > 0]
+        ends = np.cumsum(count)
+        ids = np.empty(int(count.sum()), np.int32)
+        for k, (row, own) in enumerate(steps, 1):
+            ids[ends[row] - k] = own
+        flat, stops = ids.tobytes(), (ends * 4).tolist()
+        made = [flat[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        if self.bytes_at:
+            for k in np.unique(np.concatenate([row[own == self.unknown] for row, own in steps])).tolist() if steps else []:
+                own = np.frombuffer(made[k], np.int32).tolist()
+                lengths, end = [], int(length[k])
+                while end:
+                    lengths.append(int(size[k, end]))
+                    end -= lengths[-1]
+                made[k] = self.spelled(own, lengths[::-1], words[k])
+        return made
 
     def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Yields (word, ids as int32 bytes)."""
@@ -204,6 +222,24 @@ class Vocabulary:
         whole = b"".join(map(self.text_of.__getitem__, ids))
         return whole.removeprefix(b" ").decode("utf-8", "replace")
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """decode() of each list, all at once. Null lists decode to the empty string."""
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())])
+        spelled = self.texts.take(lists.flatten())
+        _, places, held = spelled.buffers()
+        places = np.frombuffer(places or bytes(8), np.int64)[spelled.offset : spelled.offset + len(spelled) + 1][ends]
+        whole = np.frombuffer(held or b"", np.uint8)[: places[-1]]
+        filled = np.flatnonzero(places[1:] > places[:-1])
+        led = filled[whole[places[filled]] == ord(" ")]
+        if len(led):
+            whole = np.delete(whole, places[led])
+            places = places - np.searchsorted(led, np.arange(len(places)))
+        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(places)), pa.py_buffer(whole)])
+        try:
+            return made.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that aren't UTF-8
+            return pa.array([x.decode("utf-8", "replace") for x in made.to_pylist()], pa.string())
+
 
 def char_bytes(first: int) -> int:
     return 1 if first < 0xC0 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
@@ -278,7 +314,7 @@ def decode(coded: DataFrame, model: str | None = None, scores: str = "zipf") ->
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                made = pa.array([vocabulary.decode(x or []) for x in part.column("ids").to_pylist()], pa.string())
+                made = vocabulary.decode_lists(part.column("ids"))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "decoded"])
 
     return coded.mapInArrow(make, with_field(coded, "decoded", T.StringType()))
