@@ -7,7 +7,9 @@ from types import SimpleNamespace
 import numpy as np
 from pyspark.sql import Row
 
+from wavelake import queries
 from wavelake.functions.carried import LowPass, RunningSum
+from wavelake.sources.store import children
 from wavelake.streaming.chunks import Carried, carried, chunk_stream, written
 
 
@@ -93,3 +95,11 @@ def test_time_keys(spark):
     _, made = streamed(spark, rows, RunningSum(), ["t", "n", "d", "b"])
     assert made.drop("first", "amp").collect() == rows.select("t", "n", "d", "b").collect()
     assert made.select("amp").first().amp == [1.0, 3.0]
+
+
+def test_a_query_takes_four_batches_whatever_the_files(spark, small, monkeypatch):
+    place = f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/chunks"
+    monkeypatch.setattr(queries, "fresh_path", lambda *_: place)
+    assert queries.streamed(spark, small, RunningSum()).count() == spark.read.parquet(f"{small}/events.parquet").count()
+    files = [name for name in children(spark, f"{place}/in") if name.endswith(".parquet")]
+    assert len(files) > 8 and len([name for name in children(spark, f"{place}/checkpoint/commits") if name.isdigit()]) == 4

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wavelake.functions import carried, rock, spectrum, timefreq, trace
 from wavelake.operators import adjoint, generate, grid, imaging, metrics, misfit, model, optimise, spline
 from wavelake.sources import gathers
-from wavelake.sources.store import fresh_path
+from wavelake.sources.store import children, fresh_path
 from wavelake.sources.views import acquisition, grid_cells, moment_tensors, pair_rows, samples, source_wavelets, survey_summary, table, trace_rows, unmatched
 from wavelake.streaming import chunks
 from wavelake.streaming.shots import windowed_energy
@@ -486,14 +486,14 @@ EVENTS = "(SELECT user_id AS trace, row_number() OVER (PARTITION BY user_id ORDE
 
 
 def streamed(spark: SparkSession, d: str, kernel: carried.Kernel) -> DataFrame:
-    """The events of each user as a trace, cut into chunks of 16, which a stream takes up in about four batches, each of as
-    many files as the cluster has cores."""
+    """The events of each user as a trace, cut into chunks of 16, which a stream takes up in four batches of files, at least
+    as many in all as four times the cluster's cores."""
     events = table(spark, d, "events").select(F.col("user_id").alias("trace"), "ts", "event_id", "value")
     cut = chunks.chunked(events, ["trace"], ["ts", "event_id"], "value", "ts", 16)
     place = fresh_path(spark, "chunks")
-    files = max(1, spark.sparkContext.defaultParallelism)
-    cut.repartitionByRange(4 * files, "first", "trace").write.parquet(f"{place}/in")
-    stream = chunks.chunk_stream(spark, f"{place}/in", cut.schema, files)
+    cut.repartitionByRange(4 * max(1, spark.sparkContext.defaultParallelism), "first", "trace").write.parquet(f"{place}/in")
+    files = sum(name.endswith(".parquet") for name in children(spark, f"{place}/in"))
+    stream = chunks.chunk_stream(spark, f"{place}/in", cut.schema, max(1, math.ceil(files / 4)))
     chunks.written(chunks.carried(stream, kernel, ["trace"], "36500 days"), f"{place}/out", f"{place}/checkpoint").awaitTermination()
     made = spark.read.parquet(f"{place}/out").select("trace", "first", F.posexplode("amp").alias("k", "value"))
     return made.select("trace", (F.col("first") + F.col("k")).alias("it"), "value")
